@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from snapsync.llm.common import _BYTES, _IN_WORD, Words, mix64, slices
 
-BUCKETS, DIM, NGRAM, EPOCHS, RATE = 1 << 16, 16, 3, 12, 2.0
+BUCKETS, DIM, NGRAMS, EPOCHS, RATE, DECAY = 1 << 16, 16, (1, 2, 3), 10, 0.3, 0.002
+LAGS, WEIGHT = (1, 2, 3, 4, 5, 6), 4
 ROWS_PER_CLASS = 1500
 
 
@@ -30,21 +31,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each word and each character n-gram of a word with its edges marked."""
+    """(row, bucket) of each word, each pair of equal words close by, and each character n-gram of a word with its edges."""
     words = Words(column)
     hashes = words.hashes()
     data = np.where(np.isin(words.bytes, np.frombuffer(b"\t\n\x0b\x0c\r", np.uint8)), np.uint8(32), words.bytes)
-    n = len(data) - NGRAM + 1
-    if n <= 0:
-        return words.row, (hashes % np.uint64(BUCKETS)).astype(np.int64)
     space = np.concatenate([np.zeros(1, np.int64), np.cumsum(data == 32)])
-    at = np.arange(n)
-    inside = space[at + NGRAM - 1] - space[at + 1] == 0  # white space at the edges only
-    starts = np.searchsorted(words.offsets, at, side="right") - 1
-    at = at[inside & (words.offsets[starts + 1] >= at + NGRAM)]
-    grams = mix64(_IN_WORD.ranges(_BYTES[data], at, at + NGRAM) ^ np.uint64(0x5851F42D4C957F2D))
-    rows = np.concatenate([words.row, np.searchsorted(words.offsets, at, side="right") - 1])
-    return rows, (np.concatenate([hashes, grams]) % np.uint64(BUCKETS)).astype(np.int64)
+    owner = np.searchsorted(words.offsets, np.arange(len(data)), side="right") - 1
+    rows, found = [words.row], [hashes]
+    for lag in LAGS:  # a word that stands there again is a word pair of its own kind
+        again = np.flatnonzero((hashes[lag:] == hashes[:-lag]) & (words.row[lag:] == words.row[:-lag])) + lag
+        rows.append(np.repeat(words.row[again], WEIGHT))
+        found.append(np.repeat(mix64(np.array([lag], np.uint64) * np.uint64(0x9E3779B97F4A7C15)), WEIGHT * len(again)))
+    for size in NGRAMS:
+        at = np.arange(max(0, len(data) - size + 1))
+        inner = space[at + max(1, size - 1)] - space[at + min(1, size - 1)] == 0  # white space at the edges only
+        at = at[inner & (words.offsets[owner[at] + 1] >= at + size)]
+        found.append(mix64(_IN_WORD.ranges(_BYTES[data], at, at + size) + np.uint64(size * 0x5851F42D4C957F2D & (2**64 - 1))))
+        rows.append(owner[at])
+    return np.concatenate(rows), (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +95,10 @@ def fit(buckets: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, seed
             wrong[y[i]] -= 1
             wrong *= balance[y[i]] * rate
             back = wrong @ weights
-            weights -= np.outer(wrong, mean)
+            weights -= np.outer(wrong, mean) + DECAY * rate * weights
             bias -= 0.1 * wrong
-            # Features share one step of the mean; scaled up, as each alone has a small share.
-            vectors[buckets[i]] -= np.minimum(1.0, 10 * shares[i])[:, None] * back
+            # Each feature alone has a small share of the mean; by the root of it, rare ones learn too.
+            vectors[buckets[i]] -= (0.2 * np.sqrt(shares[i]))[:, None] * back
     return vectors @ (weights[1] - weights[0]), float(bias[1] - bias[0])
 
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapsync.llm import classifier, mixing, pieces, quality_rules, secrets, substring, token_counts
+from snapsync.llm import classifier, cover_tree, mixing, ngram_join, pieces, pii, quality_rules, secrets, substring, token_counts
 from snapsync.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
+#: The key of the registered query's surrogates; a real run brings its own.
+PII_KEY = "surrogates"
 
 
 def tokenizer(name: str) -> str:
@@ -25,6 +27,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_personal(table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_similar(table(spark, sf_dir, "documents"), n=5, threshold=(8, 10), recall=0.999).drop("text_key")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -41,6 +51,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.link_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), temperature=0.5, seed="mix")
 
@@ -51,11 +65,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_secret_scan": op6_secret_scan,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.SQL, "op9_source_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.SQL, "op8_embedding_near_dedup": cover_tree.SQL, "op9_source_mixing": mixing.SQL}
