@@ -5,9 +5,9 @@ two documents hold are repeated; repeated edges that follow each other without a
 coordinates in the first document that has it. A document loses each word that lies under an edge of a document with
 a smaller id.
 
-Not all edges are shuffled. Each edge has an anchor, the least hash among its k-mers of half its length; equal edges
+Not all edges are shuffled. Each edge has an anchor, the least hash among its k-mers of a third of its length; equal edges
 have equal anchors, and neighbouring edges mostly share theirs. Only anchors are counted over the corpus (about one
-for 13 words), and only edges whose anchor occurs in two documents become rows. This loses nothing.
+for 18 words), and only edges whose anchor occurs in two documents become rows. This loses nothing.
 
 Results for odd input: a null or blank text has no words, loses none, and its kept text is the empty string; texts
 shorter than `span` lose nothing; rows with a null id lose nothing and remove nothing elsewhere; rows that share an id
@@ -34,7 +34,7 @@ def _edges(words: Words, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """First word, hash, second hash and anchor of each edge."""
     hashes = words.hashes()
     at, edge = words.windows(hashes, span)
-    k = max(1, span // 2)
+    k = max(1, span // 3)
     low = np.full(len(hashes), _NONE)
     where, mers = words.windows(hashes, k)
     low[where] = mers
