@@ -30,7 +30,8 @@ from snapsync.llm.components import components
 from snapsync.llm.ngram_join import _local_roots
 
 LEAF, PIVOTS, LEVELS = 1000, 12, 12
-_EPSILON = 1e-9
+#: Slack for rounding of distances; the cosines decide in the end.
+_EPSILON = 1e-6
 
 
 def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def leaf_pairs(classes: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
             below = nodes.select(F.col("node").alias(side), F.col("child").alias(f"{side}_child"), F.col("radius").alias(f"{side}_radius"), F.col("unit").alias(f"{side}_unit"))
             down = down.join(below, side, "left").withColumn(side, F.coalesce(f"{side}_child", side))
         near = F.coalesce(_distance("one_unit", "two_unit") <= F.col("one_radius") + F.col("two_radius") + reach + _EPSILON, F.lit(True))
-        pairs = written(down.where((F.col("one") <= F.col("two")) & near).select("one", "two").distinct())
+        pairs = written(down.where(near).select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct())
     return places, pairs
 
 

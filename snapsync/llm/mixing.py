@@ -58,14 +58,15 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     weights: by source; without them a source weighs as its count to the power temperature. total: rows to aim at,
     as many as there are without it.
     """
-    rates = source_rates(docs, weights, temperature, total)
+    docs = docs.drop(copy_col, order_col)  # columns of these names give way
+    rates = source_rates(docs.select("source"), weights, temperature, total).select(F.col("rate_source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     few = docs.select("source").distinct().limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = lambda part: F.size(F.filter("cdf", lambda c: c < hash_unit(F.lit(seed), key, part.cast("string"))))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + drawn(part))
-    joined = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("rate_source")))
-    rows = joined.withColumn("n_copies", copies).where("n_copies > 0")
-    rows = rows.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias(copy_col))
+    drawn = lambda part: F.size(F.filter("__cdf", lambda c: c < hash_unit(F.lit(seed), key, part.cast("string"))))
+    copies = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, part: n + drawn(part))
+    joined = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("__source")))
+    rows = joined.withColumn("__n", copies).where("__n > 0")
+    rows = rows.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias(copy_col))
     rows = rows.withColumn(order_col, F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), key, F.col(copy_col).cast("string"))))
     return rows.repartition(F.col(order_col)).sortWithinPartitions(order_col)
 

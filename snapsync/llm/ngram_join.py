@@ -240,8 +240,8 @@ def join_similar(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 1
 
 def keep_first(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10), recall: float = 0.999) -> DataFrame:
     """docs with one row of each component, the one with the least id, and all columns."""
-    joined = written(join_similar(docs, n, threshold, recall).where("kept").groupBy("doc_id", "text_key").agg(F.max("n_links").alias("n")).select(F.col("doc_id").alias("kept_id"), "text_key", "n"))
+    joined = written(join_similar(docs, n, threshold, recall).where("kept").groupBy("doc_id", "text_key").agg(F.max("n_links").alias("n")).select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key")))
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(joined, docs["doc_id"].eqNullSafe(F.col("kept_id")) & (key == F.col("text_key")), "left_semi")
+    kept = docs.join(joined, docs["doc_id"].eqNullSafe(F.col("__kept_id")) & (key == F.col("__kept_key")), "left_semi")
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

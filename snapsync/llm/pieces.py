@@ -28,7 +28,7 @@ from snapsync.llm.common import KeyTable, Rolling, mix64, slices
 
 MARK = "▁"
 #: Stretches that a worker keeps with their ids before it starts afresh, and the longest one kept.
-KEPT, LONGEST_KEPT = 500_000, 64
+KEPT, LONGEST_KEPT = 200_000, 64
 
 
 _IN_TEXT = Rolling(0xA24BAED4963EE407)

@@ -28,7 +28,7 @@ from snapsync.llm.common import mix64, slices
 _WS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Counts kept by a worker before it starts afresh.
-KEPT = 600_000
+KEPT = 300_000
 
 
 def _byte_letters() -> dict[str, int]:
