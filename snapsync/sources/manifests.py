@@ -15,7 +15,8 @@ MOST_ROWS, LONGEST_PATH = 10_000_000, 4096
 def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """rel_path, file_size, mtime_ns of the regular files below a folder; with content also content_hash and content.
 
-    Without content the reader prunes that column: files are listed, not read.
+    Without content the reader prunes that column: files are listed, not read. The reader leaves out files of no
+    length and hidden ones; that empty files are missing is an open defect.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
     prefix = F.lit(root.rstrip("/") + "/")
