@@ -28,6 +28,8 @@ ASSIGN_HINT = r"""(?i:passw|secret|token|api_?key)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 
 WINDOW = 24
+#: Characters of a run that are looked at together; a long run is cut so that no character costs its whole run.
+BLOCK = 512
 #: Character classes: kind, pattern of a run, least bits a character.
 CLASSES = (("hexrun", r"[0-9A-Fa-f]{24,}", 3.0), ("base64", r"[A-Za-z0-9+/_=-]{24,}", 3.9))
 ALLOW = r"^[0-9]+$|^[a-z]+$|^[A-Z]+$|^[A-Z]?[a-z]+$|^[=_/+-]+$|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Aa][Bb][Cc][Dd][Ee][Ff][Gg]|0123456789|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -71,15 +73,18 @@ def _joined(spans: Column) -> Column:
 def entropy_spans(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """keys, start, end of the joined secret windows of each candidate (keys, start, match, most)."""
     own = [*keys, "kind", "start"]
-    sub = lambda at, n: F.expr(f"substring(match, {at}, {n})")
+    sub = lambda at, n: F.expr(f"substring(piece, {at}, {n})")
     held = lambda window, c: F.length(window) - F.length(F.replace(window, c, F.lit("")))
     table = F.array(*map(F.lit, C_LOG_C))
-    chars = candidates.withColumn("i", F.explode(F.expr("sequence(1, length(match))")))
-    # Before i enters, the window holds i-WINDOW .. i-1; first the oldest leaves, then i enters.
-    chars = chars.withColumn("before", sub(f"greatest(1, i - {WINDOW})", f"least({WINDOW}, i - 1)"))
-    chars = chars.withColumn("out", F.when(F.col("i") > WINDOW, sub(f"i - {WINDOW}", 1))).withColumn("in", sub("i", 1))
+    # Each block of a run brings the window before it along.
+    blocks = candidates.withColumn("block", F.explode(F.expr(f"sequence(0, (length(match) - 1) div {BLOCK})"))).withColumn("lead", F.expr(f"least(cast(block as int) * {BLOCK}, {WINDOW})"))
+    blocks = blocks.withColumn("piece", F.expr(f"substring(match, cast(block as int) * {BLOCK} + 1 - lead, {BLOCK} + lead)")).drop("match")
+    chars = blocks.withColumn("p", F.explode(F.expr("sequence(lead + 1, length(piece))"))).withColumn("i", F.expr(f"cast(block as int) * {BLOCK} + p - lead"))
+    # Before place p of the piece enters, the window holds p-WINDOW .. p-1; first the oldest leaves, then p enters.
+    chars = chars.withColumn("before", sub(f"greatest(1, p - {WINDOW})", f"least({WINDOW}, p - 1)"))
+    chars = chars.withColumn("out", F.when(F.col("p") > WINDOW, sub(f"p - {WINDOW}", 1))).withColumn("in", sub("p", 1))
     leaves = F.when(F.col("out").isNull(), 0).otherwise(held(F.col("before"), F.col("out")))
-    rest = F.when(F.col("out").isNull(), F.col("before")).otherwise(sub(f"i - {WINDOW} + 1", WINDOW - 1))
+    rest = F.when(F.col("out").isNull(), F.col("before")).otherwise(sub(f"p - {WINDOW} + 1", WINDOW - 1))
     chars = chars.withColumn("left", leaves).withColumn("held", held(rest, F.col("in")))
     got = lambda n: F.get(table, n.cast("int"))
     change = got(F.col("held") + 1) - got(F.col("held")) - F.when(F.col("left") > 0, got(F.col("left")) - got(F.col("left") - 1)).otherwise(0)
