@@ -123,6 +123,18 @@ def test_quality_rules_equal_sql(spark, same_rows, docs):
     assert quality_rules.keep_good(docs).columns == docs.columns
 
 
+def test_quality_limits_follow_the_documents(spark):
+    big = SF.replace("sf0.001", "sf0.1")
+    all_docs = table(spark, big, "documents")
+    kept = quality_rules.keep_good(all_docs).select("doc_id", F.lit(True).alias("kept"))
+    base = quality_rules.judge(all_docs).select("doc_id", "base_failed", "n_words")
+    bars = (F.size(F.split("text", r" \| ")) - 1).alias("bars")
+    rows = all_docs.select("doc_id", bars).join(base, "doc_id").where("NOT base_failed").join(kept, "doc_id", "left").join(table(spark, big, "labels"), "doc_id", "left")
+    share = lambda which: F.avg(F.when(F.expr(which), F.col("kept").isNotNull().cast("int")))
+    seen = rows.agg(share("quality = 1").alias("clean"), share("quality = 0").alias("bad"), share("10 * bars > n_words").alias("fragments")).first()
+    assert seen.clean > 0.99 and seen.bad < 0.2 and seen.fragments < 0.25, seen
+
+
 def test_classifier_is_accurate_on_held_out_rows(spark, docs):
     big = SF.replace("sf0.001", "sf0.01")
     rows = classifier.score_quality(table(spark, big, "documents"), table(spark, big, "labels")).join(table(spark, big, "labels"), "doc_id").where("held_out")
