@@ -150,6 +150,12 @@ def block_delta(s, d):
     return chunks.block_delta(_blocks(s, d, "source").where(changed), _blocks(s, d, "target").where(changed)).select("file_id", "chunk_index", "raw_len", "needed")
 
 
+@query("delta", "SELECT file_id, chunk_index, raw_len, needed FROM delta")
+def block_delta_all(s, d):
+    """block_delta over all files: missing, cut, touched, changed and unchanged ones."""
+    return chunks.block_delta(_blocks(s, d, "source"), _blocks(s, d, "target")).select("file_id", "chunk_index", "raw_len", "needed")
+
+
 @query("sdig ddig", "SELECT s.file_id, s.chunk_index FROM sdig s WHERE NOT EXISTS (SELECT 1 FROM ddig t WHERE t.file_id = s.file_id AND t.chunk_index = s.chunk_index AND t.raw_len = s.raw_len AND t.digest = s.digest)")
 def needed_chunks(s, d):
     return chunks.needed_chunks(_blocks(s, d, "source"), _blocks(s, d, "target")).select("file_id", "chunk_index")

@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from snapsync import queries as Q
 from snapsync.functions import expressions as X
 from snapsync.operators import bundles, chunks, layout, report, resume, verify
 from snapsync.plans import decisions as D
@@ -53,6 +54,21 @@ def test_weak_checksum_and_assembly(spark):
     assert {r.status for r in verify.verify_files(expected, verify.assemble(blocks.repartition(5))).collect()} == {"ok"}
 
 
+def test_block_delta_has_all_files(spark):
+    rows = {(r.file_id, r.chunk_index): r.needed for r in Q.QUERIES["block_delta_all"](spark, SF).collect()}
+    docs = FX.source(spark, SF).select("file_id", "doc_id", "file_size", F.octet_length(F.expr("substr(text, 1, CAST(floor(n_chars / 3) AS INT))")).alias("cut")).collect()
+    assert len(rows) == sum(-(-r.file_size // Q.BLOCK) for r in docs)
+    for r in docs:
+        needed = [rows[r.file_id, i] for i in range(-(-r.file_size // Q.BLOCK))]
+        kind = r.doc_id % 10
+        if kind == 0:
+            assert all(needed)
+        elif kind == 1:
+            assert needed == [(i + 1) * Q.BLOCK > r.cut for i in range(len(needed))]
+        elif kind != 3:
+            assert not any(needed)
+
+
 def test_ewma(spark):
     rows = [(1, f"2024-01-01 00:00:0{i}", b) for i, b in enumerate([10.0, 20.0, 40.0, 45.0])]
     samples = spark.createDataFrame(rows, "k long, ts string, bytes double").withColumn("ts", F.col("ts").cast("timestamp"))
