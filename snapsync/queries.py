@@ -255,7 +255,7 @@ def arrivals_completion(s, d):
 
 @query("src", "SELECT file_id, CASE WHEN file_id % 7 = 0 THEN 'missing' WHEN file_id % 7 = 1 AND strlen(text) > 1024 THEN 'mismatch' ELSE 'ok' END AS status FROM src WHERE strlen(text) > 0")
 def verify_files(s, d):
-    expected = FX.source(s, d).where("octet_length(text) > 0").select("file_id", F.md5("text").alias("digest"))
+    expected = FX.source(s, d).select("file_id", "file_size", F.md5("text").alias("digest"))
     got = _blocks(s, d, "source", data=True).where("file_id % 7 <> 0 AND NOT (file_id % 7 = 1 AND chunk_index = 1)")
     return verify.verify_files(expected, verify.assemble(got))
 

@@ -69,6 +69,19 @@ def test_block_delta_has_all_files(spark):
             assert not any(needed)
 
 
+def test_empty_files_are_verified(spark, tmp_path):
+    files = spark.createDataFrame([(1, ""), (2, "abc"), (3, "abc"), (4, "")], "file_id long, text string")
+    got = verify.assemble(chunks.chunk_digests(files.where("file_id <> 3"), 2, data=True))
+    expected = files.withColumn("digest", F.when(F.col("file_id") == 4, F.md5(F.lit("x"))).otherwise(F.md5("text")))
+    sized = expected.withColumn("file_size", F.octet_length("text").cast("long"))
+    assert {r.file_id: r.status for r in verify.verify_files(sized, got).collect()} == {1: "ok", 2: "ok", 3: "missing", 4: "mismatch"}
+    assert {r.file_id: r.status for r in verify.verify_files(expected, got).collect()} == {1: "ok", 2: "ok", 3: "missing", 4: "missing"}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.withColumn("text", F.when(F.col("doc_id") == 1, "").otherwise(F.col("text"))).write.parquet(str(tmp_path / "documents.parquet"))
+    status = {r.file_id: r.status for r in Q.QUERIES["verify_files"](spark, str(tmp_path)).collect()}
+    assert len(status) == docs.count() and status[2] == "ok"
+
+
 def test_ewma(spark):
     rows = [(1, f"2024-01-01 00:00:0{i}", b) for i, b in enumerate([10.0, 20.0, 40.0, 45.0])]
     samples = spark.createDataFrame(rows, "k long, ts string, bytes double").withColumn("ts", F.col("ts").cast("timestamp"))
