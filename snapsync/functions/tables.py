@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -43,3 +46,30 @@ def running(df: DataFrame, key: str, value: str, before: str, place: str) -> Dat
     rows = ranged.join(F.broadcast(bases), "__range")
     rows = rows.withColumn(before, (F.col("__base") + F.coalesce(F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("long"))
     return rows.withColumn(place, (F.col("__first") + F.row_number().over(inner)).cast("long")).drop("__range", "__base", "__first")
+
+
+def folded(df: DataFrame, key: str, values: list[str], start, results: list[tuple[str, DataType]]) -> DataFrame:
+    """key and results, one row for each key: its rows' values, in their own order, go to add() of a start() one by one.
+
+    Only that object is held for a key, whatever the number of its rows; result() gives the results.
+    """
+    schema = StructType([df.schema[key], *(StructField(n, t) for n, t in results)])
+    arrow, names = to_arrow_schema(schema), schema.names
+
+    def run(batches):
+        at, state = None, None
+        for batch in batches:
+            done = []
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or k != at:
+                    if state is not None:
+                        done.append((at, *state.result()))
+                    at, state = k, start()
+                state.add(*row)
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in done], schema=arrow)
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (at, *state.result())))], schema=arrow)
+
+    rows = df.select(key, *values).repartition(key).sortWithinPartitions(key, *(F.col(v).asc_nulls_last() for v in values))
+    return rows.mapInArrow(run, schema)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
+
+from snapsync.functions.tables import folded
 
 LEAST_SECONDS, KEEP = 0.05, 0.9
 
@@ -17,26 +20,34 @@ def session_summary(plan: DataFrame) -> DataFrame:
     return row.withColumn("up_to_date", (F.col("bytes_sent") == 0) & (F.col("files_total") > 0))
 
 
+class _Smoothed:
+    def __init__(self):
+        self.t, self.c, self.rate, self.n = None, 0.0, 0.0, 0
+
+    def add(self, t, c):
+        if self.t is None or t is None:
+            self.t, self.c = t, c
+        elif t - self.t >= LEAST_SECONDS:
+            inst = None if c is None or self.c is None else (c - self.c) / (t - self.t)
+            if self.c == 0 or self.rate == 0:
+                self.rate = inst
+            else:
+                self.rate = None if inst is None or self.rate is None else KEEP * self.rate + 0.1 * inst
+            self.t, self.c, self.n = t, c, self.n + 1
+
+    def result(self):
+        return self.rate, self.n
+
+
 def ewma_rate(samples: DataFrame, key: str, ts: str, counter: str) -> DataFrame:
     """key, rate, n_used: the smoothed rate of a counter by key.
 
-    Samples closer than LEAST_SECONDS to the last used one wait; the first rate is taken as it is. A key's samples
-    are one array: bounded by what one session reports.
+    Samples closer than LEAST_SECONDS to the last used one wait; the first rate is taken as it is. Samples are
+    streamed in order of time; only the last used one and the rate are held.
     """
     seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     rows = samples.select(key, seconds.alias("t"), F.col(counter).cast("double").alias("c"))
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "c"))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("c"), F.lit(0.0).alias("rate"), F.lit(0).alias("n"))
-
-    def step(a, x):
-        inst = (x["c"] - a["c"]) / (x["t"] - a["t"])
-        rate = F.when((a["c"] == 0) | (a["rate"] == 0), inst).otherwise(F.lit(KEEP) * a["rate"] + F.lit(0.1) * inst)
-        first = F.struct(x["t"].alias("t"), x["c"].alias("c"), a["rate"].alias("rate"), a["n"].alias("n"))
-        later = F.struct(x["t"].alias("t"), x["c"].alias("c"), rate.alias("rate"), (a["n"] + 1).alias("n"))
-        return F.when(a["t"].isNull(), first).when(x["t"] - a["t"] < LEAST_SECONDS, a).otherwise(later)
-
-    done = listed.select(key, F.aggregate("s", start, step).alias("a"))
-    return done.select(key, F.col("a.rate").alias("rate"), F.col("a.n").alias("n_used"))
+    return folded(rows, key, ["t", "c"], _Smoothed, [("rate", DoubleType()), ("n_used", IntegerType())])
 
 
 def eta(rows: DataFrame) -> DataFrame:

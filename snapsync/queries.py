@@ -195,8 +195,7 @@ def orphans(s, d):
 
 @query(None, "SELECT source AS source_id, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS token, max(doc_id) % 2 = 0 AS hit FROM documents GROUP BY source")
 def token_hit(s, d):
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    tokens = read(s, d, "documents").groupBy(F.col("source").alias("source_id")).agg(F.md5(ids).alias("token"), F.max("doc_id").alias("last"))
+    tokens = M.id_tokens(read(s, d, "documents").select(F.col("source").alias("source_id"), "doc_id"), "source_id", "doc_id")
     cached = tokens.select("source_id", F.when(F.col("last") % 2 == 0, F.col("token")).otherwise("old").alias("token"))
     return D.token_hit(tokens.drop("last"), cached)
 

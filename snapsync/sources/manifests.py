@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from snapsync.functions import expressions as X
-from snapsync.functions.tables import running
+from snapsync.functions.tables import folded, running
 
 CONTROL_DIR = ".snapsync"
 MOST_ROWS, LONGEST_PATH = 10_000_000, 4096
@@ -59,6 +62,27 @@ def token(manifest: DataFrame, prefix: int = 3) -> DataFrame:
     return buckets.agg(listed("bucket", "d").alias("token"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
 
 
+class _Listed:
+    def __init__(self):
+        self.digest, self.last = hashlib.md5(usedforsecurity=False), None
+
+    def add(self, x):
+        if x is not None:
+            self.digest.update(f"{x}".encode() if self.last is None else f",{x}".encode())
+            self.last = x
+
+    def result(self):
+        return self.digest.hexdigest(), self.last
+
+
+def id_tokens(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """key, token, last: the digest of a key's whole numbers in order, joined by commas, and the last of them.
+
+    The list itself is held nowhere: the numbers are streamed in order through the digest.
+    """
+    return folded(rows, key, [number], _Listed, [("token", StringType()), ("last", rows.schema[number].dataType)])
+
+
 def save_manifest(manifest: DataFrame, source_id: str, path: str) -> None:
     """Save under a source id, with the token; the source's former rows go."""
     spark = manifest.sparkSession

@@ -1,5 +1,6 @@
 """Invariants of the snapshot operators on small inputs."""
 
+import random
 import zlib
 
 import pytest
@@ -46,6 +47,38 @@ def test_bundle_limits(spark):
     assert before == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 4}
 
 
+def packed_one_by_one(sizes, close_after, most_bytes, most_files):
+    bundle, held, n, out = 0, 0, 0, []
+    for size in sizes:
+        if not close_after and n and (held + size > most_bytes or n >= most_files):
+            bundle, held, n = bundle + 1, 0, 0
+        out.append(bundle)
+        held, n = held + size, n + 1
+        if close_after and (held >= most_bytes or n >= most_files):
+            bundle, held, n = bundle + 1, 0, 0
+    return out
+
+
+@pytest.mark.parametrize("close_after", [True, False])
+def test_bundles_over_blocks_equal_one_pass(spark, monkeypatch, close_after):
+    monkeypatch.setattr(bundles, "BLOCK_FILES", 8)
+    rng, lanes = random.Random(2), {}
+    for lane, n in ((1, 131), (2, 64), (3, 5), (4, 9)):
+        lanes[lane] = [rng.choice([0, 0, 1, 3, 5, 9, 30]) for _ in range(n)]
+    rows = [(lane, 1000 * lane + i, x, 7 * i + lane) for lane, sizes in lanes.items() for i, x in enumerate(sizes)]
+    files = spark.createDataFrame(rows, "lane int, file_id long, file_size long, place long").repartition(5)
+    got = bundles.pack(files, close_after, 20, 6)
+    assert "FlatMapGroupsInPandas [lane" in (plan := got._jdf.queryExecution().toString()) and "block" in plan
+    want = {1000 * lane + i: b for lane, sizes in lanes.items() for i, b in enumerate(packed_one_by_one(sizes, close_after, 20, 6))}
+    assert {r.file_id: r.bundle_id for r in got.collect()} == want
+    assert bundles.pack(files.where("false"), close_after, 20, 6).count() == 0
+
+
+def test_samples_and_ids_are_held_in_no_array(spark):
+    for query in ("ewma_rate", "token_hit"):
+        assert "collect_list" not in Q.QUERIES[query](spark, SF)._jdf.queryExecution().toString()
+
+
 def test_weak_checksum_and_assembly(spark):
     docs = FX.source(spark, SF)
     blocks = chunks.chunk_digests(docs, 512, weak=True, data=True)
