@@ -7,6 +7,10 @@ against all entities found; of those that collide all but the first draw again.
 surrogate, no surrogate is someone else's datum, and all mentions of an entity, in whatever case or with whatever
 separators, get the same surrogate, written in the mention's own format.
 
+Cards are groups of 4-4-4-4, 4-4-4-4-3, 4-6-5 or 4-6-4 digits with one kind of separator, or 13 to 19 digits without
+any. Three digits after 4-4-4-4 belong to the card only if the check digit is right with them and wrong without. Names
+are found by list: after a title of TITLES or with a given name of GIVEN; other persons keep theirs.
+
 Results for odd input: null and empty texts stay as they are; a null id is an id like others; rows that share an id
 are all treated; all columns are kept, n_chars (where there is one) is counted anew for rows that changed.
 """
@@ -36,7 +40,7 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9])",
     "number": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4} (?:(?:[0-9]{4} ){2}[0-9]{4}(?: [0-9]{3}(?![0-9]))?|[0-9]{6} [0-9]{4,5})(?![0-9])|(?<![0-9])(?<![0-9]-)[0-9]{4}-(?:(?:[0-9]{4}-){2}[0-9]{4}(?:-[0-9]{3}(?![0-9]))?|[0-9]{6}-[0-9]{4,5})(?!-?[0-9])",
     "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})?(?:{_GIVEN}) \p{{Lu}}\p{{Ll}}+|{_TITLE}\p{{Lu}}\p{{Ll}}+)(?!\p{{L}})",
 }
 #: One search for all types, the first that fits at a place.
@@ -72,6 +76,14 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda s, i: s + weigh(i))
 
 
+def _after_card(kind: Column, mention: Column) -> Column:
+    """What follows a card in its mention and isn't part of it."""
+    valid = lambda text: _luhn(F.regexp_replace(text, "[^0-9]", "")) % 10 == 0
+    longer = (kind == "card") & mention.rlike("^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -]")
+    short = F.substring(mention, 1, 19)
+    return F.when(longer, F.when(~valid(short) & valid(mention), "").otherwise(F.substring(mention, 20, 4))).otherwise("")
+
+
 def _letter(c: Column, digest: Column, i: Column) -> Column:
     of = lambda script: F.substring(F.lit(ALPHABETS[script]), _at(digest, i, len(ALPHABETS[script])) + 1, 1)
     return F.when(c.rlike("[0-9]"), _at(digest, i, 10).cast("string")).when(c.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(c.rlike(r"\p{IsGreek}"), of("greek")).when(c.rlike(r"\p{L}"), of("latin")).otherwise(c)
@@ -138,10 +150,11 @@ def replace_personal(docs: DataFrame, key: str) -> DataFrame:
     """docs with the personal data in text replaced."""
     found = docs.where(F.col("text").rlike(ANY)).withColumn("__key", F.xxhash64("text"))
     rows = found.select("doc_id", "__key", "text").dropDuplicates(["doc_id", "__key"]).select("doc_id", "__key", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("at", "mention"))
-    rows = rows.withColumn("kind", _kind(F.col("mention"))).withColumn("entity", _entity(F.col("kind"), F.col("mention")))
+    rows = rows.withColumn("kind", _kind(F.col("mention"))).withColumn("after", _after_card(F.col("kind"), F.col("mention")))
+    rows = rows.withColumn("mention", F.substring("mention", F.lit(1), F.length("mention") - F.length("after"))).withColumn("entity", _entity(F.col("kind"), F.col("mention")))
     rows = written(rows)
     surrogates = assign(written(rows.select("kind", "entity").distinct()), key)
-    given = rows.join(surrogates, ["kind", "entity"]).select("doc_id", "__key", "at", _written_as(F.col("kind"), F.col("mention"), F.col("entity"), F.col("surrogate"), key).alias("new"))
+    given = rows.join(surrogates, ["kind", "entity"]).select("doc_id", "__key", "at", F.concat(_written_as(F.col("kind"), F.col("mention"), F.col("entity"), F.col("surrogate"), key), F.col("after")).alias("new"))
     lists = given.groupBy("doc_id", "__key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("__new"))
     lists = lists.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__other"), "__new")
     pieces = F.split("text", ANY, -1)

@@ -67,6 +67,23 @@ def test_surrogates(spark):
     assert pii.replace_personal(df.where("false"), "k").count() == 0
 
 
+def test_cards_end_where_they_end(spark):
+    def luhn(number):
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(int(c) for c in reversed(number) if c.isdigit())) % 10
+
+    long_card = next(x for x in (f"4111 1111 1111 1112 {i:03}" for i in range(1000)) if luhn(x) == 0)
+    texts = ["4111111111111111", "4111111111111111 05/27", "4111111111111111 123", "4111 1111 1111 1111 123.", "4111-1111-1111-1111-124", "3782 822463 10005 1234", "3782-822463-10005", long_card, "2024-10-12 2024-10-13", "4111-1111-1111-1111-1111"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_personal(df, "k").collect()}
+    card = got[0]
+    assert card != texts[0] and luhn(card) == 0
+    spaced = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    assert [got[i] for i in (1, 2, 3, 4)] == [f"{card} 05/27", f"{card} 123", f"{spaced} 123.", f"{spaced.replace(' ', '-')}-124"]
+    assert got[5] == f"{got[6].replace('-', ' ')} 1234" and got[6] != texts[6] and luhn(got[6]) == 0
+    assert got[7][:19] != long_card[:19] and got[7][20:] != long_card[20:] and luhn(got[7]) == 0
+    assert got[8] == texts[8] and got[9] == texts[9]
+
+
 def brute_jaccard(texts):
     sets = {}
     for i, t in texts.items():
