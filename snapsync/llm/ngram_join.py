@@ -38,10 +38,21 @@ _OFFSETS = mix64(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
 
 def runs_for(recall: float, threshold: float) -> int:
     """Runs until two classes at the threshold share a bucket, DEPTH tokens deep, with this probability."""
-    lost = 0.0
-    for _ in range(DEPTH):
-        lost = math.exp(lost - 1)  # they share one chosen token on average, in each step
-    return math.ceil(math.log(1 - recall) / math.log(lost))
+    runs = 1
+    while loss(runs, threshold) > 1 - recall:
+        runs += 1
+    return runs
+
+
+def loss(runs: int, threshold: float) -> float:
+    """The probability that they share none. All runs see one sketch: the tokens shared there spread binomially."""
+    chosen, total = 1 / (threshold * TOKENS), 0.0
+    for shared in range(TOKENS + 1):
+        lost = 0.0
+        for _ in range(DEPTH):
+            lost = (1 - chosen * (1 - lost)) ** shared
+        total += math.comb(TOKENS, shared) * threshold**shared * (1 - threshold) ** (TOKENS - shared) * lost**runs
+    return total
 
 
 def _shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,4 +255,7 @@ def keep_first(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10)
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     kept = docs.join(joined, docs["doc_id"].eqNullSafe(F.col("__kept_id")) & (key == F.col("__kept_key")), "left_semi")
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    if repeated.isEmpty():
+        return kept
+    linking = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    return kept.where(linking).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~linking))

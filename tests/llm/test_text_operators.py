@@ -131,6 +131,20 @@ def test_ngram_join_equals_brute_force(spark):
     assert ngram_join.keep_first(twice).count() == 3
 
 
+def test_keep_first_leaves_rows_that_link_with_nothing(spark):
+    alone = [(None, "a b c d e f"), (None, "a b c d e f"), (None, None), (None, None), (7, " "), (7, " "), (8, None), (8, None)]
+    for more, n in (([], 8), ([(1, "q r s"), (1, "q r s")], 9)):
+        assert ngram_join.keep_first(spark.createDataFrame(alone + more, "doc_id long, text string")).count() == n
+    runs = ngram_join.runs_for(0.999, 0.8)
+    rng, lost = np.random.default_rng(1), 0
+    for _ in range(DRAWN := 200_000):
+        shared, q = rng.binomial(ngram_join.TOKENS, 0.8), 0.0
+        for _ in range(ngram_join.DEPTH):
+            q = (1 - (1 - q) / (0.8 * ngram_join.TOKENS)) ** shared
+        lost += q**runs
+    assert lost / DRAWN <= 0.00105
+
+
 def test_quality_rules_equal_sql(spark, same_rows, docs):
     same_rows(queries.op4_quality_rules(spark, SF), quality_rules.SQL)
     judged = quality_rules.judge(docs)
