@@ -5,7 +5,8 @@ the inverse of the Poisson distribution with that mean at a number that a keyed
 any cluster, draws the same copies. Copies are exploded and dealt out by a hash, which puts them in random order.
 
 Results for odd input: a null source is a source of its own; a null id draws as an id of its own; rows that share an
-id draw alike; empty tables give empty ones; a source of weight 0 gives no rows. All columns of docs are kept.
+id draw alike; empty tables give empty ones; a source of weight 0 gives no rows, and if all sources have it there are
+none. All columns of docs are kept, but those named like copy_col and order_col give way.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapsync.llm.common import free_names
+
 #: Sources up to this number are sent to all tasks (some hundred bytes each); more are joined by shuffle.
 FEW_SOURCES = 10_000
 #: A larger mean is drawn as a sum of this many times smaller ones: exp(-mean) must not vanish.
@@ -44,10 +47,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, temperature:
         counts = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
         given = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
-        counts = counts.withColumn("w", F.coalesce(F.create_map(*given)[F.col("source")], F.lit(0.0)))
+        counts = counts.withColumn("w", F.coalesce(F.create_map(*given)[F.col("source")], F.lit(0.0)) if given else F.lit(0.0))
     sums = counts.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
     goal = F.lit(total) if total is not None else F.col("all_n")
-    rates = counts.join(F.broadcast(sums)).withColumn("mean", F.col("w") / F.col("all_w") * goal / F.col("n"))
+    rates = counts.join(F.broadcast(sums)).withColumn("mean", F.when(F.col("all_w") > 0, F.col("w") / F.nullif("all_w", F.lit(0.0)) * goal / F.col("n")).otherwise(0.0))
     rates = rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / LARGEST_MEAN).cast("int")))
     return rates.select(F.col("source").alias("rate_source"), "mean", "parts", poisson_cdf(F.col("mean") / F.col("parts")).alias("cdf"))
 
@@ -58,15 +61,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     weights: by source; without them a source weighs as its count to the power temperature. total: rows to aim at,
     as many as there are without it.
     """
-    docs = docs.drop(copy_col, order_col)  # columns of these names give way
-    rates = source_rates(docs.select("source"), weights, temperature, total).select(F.col("rate_source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    docs = docs.drop(copy_col, order_col)
+    source, parts, cdf, n = free_names(docs, "rate_source", "rate_parts", "rate_cdf", "n_copies")
+    rates = source_rates(docs.select("source"), weights, temperature, total).select(F.col("rate_source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf))
     few = docs.select("source").distinct().limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = lambda part: F.size(F.filter("__cdf", lambda c: c < hash_unit(F.lit(seed), key, part.cast("string"))))
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, part: n + drawn(part))
-    joined = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("__source")))
-    rows = joined.withColumn("__n", copies).where("__n > 0")
-    rows = rows.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias(copy_col))
+    drawn = lambda part: F.size(F.filter(cdf, lambda c: c < hash_unit(F.lit(seed), key, part.cast("string"))))
+    copies = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda total, part: total + drawn(part))
+    joined = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col(source)))
+    rows = joined.withColumn(n, copies).where(F.col(n) > 0)
+    rows = rows.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(copy_col))
     rows = rows.withColumn(order_col, F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), key, F.col(copy_col).cast("string"))))
     return rows.repartition(F.col(order_col)).sortWithinPartitions(order_col)
 

@@ -262,6 +262,10 @@ def test_mixing_equals_sql(spark, same_rows, docs):
     assert set(counts) == {"src1", "src2"} and abs(counts["src1"] - 3000) < 300
     assert mixing.mix_sources(docs).columns == [*docs.columns, "copy", "order_key"]
     assert mixing.mix_sources(docs.where("false")).count() == 0
+    clash = table(spark, SF, "documents").withColumns({c: F.lit("mine") for c in ("__n", "__cdf", "n_copies", "Rate_Source", "rate_cdf", "rate_parts", "mean")})
+    assert mixing.mix_sources(clash).columns == [*clash.columns, "copy", "order_key"]
+    assert mixing.mix_sources(clash).where("n_copies = 'mine'").count() == mixing.mix_sources(table(spark, SF, "documents")).count()
+    assert mixing.mix_sources(docs, weights={"nobody": 1.0}).count() == 0 == mixing.mix_sources(docs, weights={}).count()
 
 
 def test_substrings_equal_brute_force(spark):
