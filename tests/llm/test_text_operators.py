@@ -228,10 +228,25 @@ def test_pieces_round_trip_and_best_path(docs):
         return way[len(text)]
 
     rng = random.Random(4)
-    for n in [*range(1, 60), 300, 900]:
-        text = "".join(rng.choice("abcdefghi the▁ingé中\n") for _ in range(n))
-        assert vocabulary.encode_stretch(text) == best(text)
-        assert list(vocabulary.encode_many([text])[0]) == best(text)
+    texts = ["".join(rng.choice("abcdefghi the▁ingé中\n") for _ in range(n)) for n in [*range(1, 60), 300, 900]]
+    texts += ["".join(rng.choice(["the", "ing", "and", "a", "z", "qx"]) for _ in range(n)) for n in (40, 90, 150)]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(t) for t in texts])
+    vocabulary.commits = 0
+    ids, counts = vocabulary.encode_batch(codes, pieces._code_points("".join(texts)), np.cumsum(sizes) - sizes, sizes)
+    assert vocabulary.commits > len(texts)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [best(t) for t in texts]
+    vocabulary.commits = 0
+    assert [vocabulary.encode_stream(t) for t in texts] == got
+    assert vocabulary.commits > 0
+    # the registered query's own texts: ids are the best paths, and the encoder commits within its streams
+    codec = pieces.Codec(path)
+    for _, t in rows_of(docs)[::5]:
+        assert codec.encode(t).tolist() == (best(pieces.MARK + t.replace(" ", pieces.MARK)) if t else [])
+    assert codec.vocabulary.commits > 100
+    marked = docs.limit(1).withColumn("text", F.lit("a▁b c"))
+    assert [(r.round_trip, r.text) for r in pieces.encode_texts(marked, path).join(pieces.decode_ids(pieces.encode_texts(marked, path), path), "doc_id").collect()] == [(False, "a b c")]
 
 
 def test_vector_links_equal_brute_force(spark, same_rows, monkeypatch):
