@@ -70,11 +70,18 @@ class Rolling:
             size = max(n, 2 * len(self.powers))
             self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (self.base, self.inverse))
 
-    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The prefix sum of values that between() reads."""
         self._grow(len(values) + 1)
         prefix = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum(values * self.powers[: len(values)], out=prefix[1:])
-        return (prefix[ends] - prefix[starts]) * self.inverses[starts]
+        return prefix
+
+    def between(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (sums[ends] - sums[starts]) * self.inverses[starts]
+
+    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.between(self.sums(values), starts, ends)
 
 
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))

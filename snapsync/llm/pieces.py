@@ -33,7 +33,7 @@ from snapsync.llm.common import KeyTable, Rolling, mix64, slices
 
 MARK = "▁"
 #: Distinct stretches that a worker keeps with their ids before it starts afresh.
-KEPT = 200_000
+KEPT = 1_000_000
 #: Streams that go forward together, and the length from which a stream goes alone.
 TOGETHER, ALONE = 20_000, 512
 
@@ -45,8 +45,8 @@ def _code_points(text: str) -> np.ndarray:
     return mix64(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
 
 
-def _range_keys(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix64(_IN_TEXT.ranges(values, starts, ends) ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
+def _range_keys(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix64(_IN_TEXT.between(sums, starts, ends) ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
 
 
 class Vocabulary:
@@ -74,7 +74,7 @@ class Vocabulary:
         names = sorted(self.prefixes)
         lengths = np.array([len(p) for p in names], np.int64)
         ends = np.cumsum(lengths)
-        self._table = KeyTable(_range_keys(_code_points("".join(names)), ends - lengths, ends))
+        self._table = KeyTable(_range_keys(_IN_TEXT.sums(_code_points("".join(names))), ends - lengths, ends))
         held = [self.pieces.get(p, (-np.inf, -1)) for p in names] + [(-np.inf, -1)]
         self._scores, self._ids = np.array([score for score, _ in held]), np.array([i for _, i in held], np.int32)
         self.text_bytes, self.text_sizes = np.frombuffer(b"".join(self.text), np.uint8), np.array([len(t) for t in self.text], np.int64)
@@ -114,10 +114,10 @@ class Vocabulary:
         self._path(text, ids, back, base, n)
         return ids
 
-    def encode_batch(self, codes: np.ndarray, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all streams in a row, number of ids of each); stream i is codes[starts[i] : starts[i] + sizes[i]]."""
+    def encode_batch(self, codes: np.ndarray, sums: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all streams in a row, number of ids of each); stream i is codes[starts[i] : starts[i] + sizes[i]], sums are those of all code points."""
         order = np.argsort(-sizes, kind="stable")
-        parts = [self._together(values, starts[rows], sizes[rows], rows) for rows in (order[i : i + TOGETHER] for i in range(0, len(order), TOGETHER))]
+        parts = [self._together(sums, starts[rows], sizes[rows], rows) for rows in (order[i : i + TOGETHER] for i in range(0, len(order), TOGETHER))]
         row, end, begin, piece = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
         by_place = np.lexsort((end, row))
         row, begin, piece = row[by_place], begin[by_place], piece[by_place]
@@ -129,7 +129,7 @@ class Vocabulary:
         ids[ids == -1] = [self.bytes[b] for b in b"".join(as_bytes)]
         return ids, np.bincount(row, weights=each, minlength=len(sizes)).astype(np.int64)
 
-    def _together(self, values: np.ndarray, first: np.ndarray, size: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, ...]:
+    def _together(self, sums: np.ndarray, first: np.ndarray, size: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, ...]:
         """(stream, end, start, id) of each piece on the best paths; streams come longest first, id is -1 for bytes."""
         n, longest = len(size), self.longest
         ring, hold, every = longest + 1, 4 * longest, max(1, longest // 2)
@@ -152,7 +152,7 @@ class Vocabulary:
         for end in range(1, int(size[0]) + 1 if n else 0):
             m = int(np.searchsorted(-size, -end, side="right"))
             starts = np.arange(max(0, end - longest), end)
-            keys = _range_keys(values, (first[:m, None] + starts).ravel(), np.repeat(first[:m] + end, len(starts)))
+            keys = _range_keys(sums, (first[:m, None] + starts).ravel(), np.repeat(first[:m] + end, len(starts)))
             found = self._table.find(keys).reshape(m, len(starts))
             if end % every == 0 and end > every:
                 # Boundaries that survive: their characters up to here begin a piece; the last one always does.
@@ -218,17 +218,18 @@ class Codec:
     def _forget(self) -> None:
         self._keys, self._starts, self._sizes, self._ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _learn(self, keys: np.ndarray, codes: np.ndarray, values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, codes: np.ndarray, sums: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         alone = np.flatnonzero(sizes > ALONE)
         rest = np.flatnonzero(sizes <= ALONE)
-        ids, counts = self.vocabulary.encode_batch(codes, values, starts[rest], sizes[rest])
+        ids, counts = self.vocabulary.encode_batch(codes, sums, starts[rest], sizes[rest])
         one_by_one = [np.array(self.vocabulary.encode_stream(codes[starts[i] : starts[i] + sizes[i]].tobytes().decode("utf-32-le", "surrogatepass")), np.int32) for i in alone]
         ids = np.concatenate([ids, *one_by_one])
         counts = np.concatenate([counts, np.array([len(x) for x in one_by_one], np.int64)])
-        keys = np.concatenate([self._keys, keys[rest], keys[alone]])
-        starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(counts) - counts])
-        order = np.argsort(keys)
-        self._keys, self._starts, self._sizes = keys[order], starts[order], np.concatenate([self._sizes, counts])[order]
+        order = np.argsort(np.concatenate([rest, alone]))  # back in the order of the keys
+        at = np.searchsorted(self._keys, keys)
+        self._starts = np.insert(self._starts, at, (len(self._ids) + np.cumsum(counts) - counts)[order])
+        self._sizes = np.insert(self._sizes, at, counts[order])
+        self._keys = np.insert(self._keys, at, keys)
         self._ids = np.concatenate([self._ids, ids])
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -246,14 +247,14 @@ class Codec:
         cut[row_starts] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(text))
-        values = mix64(text.astype(np.uint64) + np.uint64(1))
-        keys, first, inverse = np.unique(_range_keys(values, starts, ends), return_index=True, return_inverse=True)
+        sums = _IN_TEXT.sums(mix64(text.astype(np.uint64) + np.uint64(1)))
+        keys, first, inverse = np.unique(_range_keys(sums, starts, ends), return_index=True, return_inverse=True)
         if len(self._keys) + len(keys) > KEPT:
             self._forget()
         at = np.searchsorted(self._keys, keys)
         new = np.flatnonzero(self._keys[np.minimum(at, len(self._keys) - 1)] != keys) if len(self._keys) else np.arange(len(keys))
         if len(new):
-            self._learn(keys[new], text, values, starts[first[new]], (ends - starts)[first[new]])
+            self._learn(keys[new], text, sums, starts[first[new]], (ends - starts)[first[new]])
             at = np.searchsorted(self._keys, keys)
         place = at[inverse]
         sizes = self._sizes[place]

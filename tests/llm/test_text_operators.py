@@ -233,7 +233,7 @@ def test_pieces_round_trip_and_best_path(docs):
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     sizes = np.array([len(t) for t in texts])
     vocabulary.commits = 0
-    ids, counts = vocabulary.encode_batch(codes, pieces._code_points("".join(texts)), np.cumsum(sizes) - sizes, sizes)
+    ids, counts = vocabulary.encode_batch(codes, pieces._IN_TEXT.sums(pieces._code_points("".join(texts))), np.cumsum(sizes) - sizes, sizes)
     assert vocabulary.commits > len(texts)
     got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
     assert got == [best(t) for t in texts]
