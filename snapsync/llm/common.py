@@ -144,6 +144,28 @@ def slices(column: pa.Array, most_bytes: int = 1 << 20):
         yield at, len(sizes)
 
 
+def by_group(batches, keys: list[str]):
+    """(key, table) of each run of rows with equal keys in batches sorted by them; a run may go on in the next batch."""
+    last, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(c[a] for c in columns)
+            if key != last and held:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df written as Parquet in the shared checkpoint folder and read again.
 

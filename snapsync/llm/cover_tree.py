@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from snapsync.llm.common import mix64, written
 from snapsync.llm.components import components
-from snapsync.llm.ngram_join import _local_roots
+from snapsync.llm.ngram_join import local_roots
 
 LEAF, PIVOTS, LEVELS = 1000, 12, 12
 #: Slack for rounding of distances; the cosines decide in the end.
@@ -114,7 +114,7 @@ def _linked(threshold: float):
             hit = np.einsum("ij,ij->i", x[i], x[j]) / (lengths[i] * lengths[j]) >= threshold
             linked[i[hit], j[hit]] = linked[j[hit], i[hit]] = True
         np.fill_diagonal(linked, False)
-        root, met = _local_roots(linked), linked.any(axis=1)
+        root, met = local_roots(linked), linked.any(axis=1)
         return pd.DataFrame({"a": reps[met], "b": reps[root[met]], "links": (linked.astype(np.float64) @ copies)[met].astype(np.int64)})
 
     return run

@@ -32,7 +32,7 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_similar(table(spark, sf_dir, "documents"), n=5, threshold=(8, 10), recall=0.999).drop("text_key")
+    return ngram_join.join_similar(table(spark, sf_dir, "documents"), n=5, threshold=(8, 10), recall=0.9999).drop("text_key")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,46 @@ def test_ngram_join_equals_brute_force(spark):
     assert ngram_join.join_similar(df.where("false")).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "q"), (None, None)], "doc_id long, text string")
     assert ngram_join.keep_first(twice).count() == 3
+    names = df.select(F.concat(F.lit("id-"), "doc_id").alias("doc_id"), "text").withColumns({c: F.lit("mine") for c in ("kept_id", "kept_key", "low", "high", "class_id", "component_id", "leaves", "__kept_id")})
+    kept = ngram_join.keep_first(names)
+    assert kept.columns == names.columns and kept.where("kept_id = 'mine'").count() == len(set(roots.values()))
+
+
+def chain(n, words=100, step=1):
+    """Each text has all but `step` words of the one before: neighbours are similar, the ends have nothing in common."""
+    return {k: " ".join(f"c{k * step + j}" for j in range(words)) for k in range(n)}
+
+
+def test_a_chain_of_near_copies_makes_rows_in_proportion(spark):
+    rows = []
+    for n in (300, 1200):
+        df = spark.createDataFrame(list(chain(n).items()), "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))
+        sketched = df.mapInArrow(*ngram_join._sketches(5, "bigint")).withColumn("rep", F.col("doc_id"))
+        met = ngram_join.leaves(sketched.select("rep", "sketch"), 0, 21, 0.8)
+        rows.append(met.count())
+        links = brute_jaccard(chain(n))
+        got = ngram_join.join_similar(df).agg(F.sum("n_links").alias("n"), F.max("component_id").alias("last")).first()
+        assert 0.995 * 2 * len(links) <= got.n <= 2 * len(links) and got.last == 0
+    assert rows[1] < 4.6 * rows[0]
+
+
+def test_runs_are_repeated_until_the_recall_is_reached(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = {}
+    for k in range(150):  # pairs about as similar as the threshold asks
+        w = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts[2 * k] = " ".join(w)
+        for at in rng.sample(range(200), 4):
+            w[at] = f"v{rng.randrange(10**6)}"
+        texts[2 * k + 1] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    links = brute_jaccard(texts)
+    assert len(links) > 100
+    for runs in (None, 3):
+        if runs:
+            monkeypatch.setattr(ngram_join, "runs_for", lambda recall, threshold: runs)
+        found = ngram_join.join_similar(df).agg(F.sum("n_links")).first()[0] / 2
+        assert 0.99 * len(links) <= found <= len(links), runs
 
 
 def test_keep_first_leaves_rows_that_link_with_nothing(spark):
