@@ -171,7 +171,9 @@ def surrogate(key: str, kind: Column, entity: Column, draw: Column) -> Column:
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """kind, entity, surrogate: distinct surrogates for the distinct rows (kind, entity)."""
-    todo, parts = entities.withColumn("draw", F.lit(0)), []
+    # A drawing costs far more than its row's bytes tell: rows are dealt out by number, which sizes don't undo.
+    parallel = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo, parts = entities.repartition(parallel).withColumn("draw", F.lit(0)), []
     for _ in range(DRAWS):
         drawn = todo.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("entity"), F.col("draw")))
         first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("entity")) == 1

@@ -297,17 +297,39 @@ def test_vector_links_equal_brute_force(spark, same_rows, monkeypatch):
         v = centres[rng.integers(30)] + rng.normal(size=16) * rng.choice([0.0, 0.05, 0.15, 0.5])
         rows.append((i, [float(np.float32(x)) for x in v], int(i % 2)))
     rows += [(700, None, 0), (701, [0.0] * 16, 0), (702, [math.nan] + [1.0] * 15, 0), (703, rows[0][1], None), (704, [None] + [1.0] * 15, 0), (705, [1.0], 0), (706, [], 0)]
+    tight = rng.normal(size=16)
+    rows += [(1000 + i, [float(np.float32(x)) for x in tight + rng.normal(size=16) * 0.02], 5) for i in range(150)]  # one ball, all alike
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("rep", F.lit(1))
-    good = [(i, np.array(v, np.float64), k) for i, v, k in rows[:600]]
+    good = [(i, np.array(v, np.float64), k) for i, v, k in rows[:600] + rows[-150:]]
     links = [(a[0], b[0]) for a, b in itertools.combinations(good, 2) if a[2] == b[2] and a[1] @ b[1] / np.sqrt(a[1] @ a[1]) / np.sqrt(b[1] @ b[1]) >= 0.98]
     assert len(links) > 500
     roots, n = roots_of([r[0] for r in rows], links), collections.Counter(i for p in links for i in p)
-    for leaf, pivots in ((1000, 12), (40, 6)):
-        monkeypatch.setattr(cover_tree, "LEAF", leaf)
-        monkeypatch.setattr(cover_tree, "PIVOTS", pivots)
+    for leaf, pivots, least, part in ((1500, 48, 96, 20_000), (40, 12, 8, 100)):
+        for name, value in (("LEAF", leaf), ("PIVOTS", pivots), ("LEAST", least), ("PART", part)):
+            monkeypatch.setattr(cover_tree, name, value)
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.link_vectors(df).collect()}
         assert got == {r[0]: (n[r[0]], roots[r[0]], roots[r[0]] == r[0]) for r in rows}
     assert cover_tree.link_vectors(df.where("false")).count() == 0
+    far = [("a", [1e-200, 0.0], "x"), ("b", [2e-200, 0.0], "x"), ("c", [1e200, 1e200], "x"), ("d", [2e200, 2e200], "x"), ("e", [1e-310, 1e-310], "x"), ("f", [1.0, 0.0], "y")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.link_vectors(spark.createDataFrame(far, "vec_id string, embedding array<double>, label string")).collect()}
+    assert got == {"a": (1, "a"), "b": (1, "a"), "c": (2, "c"), "d": (2, "c"), "e": (2, "c"), "f": (0, "f")}
+
+
+def test_cover_tree_is_nested_and_prunes():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 3))
+    x = cover_tree._units(np.repeat(centres, 25, axis=0) + rng.normal(size=(1000, 3)) * 0.01)
+    tree = cover_tree.nets(x)
+    for level, radius in enumerate(cover_tree.RADII):
+        mine, gap = tree[0][level], tree[1][level]
+        own = np.unique(mine)
+        assert (mine[own] == own).all() and gap.max() <= radius
+        if level:
+            assert set(np.unique(tree[0][level - 1])) <= set(own)  # nested
+            assert (tree[0][level - 1][mine] == tree[0][level - 1]).all()  # one parent
+    some, done = cover_tree.dual_traversal(x, tree, x, tree, 0.2)
+    close = x @ x.T >= 0.98
+    assert not (close & ~some).any() and some.sum() < 200_000 and done < 1_700_000
 
 
 def test_mixing_equals_sql(spark, same_rows, docs):
