@@ -7,9 +7,10 @@ coefficient. A run sends a class down the paths of those of its tokens that a ha
 two to `SMALL` classes are leaves; larger ones are split again, up to `DEPTH` tokens deep.
 
 Pairs are compared in the leaves and nowhere else. A pair that meets in several leaves counts in the least of them, as
-each class brings the list of its leaves along. In a leaf the sketches tell first which classes have a partner; only
-those bring their whole sets to it, and the sets decide. A leaf that is large to the end is a group of near copies; it
-is compared in blocks of at most `BLOCK` sets. Tasks give, for each class, its number of links in a leaf and one link
+each class brings the list of its leaves along. Lists (and in small leaves sketches) tell first which classes have a
+partner that they don't meet in a lesser leaf; only those bring their whole sets to it, and the sets decide. A leaf that
+is large to the end is a group of near copies, looked at in blocks of at most `LISTS` lists and `BLOCK` sets; nearly all
+of its pairs met in a lesser leaf, so few of its classes bring their sets. Tasks give, for each class, its number of links in a leaf and one link
 to the first class that it reaches there, never the pairs.
 
 The number of runs follows from the recall that is asked for. It is then measured: pairs met in even runs and in odd
@@ -35,8 +36,8 @@ from snapsync.llm.common import _IN_WINDOW, Words, by_group, free_names, mix64,
 from snapsync.llm.components import components
 
 TOKENS, SMALL, DEPTH = 64, 48, 4
-#: Sets and n-grams of a block of a large leaf.
-BLOCK, BLOCK_GRAMS = 512, 1 << 21
+#: Lists of a block of a large leaf, sets of a block, and n-grams of a block.
+LISTS, BLOCK, BLOCK_GRAMS = 2048, 1024, 1 << 21
 #: Share of equal tokens from which whole sets are compared: the threshold less four standard errors.
 SLACK = 4.0
 #: Bits of a bucket's number below the number of its run.
@@ -198,6 +199,24 @@ def _with_partner(threshold: float):
     return run
 
 
+def _not_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes of large leaves (or of two blocks of one) that have a partner there which they don't meet elsewhere."""
+    for (bucket, _, _), group in by_group(batches, ["bucket", "one", "two"]):
+        reps, side = group["rep"].to_numpy(), group["own"].to_numpy()
+        alone = ~_elsewhere(group, bucket)
+        np.fill_diagonal(alone, False)
+        if (side != side[0]).any():
+            alone &= side[:, None] != side[None, :]
+        some = alone.any(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(np.full(int(some.sum()), bucket, np.int64))], ["rep", "bucket"])
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (rep, bucket, blocks, ...) once for each block of their bucket, with own block and pair of blocks (one, two)."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return rows.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).drop("blocks", "other")
+
+
 def local_roots(linked: np.ndarray) -> np.ndarray:
     """For each node of a small symmetric matrix of links, the first node that it reaches."""
     n = len(linked)
@@ -260,16 +279,17 @@ def _links(classes: DataFrame, docs: DataFrame, met: DataFrame, lists: DataFrame
     parts, whole = threshold
     small = met.where(~F.col("large")).select("rep", "bucket").join(classes.select("rep", "sketch"), "rep").join(lists, "rep")
     some = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_with_partner(parts / whole), "rep long, bucket long")
-    need = written(some.unionByName(met.where("large").select("rep", "bucket")))
+    keys = ["bucket", "one", "two"]
+    large = met.where("large").select("rep", "bucket")
+    sizes = written(large.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / LISTS).cast("int").alias("blocks")))
+    open_ = _in_blocks(large.join(sizes, "bucket")).join(lists, "rep").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_not_met, "rep long, bucket long")
+    need = written(some.unionByName(open_.distinct()))
     wanted = need.select("rep").distinct().join(classes.drop("sketch"), "rep")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_grams") / BLOCK_GRAMS)).cast("int")
     sizes = written(need.join(classes.select("rep", "n_grams"), "rep").groupBy("bucket").agg(blocks.alias("blocks")))
-    texts = docs.withColumnsRenamed({"doc_id": "class_id", "text_key": "class_key"}).dropDuplicates(["class_id", "class_key"])
-    sets = written(texts.join(wanted, ["class_id", "class_key"]).select("rep", "copies", "text").mapInArrow(_sets(n), "rep long, copies long, grams binary"))
-    members = need.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    members = members.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).drop("blocks", "other")
-    members = members.join(sets, "rep").join(lists, "rep")
-    keys = ["bucket", "one", "two"]
+    texts = docs.withColumnsRenamed({"doc_id": "class_id", "text_key": "class_key"})
+    sets = written(texts.join(wanted, ["class_id", "class_key"]).dropDuplicates(["class_id", "class_key"]).select("rep", "copies", "text").mapInArrow(_sets(n), "rep long, copies long, grams binary"))
+    members = _in_blocks(need.join(sizes, "bucket")).join(sets, "rep").join(lists, "rep")
     return written(members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(parts, whole), "a long, b long, links long, even long, odd long, both long"))
 
 
