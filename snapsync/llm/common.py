@@ -166,15 +166,25 @@ def by_group(batches, keys: list[str]):
         yield last, pa.Table.from_batches(held)
 
 
+#: Spark's setting by which a query's shuffle files go when it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df written as Parquet in the shared checkpoint folder and read again.
 
-    Later reads see the same rows whatever executors are lost. The files stay until that folder is cleared.
+    Later reads see the same rows whatever executors are lost, so what was shuffled for them is removed at once. The
+    files stay until that folder is cleared.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,17 +1,23 @@
 """Substring dedup over a de Bruijn graph of word k-mers.
 
-Every run of `span` consecutive words of a document is an edge between its first and its last span-1 words. Edges that
-two documents hold are repeated; repeated edges that follow each other without a branch compact to one path, kept as
-coordinates in the first document that has it. A document loses each word that lies under an edge of a document with
-a smaller id.
+Every run of `span` consecutive words of a document is an edge from the node of its first span-1 words to the node of
+its last span-1 words; the two together name all of its words. Edges that two rows hold are repeated. Nodes of the
+repeated edges that more than one edge enters or leaves are branching. Repeated edges that follow each other in their
+source, the row with the least id that has them, without a branching node between are a run; runs that meet at a node
+without a branch compact to paths, by joins that double their reach (`compact`).
 
-Not all edges are shuffled. Each edge has an anchor, the least hash among its k-mers of half its length; equal edges
-have equal anchors, and neighbouring edges mostly share theirs. Only anchors are counted over the corpus (about one
-for 13 words), and only edges whose anchor occurs in two documents become rows. This loses nothing.
+A document loses each word that lies under an edge of a document with a smaller id. Its stretches along a run are
+verified: the words at the source's place must be the same, by the SHA-256 of both; what isn't the same stays. Verified
+stretches that go on along one path are one repeated span.
+
+Not all edges are shuffled. Each edge has an anchor, the least hash among its k-mers of a third of its length; equal
+edges have equal anchors, and neighbouring edges mostly share theirs. Only anchors are counted over the corpus (about
+one for 18 words), and only edges whose anchor occurs in two rows become rows. This loses nothing.
 
 Results for odd input: a null or blank text has no words, loses none, and its kept text is the empty string; texts
 shorter than `span` lose nothing; rows with a null id lose nothing and remove nothing elsewhere; rows that share an id
-are compared with smaller ids only, not with each other; further columns are ignored.
+are compared with smaller ids only, not with each other; ids of any type that has an order are taken; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +34,13 @@ from pyspark.sql.window import Window
 from snapsync.llm.common import Words, mix64, slices, written
 
 _NONE = np.uint64(2**64 - 1)
+#: Places of a source that one window of runs takes; a longer source is cut, and its runs meet again as paths.
+STRETCH = 1 << 16
 
 
-def _edges(words: Words, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First word, hash, second hash and anchor of each edge."""
-    hashes = words.hashes()
-    at, edge = words.windows(hashes, span)
-    k = max(1, span // 2)
+def _anchors(words: Words, hashes: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    """Anchor of each edge (first words at)."""
+    k = max(1, span // 3)
     low = np.full(len(hashes), _NONE)
     where, mers = words.windows(hashes, k)
     low[where] = mers
@@ -42,149 +48,217 @@ def _edges(words: Words, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     while have < width:
         step = min(have, width - have)
         low, have = np.minimum(low[: len(low) - step], low[step:]), have + step
-    _, second = words.windows(mix64(hashes ^ np.uint64(0x2545F4914F6CDD1D)), span)
-    return at, edge.view(np.int64), second.view(np.int64) >> np.int64(32), low[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
+    return low[at].view(np.int64) if len(at) else np.zeros(0, np.int64)
+
+
+def _edges(words: Words, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, tail node, head node and anchor of each edge."""
+    hashes = words.hashes()
+    where, nodes = words.windows(hashes, span - 1)
+    held = np.zeros(len(hashes) + 1, np.uint64)
+    held[where] = nodes
+    at, _ = words.windows(hashes, span)
+    return at, held[at].view(np.int64), held[at + 1].view(np.int64), _anchors(words, hashes, at, span)
 
 
 def _row_ranges(rows: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(rows, np.arange(n + 1))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    for batch in batches:
+        for low, high in slices(batch["text"]):
+            part = batch.slice(low, high - low)
+            yield part, Words(part["text"])
+
+
 def _summaries(span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in slices(batch["text"]):
-                part = batch.slice(low, high - low)
-                words = Words(part["text"])
-                at, _, _, anchor = _edges(words, span)
-                bounds = _row_ranges(words.row[at], words.rows)
-                texts = part["text"].cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part["doc_id"],
-                        part["text_key"],
-                        pa.array(words.counts, pa.int64()),
-                        pa.array([hashlib.sha256(b" ".join((t or b"").split())).digest() for t in texts], pa.binary()),
-                        pa.array([np.unique(anchor[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "text_key", "n_words", "words_sha", "anchors"],
-                )
+        for part, words in _parts(batches):
+            hashes = words.hashes()
+            at, _ = words.windows(hashes, span)
+            anchor, bounds = _anchors(words, hashes, at, span), _row_ranges(words.row[at], words.rows)
+            texts = part["text"].cast(pa.binary()).to_pylist()
+            shas = pa.array([hashlib.sha256(b" ".join((t or b"").split())).digest() for t in texts], pa.binary())
+            anchors = pa.array([np.unique(anchor[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], pa.array(words.counts, pa.int64()), shas, anchors], ["doc_id", "text_key", "n_words", "words_sha", "anchors"])
 
     return run
 
 
 def _occurrences(span: int):
-    """The edges of a document whose anchors are repeated, each once, at its first place."""
+    """The edges of a row whose anchors are repeated, each once, at its first place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in slices(batch["text"]):
-                part = batch.slice(low, high - low)
-                words = Words(part["text"])
-                at, edge, second, anchor = _edges(words, span)
-                bounds = _row_ranges(words.row[at], words.rows)
-                anchors = part["anchors"]
-                for i in range(words.rows):
-                    a, b = bounds[i], bounds[i + 1]
-                    hit = np.flatnonzero(np.isin(anchor[a:b], anchors[i].values.to_numpy())) + a
-                    hit = hit[np.sort(np.unique(edge[hit], return_index=True)[1])]
-                    if len(hit):
-                        n = len(hit)
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(n, part["doc_id"][i].as_py(), np.int64)),
-                                pa.array(np.full(n, part["text_key"][i].as_py(), np.int64)),
-                                pa.array((at[hit] - words.first_word[i]).astype(np.int32)),
-                                pa.array(edge[hit]),
-                                pa.array(second[hit].astype(np.int32)),
-                            ],
-                            ["doc_id", "text_key", "place", "edge", "second"],
-                        )
+        for part, words in _parts(batches):
+            at, tail, head, anchor = _edges(words, span)
+            bounds, anchors = _row_ranges(words.row[at], words.rows), part["anchors"]
+            found = [np.zeros(0, np.int64)]
+            for i in range(words.rows):
+                a, b = bounds[i], bounds[i + 1]
+                hit = np.flatnonzero(np.isin(anchor[a:b], anchors[i].values.to_numpy())) + a
+                found.append(hit[np.sort(np.unique(_name(tail[hit], head[hit]), return_index=True)[1])])
+            hit = np.concatenate(found)
+            row = words.row[at[hit]]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part["row"].take(take), part["doc_id"].take(take), pa.array((at[hit] - words.first_word[row]).astype(np.int32)), pa.array(tail[hit]), pa.array(head[hit])], ["row", "doc_id", "place", "tail", "head"])
 
     return run
 
 
-def _removals(span: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in slices(batch["text"]):
-                part = batch.slice(low, high - low)
-                words = Words(part["text"])
-                at, edge, _, _ = _edges(words, span)
-                bounds = _row_ranges(words.row[at], words.rows)
-                texts, spans = part["text"].cast(pa.binary()).to_pylist(), part["spans"]
-                removed, kept = [], []
-                for i, text in enumerate(texts):
-                    own = edge[bounds[i] : bounds[i + 1]]
-                    ranges = spans[i].values
-                    first, n = ranges.field("first").to_numpy(), ranges.field("edges").to_numpy()
-                    steps = np.zeros(len(own) + 1, np.int64)
-                    np.add.at(steps, first, 1)
-                    np.add.at(steps, first + n, -1)
-                    under = np.isin(own, own[np.cumsum(steps)[:-1] > 0])  # the same edge elsewhere in this text too
-                    cover = np.zeros(words.counts[i] + 1, np.int64)
-                    starts = np.flatnonzero(under)
-                    np.add.at(cover, starts, 1)
-                    np.add.at(cover, starts + span, -1)
-                    keep = np.cumsum(cover)[:-1] == 0
-                    removed.append(int(len(keep) - keep.sum()))
-                    kept.append(hashlib.sha256(b" ".join([w for w, k in zip(text.split(), keep.tolist()) if k])).digest())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_key"], pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "text_key", "n_removed", "kept_sha"])
+def _name(tail: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """One number for an edge, good enough within a text."""
+    return mix64(tail.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) ^ head.view(np.uint64)
 
-    return run
+
+def repeated_edges(occurrences: DataFrame) -> DataFrame:
+    """tail, head, doc_id, row, place of each edge that two rows hold, in the row with the least id that has it."""
+    edges = occurrences.groupBy("tail", "head").agg(F.min(F.struct("doc_id", "row", "place")).alias("source"), F.count(F.lit(1)).alias("n_rows"))
+    return edges.where("n_rows > 1").select("tail", "head", "source.*")
 
 
-def repeated_paths(occurrences: DataFrame) -> DataFrame:
-    """Each repeated edge with the compacted path that it lies on.
+def branching_nodes(edges: DataFrame) -> DataFrame:
+    """node: those that more than one edge enters or more than one leaves."""
+    ends = edges.select(F.col("tail").alias("node"), F.lit(0).alias("enters"), F.lit(1).alias("leaves")).unionByName(edges.select(F.col("head").alias("node"), F.lit(1).alias("enters"), F.lit(0).alias("leaves")))
+    return ends.groupBy("node").agg(F.sum("enters").alias("enters"), F.sum("leaves").alias("leaves")).where("enters > 1 OR leaves > 1").select("node")
 
-    Edges are counted by document. One that follows its predecessor in the source document, and is held by as many
-    documents, continues the predecessor's path; a branch changes the count, or breaks the order.
+
+def source_runs(edges: DataFrame, branching: DataFrame) -> DataFrame:
+    """edges with first: the place where the edge's run in its source begins."""
+    flagged = edges.join(branching.select(F.col("node").alias("tail"), F.lit(True).alias("branches")), "tail", "left")
+    order = Window.partitionBy("row", F.floor(F.col("place") / STRETCH)).orderBy("place")
+    goes_on = (F.lag("place").over(order) == F.col("place") - 1) & F.col("branches").isNull()
+    starts = F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("place"))
+    return flagged.select("tail", "head", "doc_id", "row", "place", F.max(starts).over(order).alias("first"))
+
+
+def compact(runs: DataFrame, branching: DataFrame) -> DataFrame:
+    """run, path, offset of each row of runs (run, n, tail, head): the path's first run, and the edges before this one.
+
+    A run's predecessor ends in the node where it begins, if that node doesn't branch. In each round a run asks the one
+    that it points to where that points, so reach doubles. Runs in a ring never get to an end; each is its own path.
     """
-    edges = (
-        occurrences.groupBy("edge", "second")
-        .agg(F.min(F.struct("doc_id", "place")).alias("source"), F.count(F.lit(1)).alias("n_docs"))
-        .where("n_docs > 1")
-        .select("edge", "second", F.col("source.doc_id").alias("source_doc"), F.col("source.place").alias("source_place"), "n_docs")
-    )
-    order = Window.partitionBy("source_doc").orderBy("source_place")
-    starts = F.coalesce((F.lag("source_place").over(order) != F.col("source_place") - 1) | (F.lag("n_docs").over(order) != F.col("n_docs")), F.lit(True))
-    return edges.withColumn("starts", starts).withColumn("path", F.max(F.when(F.col("starts"), F.col("source_place"))).over(order)).drop("starts")
+    ends = runs.select(F.col("run").alias("before"), F.col("n").alias("offset"), F.col("head").alias("tail"))
+    links = runs.select("run", "tail").join(ends, "tail").join(branching.select(F.col("node").alias("tail")), "tail", "left_anti")
+    state = written(runs.select("run").join(links.select("run", "before", "offset"), "run", "left").select("run", F.coalesce("before", "run").alias("path"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset")))
+    total, reach = state.count(), 1
+    while True:
+        ends_at = state.select(F.col("run").alias("path"), F.col("path").alias("further"), F.col("offset").alias("more"))
+        moved = written(state.join(ends_at, "path").select("run", "path", F.col("further").alias("next"), F.col("offset").alias("was"), (F.col("offset") + F.col("more")).alias("offset")))
+        state, reach = moved.select("run", F.col("next").alias("path"), "offset"), 2 * reach
+        open_ = moved.where("path <> next")
+        if open_.isEmpty():
+            return state
+        if reach > 2 * total:  # as far as any chain can go: what is still open goes round
+            ring = moved["path"] != moved["next"]
+            return moved.select("run", F.when(ring, F.col("run")).otherwise(F.col("next")).alias("path"), F.when(ring, F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"))
 
 
-def repeated_spans(occurrences: DataFrame) -> DataFrame:
-    """One row per document with the ranges of edges that a smaller document holds.
+def repeated_stretches(occurrences: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """row, first, edges, source_row, source_place, path, shift: stretches of a row along one run of a smaller document.
 
-    A traversal of a path is one range if its places run along the source's without a gap; else each edge is its own.
+    A stretch is one if its places run along the source's without a gap; else each edge is its own. shift: the place in
+    the row less the place on the path. edges: those of source_runs with their run; paths: of compact().
     """
-    paths = repeated_paths(occurrences)
+    known = edges.join(paths, "run").select("tail", "head", F.col("doc_id").alias("source_doc"), F.col("row").alias("source_row"), F.col("place").alias("source_place"), "path", (F.col("place") - F.col("first") + F.col("offset")).alias("along"))
     # Both sides are dealt out anew for this join, so Spark can split hot edges.
-    met = occurrences.join(paths, ["edge", "second"]).where("doc_id > source_doc").select("doc_id", "text_key", "place", "source_doc", "path", (F.col("place") - F.col("source_place")).alias("shift"))
-    runs = met.groupBy("doc_id", "text_key", "source_doc", "path", "shift").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.collect_list("place").alias("places"))
+    met = occurrences.join(known, ["tail", "head"]).where("doc_id > source_doc")
+    met = met.select("row", "place", "source_row", "path", (F.col("place") - F.col("source_place")).alias("away"), (F.col("place") - F.col("along")).alias("shift"))
+    groups = met.groupBy("row", "source_row", "path", "away", "shift").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.collect_list("place").alias("places"))
     whole = F.col("high") - F.col("low") + 1 == F.size("places")
     single = F.transform("places", lambda x: F.struct(x.alias("first"), F.lit(1).alias("edges")))
-    ranges = F.when(whole, F.array(F.struct(F.col("low").alias("first"), F.size("places").alias("edges")))).otherwise(single)
-    return runs.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list(ranges)).alias("spans"))
+    ranges = groups.select("row", "source_row", "path", "away", "shift", F.inline(F.when(whole, F.array(F.struct(F.col("low").alias("first"), F.size("places").alias("edges")))).otherwise(single)))
+    return ranges.select("row", "first", "edges", "source_row", (F.col("first") - F.col("away")).alias("source_place"), "path", "shift")
+
+
+def _words_digest(words: list[bytes], first: int, edges: int, span: int) -> bytes:
+    return hashlib.sha256(b" ".join(words[first : first + edges + span - 1])).digest()
+
+
+def _source_digests(span: int):
+    """The digest of the words at each asked stretch of a source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, asked in zip(batch["row"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["asked"].to_pylist()):
+                words = text.split()
+                yield pa.RecordBatch.from_pylist([{"source_row": row, "source_place": a["source_place"], "edges": a["edges"], "sha": _words_digest(words, a["source_place"], a["edges"], span)} for a in asked], schema=_DIGESTS)
+
+    return run
+
+
+_DIGESTS = pa.schema([("source_row", pa.int64()), ("source_place", pa.int32()), ("edges", pa.int32()), ("sha", pa.binary())])
+
+
+def _removals(span: int):
+    """Words under verified stretches go; stretches that go on along their path are counted as one span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, words in _parts(batches):
+            at, tail, head, _ = _edges(words, span)
+            bounds, names = _row_ranges(words.row[at], words.rows), _name(tail, head)
+            removed, spans, kept = [], [], []
+            for i, (text, asked) in enumerate(zip(part["text"].cast(pa.binary()).to_pylist(), part["spans"].to_pylist())):
+                own, tokens = names[bounds[i] : bounds[i + 1]], text.split()
+                asked = [x for x in asked if _words_digest(tokens, x["first"], x["edges"], span) == x["sha"]]
+                covered = np.zeros(len(own), bool)
+                ends: dict[tuple[int, int], int] = {}
+                n = 0
+                for x in sorted(asked, key=lambda x: x["first"]):
+                    covered[x["first"] : x["first"] + x["edges"]] = True
+                    n += ends.get((x["path"], x["shift"])) != x["first"]
+                    ends[x["path"], x["shift"]] = x["first"] + x["edges"]
+                under = np.flatnonzero(np.isin(own, own[covered]))  # the same edge elsewhere in this text too
+                cover = np.zeros(len(tokens) + 1, np.int64)
+                np.add.at(cover, under, 1)
+                np.add.at(cover, under + span, -1)
+                keep = np.cumsum(cover)[:-1] == 0
+                removed.append(int(len(keep) - keep.sum()))
+                spans.append(n)
+                kept.append(hashlib.sha256(b" ".join([w for w, k in zip(tokens, keep.tolist()) if k])).digest())
+            yield pa.RecordBatch.from_arrays([part["row"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_removed", "n_spans", "kept_sha"])
+
+    return run
 
 
 def dedup_substrings(docs: DataFrame, span: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row of docs (columns doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    docs = docs.withColumn("text_key", F.xxhash64("text"))
-    summary = written(docs.mapInArrow(_summaries(span), "doc_id long, text_key long, n_words long, words_sha binary, anchors array<long>"))
+    """doc_id, n_words, n_removed, kept_sha256, n_spans of each row of docs (columns doc_id, text); span: 2 or more.
+
+    n_spans: repeated spans that the row lost; a whole copy of an earlier document is one.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    summary = written(docs.mapInArrow(_summaries(span), f"doc_id {kind}, text_key long, n_words long, words_sha binary, anchors array<long>").withColumn("row", F.monotonically_increasing_id()))
     # Whole copies of an earlier document go entirely; they need no look at their edges.
-    copied = written(summary.where((F.col("n_words") >= span) & F.col("doc_id").isNotNull()).groupBy("words_sha").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"))
-    marked = summary.join(copied, "words_sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False)))
-    anchors = written(marked.where(~F.col("copy") & F.col("doc_id").isNotNull()).select("doc_id", "text_key", F.explode("anchors").alias("anchor")))
-    repeated = written(anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"))
-    wanted = anchors.join(repeated, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
+    copied = summary.where((F.col("n_words") >= span) & F.col("doc_id").isNotNull()).groupBy("words_sha").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    marked = written(summary.join(copied, "words_sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False))).drop("first_doc"))
+    anchors = marked.where(~F.col("copy") & F.col("doc_id").isNotNull()).select("row", F.explode("anchors").alias("anchor"))
+    repeated = written(anchors.groupBy("anchor").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("anchor"))
+    wanted = anchors.join(repeated, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = written(wanted.join(marked.select("row", "doc_id", "text_key"), "row"))
+    # The same text under the same id is looked at once.
+    texts = docs.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("row", "doc_id", "text_key", "text", "anchors")
+    texts = written(texts)
+    occurrences = written(texts.select("row", "doc_id", "text", "anchors").mapInArrow(_occurrences(span), f"row long, doc_id {kind}, place int, tail long, head long"))
+    edges = written(repeated_edges(occurrences))
+    branching = written(branching_nodes(edges))
+    edges = written(source_runs(edges, branching))
+    runs = written(edges.groupBy("row", "first").agg(F.count(F.lit(1)).alias("n"), F.min_by("tail", "place").alias("tail"), F.max_by("head", "place").alias("head")).withColumn("run", F.monotonically_increasing_id()))
+    paths = compact(runs.select("run", "n", "tail", "head"), branching)
+    edges = edges.join(runs.select("row", "first", "run"), ["row", "first"])
+    stretches = written(repeated_stretches(occurrences, edges, paths))
+    asked = stretches.select("source_row", "source_place", "edges").distinct().groupBy(F.col("source_row").alias("row")).agg(F.collect_list(F.struct("source_place", "edges")).alias("asked"))
+    digests = texts.select("row", "text").join(asked, "row").mapInArrow(_source_digests(span), "source_row long, source_place int, edges int, sha binary")
+    spans = stretches.join(digests, ["source_row", "source_place", "edges"]).groupBy("row").agg(F.collect_list(F.struct("first", "edges", "sha", "path", "shift")).alias("spans"))
     # Both joins with texts deal out the same columns by the same key, so Spark shuffles the texts once.
-    occurrences = docs.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "anchors").mapInArrow(_occurrences(span), "doc_id long, text_key long, place int, edge long, second int")
-    changed = docs.join(repeated_spans(occurrences), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "spans").dropDuplicates(["doc_id", "text_key"])
-    changed = changed.mapInArrow(_removals(span), "doc_id long, text_key long, n_removed long, kept_sha binary")
+    changed = texts.select("row", "text").join(spans, "row").mapInArrow(_removals(span), "row long, n_removed long, n_spans long, kept_sha binary")
+    changed = changed.join(texts.select("row", "doc_id", "text_key"), "row").drop("row")
     nothing = F.lit(hashlib.sha256(b"").digest())
-    return marked.drop("anchors").join(changed, ["doc_id", "text_key"], "left").select(
+    whole = lambda c: F.when(F.col("copy"), c)
+    return marked.drop("anchors", "row").join(changed, ["doc_id", "text_key"], "left").select(
         "doc_id",
         "n_words",
-        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.lower(F.hex(F.when(F.col("copy"), nothing).otherwise(F.coalesce("kept_sha", "words_sha")))).alias("kept_sha256"),
+        whole(F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.lower(F.hex(whole(nothing).otherwise(F.coalesce("kept_sha", "words_sha")))).alias("kept_sha256"),
+        whole(F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
     )

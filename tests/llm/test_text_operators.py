@@ -351,7 +351,12 @@ def test_substrings_equal_brute_force(spark):
     passage = " ".join(f"p{i}" for i in range(70))
     base += [(3000 + i, " ".join(f"q{rng.randrange(9999)}" for _ in range(30)) + f"  {passage} \n tail{i}") for i in range(20)]
     base += [(4000, "same " * 120), (4001, "same " * 60), (4002, " ".join(f"p{i}" for i in range(49))), (4003, ""), (4004, None), (4001, "same " * 60), (None, passage)]
-    df = spark.createDataFrame(base, "doc_id long, text string").withColumn("edge", F.lit(1))
+    # Paths whose source changes on the way, that end in a branch, and that go round.
+    way = [f"r{i}" for i in range(300)]
+    base += [(5000, " ".join(way[:140])), (5001, " ".join(way[80:220])), (5002, " ".join(way[150:])), (5003, " ".join(way)), (5004, " ".join(way[:100] + ["fork"] + way[100:])), (5005, " ".join(["x"] + way[:100] + ["fork"] + way[101:]))]
+    ring = [f"s{i}" for i in range(60)]
+    base += [(6000, " ".join(ring * 3)), (6001, " ".join(ring[20:] + ring * 3)), (6002, " ".join(ring * 2))]
+    df = spark.createDataFrame(base, "doc_id long, text string").withColumn("edge", F.lit(1)).withColumn("row", F.lit("mine"))
     first = {}
     for i, t in sorted((x for x in base if x[0] is not None), key=lambda x: x[0]):
         w = (t or "").encode().split()
@@ -362,8 +367,21 @@ def test_substrings_equal_brute_force(spark):
         w = (t or "").encode().split()
         gone = set() if i is None else {k for j in range(len(w) - 49) if first[tuple(w[j : j + 50])] < i for k in range(j, j + 50)}
         want[(i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest())] += 1
-    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup_substrings(df).collect()) == want
+    got = substring.dedup_substrings(df).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+    spans = {r.doc_id: r.n_spans for r in got}
+    assert spans[5003] == 2 and spans[5000] == 0 and spans[3019] == spans[5002] == 1  # the source changes twice; one branch is on the way
     assert substring.dedup_substrings(df.where("false")).count() == 0
+    names = substring.dedup_substrings(df.where("doc_id >= 3000").withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in names) == sorted((f"id{i}", n) for i, _, n, _ in want.elements() if i and i >= 3000)
+
+
+def test_paths_compact_by_doubling(spark):
+    # run -> run by nodes: 0-1-2-...-9 in a line, 20-21-22 in a ring, 30 and 31 both lead to a branching node
+    runs = [(i, 5, i, i + 1) for i in range(10)] + [(20, 1, 200, 201), (21, 1, 201, 202), (22, 1, 202, 200)] + [(30, 2, 300, 400), (31, 2, 301, 400), (32, 2, 400, 401)]
+    df = spark.createDataFrame(runs, "run long, n long, tail long, head long")
+    got = {r.run: (r.path, r.offset) for r in substring.compact(df, spark.createDataFrame([(400,)], "node long")).collect()}
+    assert got == {i: (0, 5 * i) for i in range(10)} | {i: (i, 0) for i in (20, 21, 22, 30, 31, 32)}
 
 
 def test_pipeline_stages(spark):
