@@ -1,13 +1,17 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and the character n-grams of words hash to rows of a table of vectors; a document's vector is their mean, and a
-softmax over two classes reads it. Both are trained by stochastic gradient descent in numpy, on the driver, from a
-bounded sample of labelled rows: at most `ROWS_PER_CLASS` rows of each label, the first by a hash of their id. Every
-whole text is then scored in the tasks; as mean and softmax's input are linear, one number for each bucket is enough.
-
-Results for odd input: a null or blank text has no features and gets the score of the bias alone; rows without a
-label, or of an unknown document, train nothing; with one label or none all scores are 0.5; a null id is held in;
-rows that share an id get one row each; further columns are ignored. Ids, labels, lang and source are no features.
+Words, pairs of neighbouring words and the character n-grams of a text (of code points, over word borders too) hash to
+rows of a table of vectors; a document's vector is their mean, and a softmax over two classes reads it. Both are trained
+by stochastic gradient descent in numpy, on the driver, from a bounded sample of labelled rows: at most `ROWS_PER_CLASS`
+rows of each label, the first by a hash of their id. What comes to the driver of a text is its counts by bucket, at most
+`BUCKETS`. Every whole text is then scored in the tasks; as mean and softmax's input are linear, one number for each
+bucket is enough.
+
+Results for odd input: a null or blank text has no words and gets the score of the bias alone, or of its white space;
+rows without a label, or of an unknown document, train nothing, nor do ids with both labels; of several texts of one id
+the one with the least hash trains; with one label or none all scores are 0.5; a null id is held in; ids of any type are
+taken, by their text; rows that share an id get one row each; further columns are ignored. Ids, labels, lang and source
+are no features.
 """
 
 from __future__ import annotations
@@ -21,8 +25,7 @@ from pyspark.sql import functions as F
 
 from snapsync.llm.common import _BYTES, _IN_WORD, Words, mix64, slices
 
-BUCKETS, DIM, NGRAMS, EPOCHS, RATE, DECAY = 1 << 16, 16, (1, 2, 3), 10, 0.3, 0.002
-LAGS, WEIGHT = (1, 2, 3, 4, 5, 6), 4
+BUCKETS, DIM, NGRAMS, EPOCHS, RATE = 1 << 16, 16, (1, 2, 3), 20, 0.5
 ROWS_PER_CLASS = 1500
 
 
@@ -31,22 +34,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each word, each pair of equal words close by, and each character n-gram of a word with its edges."""
+    """(row, bucket) of each word, each two words in a row, and each character n-gram, all white space being one."""
     words = Words(column)
     hashes = words.hashes()
-    data = np.where(np.isin(words.bytes, np.frombuffer(b"\t\n\x0b\x0c\r", np.uint8)), np.uint8(32), words.bytes)
-    space = np.concatenate([np.zeros(1, np.int64), np.cumsum(data == 32)])
-    owner = np.searchsorted(words.offsets, np.arange(len(data)), side="right") - 1
     rows, found = [words.row], [hashes]
-    for lag in LAGS:  # a word that stands there again is a word pair of its own kind
-        again = np.flatnonzero((hashes[lag:] == hashes[:-lag]) & (words.row[lag:] == words.row[:-lag])) + lag
-        rows.append(np.repeat(words.row[again], WEIGHT))
-        found.append(np.repeat(mix64(np.array([lag], np.uint64) * np.uint64(0x9E3779B97F4A7C15)), WEIGHT * len(again)))
+    at, pairs = words.windows(hashes, 2)
+    rows.append(words.row[at])
+    found.append(pairs)
+    data = np.where(np.isin(words.bytes, np.frombuffer(b"\t\n\x0b\x0c\r", np.uint8)), np.uint8(32), words.bytes)
+    # Code points start at bytes that don't continue one; one place more than there are ends the last.
+    places = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    owner = np.searchsorted(words.offsets, places[:-1], side="right") - 1
+    values = _BYTES[data]
+    sums = _IN_WORD.sums(values)
     for size in NGRAMS:
-        at = np.arange(max(0, len(data) - size + 1))
-        inner = space[at + max(1, size - 1)] - space[at + min(1, size - 1)] == 0  # white space at the edges only
-        at = at[inner & (words.offsets[owner[at] + 1] >= at + size)]
-        found.append(mix64(_IN_WORD.ranges(_BYTES[data], at, at + size) + np.uint64(size * 0x5851F42D4C957F2D & (2**64 - 1))))
+        at = np.arange(max(0, len(owner) - size + 1))
+        at = at[owner[at] == owner[at + size - 1]]
+        found.append(mix64(_IN_WORD.between(sums, places[at], places[at + size]) + np.uint64(size * 0x5851F42D4C957F2D & (2**64 - 1))))
         rows.append(owner[at])
     return np.concatenate(rows), (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64)
 
@@ -64,12 +68,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> tuple[np.ndarray, float]:
     """(one number for each bucket, bias): the logit of label 1 is the mean of the numbers plus the bias."""
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id"))).dropDuplicates(["label_id"])
+    known = labels.select(F.col("doc_id").cast("string").alias("label_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
+    known = known.groupBy("label_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     first = [known.where(F.col("label") == k).orderBy(F.xxhash64("label_id"), "label_id").limit(rows_per_class) for k in (0, 1)]
     sample = first[0].unionByName(first[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text")
-    found = rows.mapInArrow(_counted, "doc_id long, label int, buckets array<int>, counts array<int>").dropDuplicates(["doc_id"]).toArrow()
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = rows.mapInArrow(_counted, "doc_id string, label int, buckets array<int>, counts array<int>").toArrow()
+    order = np.argsort(found["doc_id"].to_numpy().astype(str), kind="stable")
     y = found["label"].to_numpy()[order]
     if len(np.unique(y)) < 2:
         return np.zeros(BUCKETS), 0.0
@@ -95,7 +101,7 @@ def fit(buckets: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, seed
             wrong[y[i]] -= 1
             wrong *= balance[y[i]] * rate
             back = wrong @ weights
-            weights -= np.outer(wrong, mean) + DECAY * rate * weights
+            weights -= np.outer(wrong, mean)
             bias -= 0.1 * wrong
             # Each feature alone has a small share of the mean; by the root of it, rare ones learn too.
             vectors[buckets[i]] -= (0.2 * np.sqrt(shares[i]))[:, None] * back
