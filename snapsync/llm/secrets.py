@@ -1,10 +1,14 @@
 """Secret scan: known shapes of secrets, and runs of characters whose entropy is that of random strings.
 
 Three patterns give the base spans. Beside them, every maximal run of a character class (hexadecimal, Base64) of at
-least `WINDOW` characters is a candidate. A window of that length slides over it; the sum of c*log2(c) over the counts
-c in the window follows from the character that enters and the one that leaves, in whole numbers of 2**-20, so sums
-are exact. Windows at or above the class's entropy are secret; those that touch join to one span. Runs that the
-allow list knows (digits alone, letters of one case alone, UUIDs, alphabets, examples) are no candidates.
+least `WINDOW` characters is a candidate. A window of that length slides over it with the counts of its characters: the
+one that enters and the one that leaves change two counts and the sum of c*log2(c), in whole numbers of 2**-20, so sums
+are exact. Windows at or above the class's entropy are secret; those that touch join to one span.
+
+The allow list works on parts and windows, never on whole runs: what it names (examples, alphabets, UUIDs) ends a run
+and is left out, the rest goes on; windows of digits alone, of letters of one case, or of a word with one capital are
+no secrets. Long runs are cut in blocks, each with the window before it, and summed block by block; spans that touch at
+a block's end join afterwards.
 
 Results for odd input: a null text counts as an empty one, without spans; rows that share an id get one row each;
 further columns are ignored. Offsets count code points, ends are exclusive.
@@ -16,7 +20,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from snapsync.llm.common import written
 
@@ -28,11 +31,14 @@ ASSIGN_HINT = r"""(?i:passw|secret|token|api_?key)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 
 WINDOW = 24
-#: Characters of a run that are looked at together; a long run is cut so that no character costs its whole run.
+#: Window ends that are looked at together.
 BLOCK = 512
-#: Character classes: kind, pattern of a run, least bits a character.
-CLASSES = (("hexrun", r"[0-9A-Fa-f]{24,}", 3.0), ("base64", r"[A-Za-z0-9+/_=-]{24,}", 3.9))
-ALLOW = r"^[0-9]+$|^[a-z]+$|^[A-Z]+$|^[A-Z]?[a-z]+$|^[=_/+-]+$|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Aa][Bb][Cc][Dd][Ee][Ff][Gg]|0123456789|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+#: Parts of a run that are no secrets.
+ALLOWED = r"(?i:example)|(?i:abcdefg)|0123456789|(?<![0-9A-Za-z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9A-Za-z])"
+#: Character classes: kind, the characters of a run, least bits a character.
+CLASSES = (("hexrun", "0-9A-Fa-f", 3.0), ("base64", "A-Za-z0-9+/_=-", 3.9))
+#: Characters by their numbers from 1 on: 10 digits, 26 small letters, 26 capitals, others.
+NUMBERED = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 SCALE = 1 << 20
 #: round(c * log2(c) * SCALE) for c = 0 .. WINDOW.
 C_LOG_C = [0, *(round(c * math.log2(c) * SCALE) for c in range(1, WINDOW + 1))]
@@ -61,8 +67,10 @@ def _spans(places: Column, kind: str, rank: int) -> Column:
     return F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _runs(text: Column, kind: str, pattern: str, bits: float) -> Column:
-    found = F.filter(_places(text, pattern, text.rlike(pattern)), lambda x: ~x["match"].rlike(ALLOW))
+def _runs(text: Column, kind: str, members: str, bits: float) -> Column:
+    # What the allow list names is a match of its own, and thrown away.
+    pattern = f"(?:{ALLOWED})|(?:(?!{ALLOWED})[{members}]){{{WINDOW},}}"
+    found = F.filter(_places(text, pattern, text.rlike(f"[{members}]{{{WINDOW}}}")), lambda x: ~x["match"].rlike(f"^(?:{ALLOWED})$"))
     return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["match"].alias("match"), F.lit(most_sum(bits)).alias("most")))
 
 
@@ -70,31 +78,60 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _secret_ends(piece: Column, most: Column) -> Column:
+    """Places (from 0) of piece where secret windows end."""
+    table = F.array(*map(F.lit, C_LOG_C))
+    f = lambda n: F.get(table, n)
+    one = lambda condition: F.when(condition, 1).otherwise(0)
+    numbers = F.transform(F.filter(F.split(piece, ""), lambda c: c != ""), lambda c: F.instr(F.lit(NUMBERED), c))
+    steps = lambda n: F.transform(n, lambda c, i: F.struct(i.alias("i"), c.alias("in"), F.coalesce(F.get(n, i - WINDOW), F.lit(0)).alias("out")))
+    kinds = {"digits": (1, 10), "small": (11, 36), "capitals": (37, 62)}
+
+    def moved(s: Column, x: Column) -> Column:
+        same = x["in"] == x["out"]
+        held, left = F.get(s["counts"], x["in"]) - one(same), F.get(s["counts"], x["out"])
+        gain = f(held + 1) - f(held) - F.when(x["out"] > 0, f(left) - f(left - 1)).otherwise(0)
+        counts = F.transform(s["counts"], lambda c, k: c + one(k == x["in"]) - one((k == x["out"]) & (k > 0)))
+        change = lambda a, b: one(x["in"].between(a, b)) - one(x["out"].between(a, b))
+        return F.struct(counts.alias("counts"), (s["sum"] + gain).cast("bigint").alias("sum"), *((s[k] + change(*of)).cast("int").alias(k) for k, of in kinds.items()))
+
+    def step(s: Column, x: Column) -> Column:
+        def judged(new: Column) -> Column:
+            letters = new["small"] + new["capitals"]
+            plain = (new["digits"] == WINDOW) | ((letters == WINDOW) & ((new["capitals"] <= 1) | (new["small"] == 0))) | (letters + new["digits"] == 0)
+            secret = (x["i"] >= WINDOW - 1) & (new["sum"] <= most) & ~plain
+            return F.struct(*(new[k].alias(k) for k in ("counts", "sum", *kinds)), F.when(secret, F.array_append(s["ends"], x["i"])).otherwise(s["ends"]).alias("ends"))
+
+        return _let(moved(s, x), judged)
+
+    start = F.struct(F.array_repeat(F.lit(0), len(NUMBERED) + 1).alias("counts"), F.lit(0).cast("bigint").alias("sum"), *(F.lit(0).alias(k) for k in kinds), F.array().cast("array<int>").alias("ends"))
+    return _let(numbers, lambda n: F.aggregate(steps(n), start, step, lambda s: s["ends"]))
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted spans (start, end), with those that touch joined."""
+    kind = "array<struct<start:int,end:int>>"
+    last = lambda s: F.element_at(s, -1)
+    longer = lambda s, x: F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last(s)["start"].alias("start"), F.greatest(last(s)["end"], x["end"]).alias("end"))))
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), lambda s, x: F.when((F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["end"] >= x["start"]), longer(s, x)).otherwise(F.concat(s, F.array(x))))
+
+
 def entropy_spans(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, start, end of the joined secret windows of each candidate (keys, start, match, most)."""
+    """keys, start, end of the joined secret windows of each candidate (keys, kind, start, match, most)."""
     own = [*keys, "kind", "start"]
-    sub = lambda at, n: F.expr(f"substring(piece, {at}, {n})")
-    held = lambda window, c: F.length(window) - F.length(F.replace(window, c, F.lit("")))
-    table = F.array(*map(F.lit, C_LOG_C))
-    # Each block of a run brings the window before it along.
-    blocks = candidates.withColumn("block", F.explode(F.expr(f"sequence(0, (length(match) - 1) div {BLOCK})"))).withColumn("lead", F.expr(f"least(cast(block as int) * {BLOCK}, {WINDOW})"))
-    blocks = blocks.withColumn("piece", F.expr(f"substring(match, cast(block as int) * {BLOCK} + 1 - lead, {BLOCK} + lead)")).drop("match")
-    chars = blocks.withColumn("p", F.explode(F.expr("sequence(lead + 1, length(piece))"))).withColumn("i", F.expr(f"cast(block as int) * {BLOCK} + p - lead"))
-    # Before place p of the piece enters, the window holds p-WINDOW .. p-1; first the oldest leaves, then p enters.
-    chars = chars.withColumn("before", sub(f"greatest(1, p - {WINDOW})", f"least({WINDOW}, p - 1)"))
-    chars = chars.withColumn("out", F.when(F.col("p") > WINDOW, sub(f"p - {WINDOW}", 1))).withColumn("in", sub("p", 1))
-    leaves = F.when(F.col("out").isNull(), 0).otherwise(held(F.col("before"), F.col("out")))
-    rest = F.when(F.col("out").isNull(), F.col("before")).otherwise(sub(f"p - {WINDOW} + 1", WINDOW - 1))
-    chars = chars.withColumn("left", leaves).withColumn("held", held(rest, F.col("in")))
-    got = lambda n: F.get(table, n.cast("int"))
-    change = got(F.col("held") + 1) - got(F.col("held")) - F.when(F.col("left") > 0, got(F.col("left")) - got(F.col("left") - 1)).otherwise(0)
-    order = Window.partitionBy(*own).orderBy("i")
-    sums = chars.withColumn("sum", F.sum(change).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    high = sums.where((F.col("i") >= WINDOW) & (F.col("sum") <= F.col("most")))
-    gap = F.coalesce(F.col("i") - F.lag("i").over(order) > WINDOW, F.lit(True)).cast("int")
-    islands = high.withColumn("gap", gap).withColumn("island", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = islands.groupBy(*own, "island").agg(F.min("i").alias("low"), F.max("i").alias("high"))
-    return ends.select(*keys, (F.col("start") + F.col("low") - WINDOW).alias("start"), (F.col("start") + F.col("high")).alias("end"))
+    # Each block of a run brings the window before it along, but for that window's first character.
+    blocks = candidates.withColumn("block", F.explode(F.expr(f"sequence(0, (length(match) - 1) div {BLOCK})"))).withColumn("lead", F.expr(f"least(cast(block as int) * {BLOCK}, {WINDOW - 1})"))
+    blocks = blocks.withColumn("piece", F.expr(f"substring(match, cast(block as int) * {BLOCK} + 1 - lead, {BLOCK} + lead)")).drop("match").repartition(*own, "block")
+    base = F.col("start") + (F.col("block") * BLOCK - F.col("lead")).cast("int")
+    windows = F.transform(_secret_ends(F.col("piece"), F.col("most")), lambda i: F.struct((base + i - WINDOW + 1).cast("int").alias("start"), (base + i + 1).cast("int").alias("end")))
+    found = blocks.select(*own, _merged(windows).alias("spans")).where(F.size("spans") > 0)
+    joined = found.groupBy(*own).agg(F.flatten(F.collect_list("spans")).alias("spans")).select(*keys, F.inline(_merged(F.col("spans"))))
+    return joined.select(*keys, "start", "end")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
