@@ -191,7 +191,10 @@ def test_quality_rules_equal_sql(spark, same_rows, docs):
     assert judged.count() == docs.count()
     assert judged.where("doc_id IN (900001, 900002, 900003)").where("base_failed AND n_words = 0").count() == 3
     assert quality_rules.judge(docs.where("false")).count() == 0
-    assert quality_rules.keep_good(docs).columns == docs.columns
+    clash = docs.withColumns({c: F.lit("mine") for c in ("good_id", "__kept_id", "fold", "row", "word")})
+    kept = quality_rules.keep_good(clash)
+    assert kept.columns == clash.columns and kept.where("good_id = 'mine'").count() == judged.where("kept").count()
+    same_rows(quality_rules.judge(table(spark, SF.replace("sf0.001", "sf0.01"), "documents")), quality_rules.SQL.replace("FROM documents", f"FROM '{SF.replace('sf0.001', 'sf0.01')}/documents.parquet'"))
 
 
 def test_quality_limits_follow_the_documents(spark):
