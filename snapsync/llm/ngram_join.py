@@ -7,15 +7,15 @@ coefficient. A run sends a class down the paths of those of its tokens that a ha
 two to `SMALL` classes are leaves; larger ones are split again, up to `DEPTH` tokens deep.
 
 Pairs are compared in the leaves and nowhere else. A pair that meets in several leaves counts in the least of them, as
-each class brings the list of its leaves along. Lists (and in small leaves sketches) tell first which classes have a
-partner that they don't meet in a lesser leaf; only those bring their whole sets to it, and the sets decide. A leaf that
-is large to the end is a group of near copies, looked at in blocks of at most `LISTS` lists and `BLOCK` sets; nearly all
-of its pairs met in a lesser leaf, so few of its classes bring their sets. Tasks give, for each class, its number of links in a leaf and one link
-to the first class that it reaches there, never the pairs.
+each class brings the list of its leaves along. In a leaf the lists and sketches tell first which classes have a partner
+to count there; only those bring their whole sets to it, and the sets decide. Leaves that are large to the end hold
+groups of near copies, nearly the same ones over and over: those that share classes are one cluster, whose pairs are
+compared once, in blocks of at most `BLOCK` sets. Tasks give, for each class, its number of links in a leaf or block and
+one link to the first class that it reaches there, never the pairs.
 
 The number of runs follows from the recall that is asked for. It is then measured: pairs met in even runs and in odd
 runs are two catches of the same links, and what they have in common tells the share that both missed. While the
-measured recall is too low, as many runs are added.
+measured recall is too low, the search is repeated with twice the runs.
 
 Results for odd input: null or blank texts, and rows with a null id, link with nothing and are kept; a text shorter
 than n words has one n-gram, all its words; rows that share id and text are one class; ids of any type that has an
@@ -31,17 +31,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from snapsync.llm.common import _IN_WINDOW, Words, by_group, free_names, mix64, slices, written
 from snapsync.llm.components import components
 
-TOKENS, SMALL, DEPTH = 64, 48, 4
-#: Lists of a block of a large leaf, sets of a block, and n-grams of a block.
-LISTS, BLOCK, BLOCK_GRAMS = 2048, 1024, 1 << 21
+TOKENS, SMALL, DEPTH = 64, 128, 4
+#: Sets and n-grams of a block of a cluster.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 21
 #: Share of equal tokens from which whole sets are compared: the threshold less four standard errors.
 SLACK = 4.0
-#: Bits of a bucket's number below the number of its run.
-RUN_BITS = 48
+#: Bits of a bucket's number below the number of its run, and the runs that there is room for.
+RUN_BITS, MOST_RUNS = 48, 1 << 14
 _MULTIPLIERS = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _OFFSETS = mix64(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
 
@@ -176,9 +177,10 @@ def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _elsewhere(group: pa.Table, bucket: int) -> np.ndarray:
-    """Which pairs of a leaf's classes meet in a leaf of a smaller number too."""
+    """Which pairs of a leaf's classes meet in a small leaf of a lesser number too, or are of one cluster."""
     row, leaf = _lists(group["leaves"])
-    return _shared(row[leaf < bucket], leaf[leaf < bucket], len(group)) > 0
+    cluster = group["cluster"].to_numpy()
+    return (_shared(row[leaf < bucket], leaf[leaf < bucket], len(group)) > 0) | (cluster[:, None] == cluster[None, :])
 
 
 def _with_partner(threshold: float):
@@ -199,18 +201,6 @@ def _with_partner(threshold: float):
     return run
 
 
-def _not_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The classes of large leaves (or of two blocks of one) that have a partner there which they don't meet elsewhere."""
-    for (bucket, _, _), group in by_group(batches, ["bucket", "one", "two"]):
-        reps, side = group["rep"].to_numpy(), group["own"].to_numpy()
-        alone = ~_elsewhere(group, bucket)
-        np.fill_diagonal(alone, False)
-        if (side != side[0]).any():
-            alone &= side[:, None] != side[None, :]
-        some = alone.any(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(np.full(int(some.sum()), bucket, np.int64))], ["rep", "bucket"])
-
-
 def _in_blocks(rows: DataFrame) -> DataFrame:
     """rows (rep, bucket, blocks, ...) once for each block of their bucket, with own block and pair of blocks (one, two)."""
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -244,7 +234,7 @@ def _sets(n: int):
 
 
 def _compare(parts: int, whole: int):
-    """Links at a coefficient of at least parts / whole in one leaf, or in one block of it or between two."""
+    """Links at a coefficient of at least parts / whole in one leaf, or in one block of a cluster or between two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket, _, _), group in by_group(batches, ["bucket", "one", "two"]):
@@ -259,42 +249,54 @@ def _compare(parts: int, whole: int):
                 linked &= side[:, None] != side[None, :]
             if not linked.any():
                 continue
-            linked &= ~_elsewhere(group, bucket)
+            catches = np.zeros((3, n), np.int64)
+            if bucket >= 0:
+                linked &= ~_elsewhere(group, bucket)
+                row, leaf = _lists(group["leaves"])
+                odd = (leaf >> RUN_BITS) % 2 == 1
+                one, two = (linked & (_shared(row[of], leaf[of], n) > 0) for of in (~odd, odd))
+                catches = np.stack([x.sum(axis=1) for x in (one, two, one & two)])
             some = linked.any(axis=1)
-            row, leaf = _lists(group["leaves"])
-            odd = (leaf >> RUN_BITS) % 2 == 1
-            catches = [_shared(row[of], leaf[of], n) > 0 for of in (~odd, odd)]
-            counts = [(linked & x).sum(axis=1)[some] for x in (*catches, catches[0] & catches[1])]
             rank = np.argsort(reps, kind="stable")
             root = np.empty(n, np.int64)
             root[rank] = rank[local_roots(linked[np.ix_(rank, rank)])]
-            columns = [reps[some], reps[root[some]], (linked @ copies)[some].astype(np.int64), *(c.astype(np.int64) for c in counts)]
+            columns = [reps[some], reps[root[some]], (linked @ copies)[some].astype(np.int64), *catches[:, some]]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["a", "b", "links", "even", "odd", "both"])
 
     return run
 
 
-def _links(classes: DataFrame, docs: DataFrame, met: DataFrame, lists: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
-    """a, b, links, even, odd, both: verified links of the leaves met (rep, bucket, large); lists: rep, leaves."""
+def clusters(met: DataFrame) -> DataFrame:
+    """rep, cluster of the classes in large leaves: leaves that share a class are of one cluster."""
+    first = F.min("bucket").over(Window.partitionBy("rep"))
+    large = written(met.where("large").select("rep", "bucket", first.alias("home")))
+    roots = components(large.select(F.col("bucket").alias("a"), F.col("home").alias("b")))
+    return large.select("rep", "home").distinct().join(roots, F.col("home") == F.col("node"), "left").select("rep", F.coalesce("root", "home").alias("cluster"))
+
+
+def _links(classes: DataFrame, docs: DataFrame, met: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """a, b, links, even, odd, both: verified links of the leaves met (rep, bucket, large)."""
     parts, whole = threshold
+    clustered = written(clusters(met))
+    lists = met.where(~F.col("large")).groupBy("rep").agg(F.collect_list("bucket").alias("leaves")).join(clustered, "rep", "full")
+    none = F.array().cast("array<bigint>")
+    lists = written(lists.select("rep", F.coalesce("leaves", none).alias("leaves"), F.coalesce("cluster", -1 - F.col("rep")).alias("cluster")))
     small = met.where(~F.col("large")).select("rep", "bucket").join(classes.select("rep", "sketch"), "rep").join(lists, "rep")
     some = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_with_partner(parts / whole), "rep long, bucket long")
-    keys = ["bucket", "one", "two"]
-    large = met.where("large").select("rep", "bucket")
-    sizes = written(large.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / LISTS).cast("int").alias("blocks")))
-    open_ = _in_blocks(large.join(sizes, "bucket")).join(lists, "rep").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_not_met, "rep long, bucket long")
-    need = written(some.unionByName(open_.distinct()))
+    # Clusters go by negative numbers.
+    need = written(some.unionByName(clustered.select("rep", (-1 - F.col("cluster")).alias("bucket"))))
     wanted = need.select("rep").distinct().join(classes.drop("sketch"), "rep")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_grams") / BLOCK_GRAMS)).cast("int")
+    blocks = F.when(F.col("bucket") >= 0, 1).otherwise(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n_grams") / BLOCK_GRAMS))).cast("int")
     sizes = written(need.join(classes.select("rep", "n_grams"), "rep").groupBy("bucket").agg(blocks.alias("blocks")))
     texts = docs.withColumnsRenamed({"doc_id": "class_id", "text_key": "class_key"})
     sets = written(texts.join(wanted, ["class_id", "class_key"]).dropDuplicates(["class_id", "class_key"]).select("rep", "copies", "text").mapInArrow(_sets(n), "rep long, copies long, grams binary"))
     members = _in_blocks(need.join(sizes, "bucket")).join(sets, "rep").join(lists, "rep")
+    keys = ["bucket", "one", "two"]
     return written(members.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(parts, whole), "a long, b long, links long, even long, odd long, both long"))
 
 
 def measured(links: DataFrame) -> float:
-    """Recall of one batch of runs, from the links that its even and its odd runs caught; 1 if there are none."""
+    """Recall of the runs, from the links of small leaves that the even and the odd ones caught; 1 if there are none."""
     even, odd, both = links.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("even", "odd", "both"))).first()
     if even + odd == both:
         return 1.0
@@ -313,18 +315,13 @@ def join_similar(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 1
     classes = sketched.where(F.col("low").isNotNull() & F.col("doc_id").isNotNull()).groupBy("low", "high").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count(F.lit(1)).alias("copies"), F.min("n_grams").alias("n_grams"), F.min("sketch").alias("sketch"))
     # Classes are told apart by both digests; from here on they go by a number that is written with them.
     classes = written(classes.select(F.monotonically_increasing_id().alias("rep"), "low", "high", F.col("first.doc_id").alias("class_id"), F.col("first.text_key").alias("class_key"), "copies", "n_grams", "sketch"))
-    links, met, missed, first = None, None, 1.0, 0
+    runs = runs_for(recall, threshold[0] / threshold[1])
     while True:
-        runs = runs_for(recall, threshold[0] / threshold[1])
-        new = written(leaves(classes.select("rep", "sketch"), first, runs, threshold[0] / threshold[1]))
-        met = new if met is None else met.unionByName(new)
-        lists = written(met.groupBy("rep").agg(F.collect_list("bucket").alias("leaves")))
-        found = _links(classes.drop("low", "high"), docs, new, lists, n, threshold)
-        missed *= 1 - measured(found)
-        links = found if links is None else links.unionByName(found)
-        first += runs
-        if missed <= 1 - recall:
+        met = written(leaves(classes.select("rep", "sketch"), 0, runs, threshold[0] / threshold[1]))
+        links = _links(classes.drop("low", "high"), docs, met, n, threshold)
+        if measured(links) >= recall or 2 * runs >= MOST_RUNS:
             break
+        runs *= 2
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     # Numbers of components are least numbers of classes: labels go by class first, then by the least id in them.
     roots = written(components(links.select("a", "b")))

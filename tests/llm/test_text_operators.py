@@ -115,7 +115,7 @@ def test_ngram_join_equals_brute_force(spark):
     rng = random.Random(5)
     base = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
     hot = [f"w{i}" for i in range(150)]
-    for k in range(130):  # one large group of near copies, all different
+    for k in range(200):  # one large group of near copies, all different
         w = list(hot)
         w[rng.randrange(150)] = f"v{k}"
         base[10_000 + k] = " ".join(w)
