@@ -51,9 +51,10 @@ def ewma_rate(samples: DataFrame, key: str, ts: str, counter: str) -> DataFrame:
 
 
 def eta(rows: DataFrame) -> DataFrame:
-    """rows (done, total, rate) with percent (0 to 100) and eta_s (null if unknown)."""
+    """rows (done, total, rate) with percent (0 to 100; 0 of nothing) and eta_s (null if unknown)."""
     left = F.col("total") - F.col("done")
-    return rows.withColumn("percent", F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 * F.col("done") / F.col("total")))).withColumn("eta_s", F.when((F.col("rate") > 0) & (left > 0), F.floor(left / F.col("rate"))))
+    share = F.when(F.col("total") > 0, 100.0 * F.col("done") / F.nullif("total", F.lit(0))).otherwise(0.0)
+    return rows.withColumn("percent", F.least(F.lit(100.0), F.greatest(F.lit(0.0), share))).withColumn("eta_s", F.when((F.col("rate") > 0) & (left > 0), F.floor(left / F.col("rate"))))
 
 
 def group_parts(parts: DataFrame, timeout_s: int) -> DataFrame:

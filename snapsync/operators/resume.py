@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapsync.functions.tables import written
@@ -57,8 +57,8 @@ def from_bitmap(bitmaps: DataFrame) -> DataFrame:
     return rows.select(((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit")).cast("long").alias("chunk_id"))
 
 
-def retry_failed(work: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], key: str, times: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(rows that succeeded, rows left) after up to so many attempts; attempt gives rows with ok."""
+def retry_failed(work: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], key: str, times: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(rows that succeeded, rows left) after up to so many attempts, the first and three more; attempt gives rows with ok."""
     left, done = work, None
     for n in range(times):
         tried = written(attempt(left, n))
@@ -68,3 +68,15 @@ def retry_failed(work: DataFrame, attempt: Callable[[DataFrame, int], DataFrame]
         if left.isEmpty():
             break
     return done, left
+
+
+def save_progress(done: DataFrame, token: str, total_chunks: int, path: str) -> None:
+    """Save the chunks that are done (chunk_id) of a layout, as bitmaps; what was saved under its token goes."""
+    rows = to_bitmap(done).withColumn("total_chunks", F.lit(total_chunks).cast("long")).withColumn("token", F.lit(token))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("token").parquet(path)
+
+
+def load_progress(spark: SparkSession, token: str, total_chunks: int, path: str) -> DataFrame:
+    """chunk_id of the chunks that are done; none if what was saved is of another layout, or names chunks beyond it."""
+    saved = spark.read.parquet(path).where((F.col("token") == token) & (F.col("total_chunks") == total_chunks))
+    return from_bitmap(saved.select("bucket", "bits")).where(F.col("chunk_id").between(0, total_chunks - 1))

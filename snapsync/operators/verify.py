@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snapsync.functions import expressions as X
+from snapsync.functions.tables import written
+
 
 def assemble(blocks: DataFrame) -> DataFrame:
     """file_id, content from blocks (file_id, chunk_index, data) in any order; for files that fit a cell."""
@@ -31,27 +38,66 @@ def run_status(parts: DataFrame) -> DataFrame:
     return parts.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("all_ok"), F.count_if(~F.col("ok")).alias("errors"))
 
 
-def materialize(blocks: DataFrame, paths: DataFrame, root: str) -> None:
-    """Write blocks as files below a folder that all executors share; a file appears when it is whole."""
-
-    def write(rows) -> None:
-        path, out, part = None, None, None
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                os.replace(part, path)
-
-        for row in rows:
-            target = os.path.join(root, row.rel_path)
-            if target != path:
-                close()
-                path, part = target, f"{target}.{os.getpid()}.part"
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                out = open(part, "wb")  # noqa: SIM115
-            if row.data is not None:
-                out.write(row.data)
-        close()
-
-    rows = paths.select("file_id", "rel_path").join(blocks.dropDuplicates(["file_id", "chunk_index"]), "file_id", "left")
-    rows.repartition("file_id").sortWithinPartitions("file_id", "chunk_index").select("rel_path", "data").foreachPartition(write)
+def _writer(root: str):
+    """Files from rows sorted by file and chunk; a file appears when it is whole and right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, top = None, os.path.realpath(root)
+
+        def begin(row: dict) -> dict:
+            target = os.path.normpath(os.path.join(top, row["rel_path"]))
+            folder = os.path.realpath(os.path.dirname(target))
+            if target == top or os.path.commonpath([top, target]) != top or os.path.commonpath([top, folder]) != top:
+                return row | {"status": "unsafe", "out": None}
+            os.makedirs(folder, exist_ok=True)
+            part = f"{target}.{uuid.uuid4().hex}.part"
+            return row | {"status": "written", "target": target, "part": part, "out": open(part, "wb"), "seen": hashlib.md5(usedforsecurity=False)}  # noqa: SIM115
+
+        def end(file: dict) -> pa.RecordBatch:
+            if file["out"] is not None:
+                file["out"].close()
+                if file["digest"] is not None and file["seen"].hexdigest() != file["digest"]:
+                    os.remove(file["part"])
+                    file["status"] = "mismatch"
+                else:
+                    if file["mtime_ns"] is not None:
+                        os.utime(file["part"], ns=(file["mtime_ns"], file["mtime_ns"]))
+                    os.replace(file["part"], file["target"])
+            return pa.RecordBatch.from_pylist([{"file_id": file["file_id"], "rel_path": file["rel_path"], "status": file["status"]}])
+
+        try:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    if held is None or row["file_id"] != held["file_id"]:
+                        if held is not None:
+                            yield end(held)
+                        held = begin(row)
+                    if held["out"] is not None and row["data"] is not None:
+                        held["out"].write(row["data"])
+                        held["seen"].update(row["data"])
+            if held is not None:
+                yield end(held)
+                held = None
+        finally:
+            if held is not None and held["out"] is not None and os.path.exists(held["part"]):
+                held["out"].close()
+                os.remove(held["part"])
+
+    return run
+
+
+def materialize(blocks: DataFrame, paths: DataFrame, root: str) -> DataFrame:
+    """Write blocks as files below a folder that all executors share: file_id, rel_path, status of each file.
+
+    paths: file_id, rel_path, and where they are known digest and mtime_ns. A file is put together beside its place; if
+    its digest is right it gets its time and appears, else it is thrown away (mismatch). Paths that are unsafe, or lead
+    out of the folder through a link, are not written (unsafe). A file is one task's work, a block at a time.
+    """
+    known = {"digest": "string", "mtime_ns": "long"}
+    rows = paths.select("file_id", "rel_path", *((F.col(c) if c in paths.columns else F.lit(None)).cast(t).alias(c) for c, t in known.items())).withColumn("rejected", X.unsafe_reason(F.col("rel_path")))
+    good = rows.where("rejected IS NULL AND rel_path IS NOT NULL").drop("rejected")
+    data = good.join(blocks.dropDuplicates(["file_id", "chunk_index"]).select("file_id", "chunk_index", F.col("data").cast("binary").alias("data")), "file_id", "left")
+    kind = paths.schema["file_id"].dataType.simpleString()
+    done = data.repartition("file_id").sortWithinPartitions("file_id", "chunk_index").select("file_id", "rel_path", "digest", "mtime_ns", "data").mapInArrow(_writer(root), f"file_id {kind}, rel_path string, status string")
+    return written(done.unionByName(rows.where("rejected IS NOT NULL OR rel_path IS NULL").select("file_id", "rel_path", F.lit("unsafe").alias("status"))))

@@ -39,12 +39,21 @@ def hash_tiebreak(source: DataFrame, target: DataFrame, contents: DataFrame) ->
 
 
 def sync_plan(source: DataFrame, target: DataFrame, index: DataFrame) -> DataFrame:
-    """source with action (SKIP, FULL, PARTIAL), resume_offset and delta; index: file_id, received_bytes."""
-    both = manifest_diff(source, target).join(index.select("file_id", "received_bytes"), "file_id", "left")
+    """source with action (SKIP, FULL, PARTIAL), resume_offset and same_size; index: file_id, received_bytes.
+
+    Unsafe paths are in no plan (quarantine() shows them). Contents (text) are read only of files without a digest that
+    have the target's size and another time.
+    """
+    both = manifest_diff(source.drop("text"), target).where(X.unsafe_reason(F.col("rel_path")).isNull()).join(index.select("file_id", "received_bytes"), "file_id", "left")
+    digest = F.col("content_hash")
+    if "text" in source.columns:
+        doubt = both.where((F.col("dst_size") == F.col("file_size")) & (F.col("mtime_ns") != F.col("dst_mtime_ns")) & F.col("content_hash").isNull()).select("file_id")
+        read = source.select("file_id", "text").join(doubt, "file_id", "left_semi").select("file_id", F.md5("text").alias("read_hash"))
+        both, digest = both.join(read, "file_id", "left"), F.coalesce("content_hash", "read_hash")
     got = F.coalesce("received_bytes", F.lit(0))
     missing, other = F.col("dst_size").isNull(), F.col("dst_size") != F.col("file_size")
     partial = ~missing & other & (got > 0) & (got < F.col("file_size"))
-    same = ~missing & ~other & ((F.col("mtime_ns") == F.col("dst_mtime_ns")) | (F.coalesce("content_hash", F.md5("text")) == F.col("dst_hash")))
+    same = ~missing & ~other & ((F.col("mtime_ns") == F.col("dst_mtime_ns")) | (digest == F.col("dst_hash")))
     action = F.when(missing, "FULL").when(partial, "PARTIAL").when(other, "FULL").when(same, "SKIP").otherwise("FULL")
     rows = both.withColumn("action", action).withColumn("resume_offset", F.when(F.col("action") == "PARTIAL", got).otherwise(0).cast("long"))
     return rows.withColumn("same_size", ~missing & ~other)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapsync.functions import expressions as X
-from snapsync.functions.tables import read
+from snapsync.functions.tables import read, shared_folder
 from snapsync.operators import bundles, chunks, layout, report, resume, verify
 from snapsync.plans import decisions as D
 from snapsync.sources import fixtures as FX
@@ -113,9 +114,13 @@ def drop_skipped(s, d):
     return D.drop_skipped(FX.source(s, d), _plan(s, d)).select("file_id", "rel_path")
 
 
-@query("src", "SELECT file_id, 0::BIGINT AS chunks_needed, true AS complete FROM src WHERE file_size = 0")
+@query("esrc", "SELECT file_id, 0::BIGINT AS chunks_needed, true AS complete FROM esrc WHERE empty")
 def empty_files(s, d):
-    return FX.source(s, d).where("file_size = 0").select("file_id", F.lit(0).cast("long").alias("chunks_needed"), F.lit(True).alias("complete"))
+    """Files of no length need no chunk and are complete at once."""
+    files = FX.source_with_empty(s, d)
+    needed = X.chunk_count(F.col("file_size"), 65536).cast("long")
+    blocks = chunks.chunk_digests(files, 65536).groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks_done"))
+    return files.select("file_id", needed.alias("chunks_needed")).join(blocks, "file_id", "left").where("chunks_needed = 0").select("file_id", "chunks_needed", (F.coalesce("chunks_done", F.lit(0)) >= F.col("chunks_needed")).alias("complete"))
 
 
 @query("src", "SELECT DISTINCT split_part(rel_path, '/', 1) AS source_id, CASE WHEN split_part(rel_path, '/', 1) IN (SELECT source FROM documents WHERE doc_id % 97 = 3) THEN 'resume' WHEN split_part(rel_path, '/', 1) IN (SELECT source FROM documents WHERE doc_id % 5 = 1) THEN 'incremental' ELSE 'full' END AS mode FROM src")
@@ -144,10 +149,9 @@ def hash_tiebreak(s, d):
     return D.hash_tiebreak(FX.source(s, d), FX.target(s, d), FX.target_payload(s, d))
 
 
-@query("delta", "SELECT file_id, chunk_index, raw_len, needed FROM delta WHERE (file_id - 1) % 10 = 3")
+@query("delta", "SELECT file_id, chunk_index, raw_len, needed FROM delta")
 def block_delta(s, d):
-    changed = "(file_id - 1) % 10 = 3"
-    return chunks.block_delta(_blocks(s, d, "source").where(changed), _blocks(s, d, "target").where(changed)).select("file_id", "chunk_index", "raw_len", "needed")
+    return chunks.block_delta(_blocks(s, d, "source"), _blocks(s, d, "target")).select("file_id", "chunk_index", "raw_len", "needed")
 
 
 @query("delta", "SELECT file_id, chunk_index, raw_len, needed FROM delta")
@@ -231,7 +235,7 @@ def chunk_digests(s, d):
     return _blocks(s, d, "source")
 
 
-@query()
+@query("sblk", "SELECT file_id, chunk_index, octet_length(data)::BIGINT AS raw_len, md5(data) AS digest, (1 + list_sum(b)) % 65521 + 65536 * ((len(b) + list_sum(list_transform(b, lambda x, i: (len(b) - i + 1) * x))) % 65521) AS weak FROM (SELECT *, list_transform(range(1, octet_length(data) + 1), lambda i: ('0x' || hex(array_slice(data, i, i)))::BIGINT) AS b FROM sblk)")
 def weak_checksums(s, d):
     return _blocks(s, d, "source", weak=True)
 
@@ -295,12 +299,22 @@ def round_robin_lanes(s, d):
     return layout.lanes(_layout(s, d), 8).select("file_id", "lane")
 
 
-@query()
+def _packed_sql(closed: str) -> str:
+    return f"""SELECT lane, bundle_id, file_id, file_size, place FROM (
+WITH RECURSIVE r(lane, i, bundle_id, held, n, file_id, file_size, place) AS (
+  SELECT lane, i, 0::BIGINT, file_size, 1, file_id, file_size, place FROM lanes WHERE i = 1
+  UNION ALL
+  SELECT l.lane, l.i, CASE WHEN {closed} THEN r.bundle_id + 1 ELSE r.bundle_id END, CASE WHEN {closed} THEN l.file_size ELSE r.held + l.file_size END, CASE WHEN {closed} THEN 1 ELSE r.n + 1 END, l.file_id, l.file_size, l.place
+  FROM r JOIN lanes l ON l.lane = r.lane AND l.i = r.i + 1)
+SELECT * FROM r)"""
+
+
+@query("lanes", _packed_sql("r.held >= 4194304 OR r.n >= 64"))
 def bundles_close_after(s, d):
     return bundles.pack(layout.lanes(_layout(s, d), 8), True, 4 << 20, 64)
 
 
-@query()
+@query("lanes", _packed_sql("r.held + l.file_size > 4194304 OR r.n >= 64"))
 def bundles_close_before(s, d):
     return bundles.pack(layout.lanes(_layout(s, d), 8), False, 4 << 20, 64)
 
@@ -312,18 +326,28 @@ def bundle_roundtrip(s, d):
     return back.select("file_id", F.md5("content").alias("digest"), "ok")
 
 
-_COUNTER = "sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+_COUNTER = "CAST(sum(CAST(value AS DECIMAL(18,6))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE)"
 
 
-@query()
+@query("counted", """SELECT user_id, rate, n_used FROM (
+WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, c) AS i FROM counted),
+r(user_id, i, t, c, rate, n_used) AS (
+  SELECT user_id, i, t, c, 0.0::DOUBLE, 0 FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.user_id, o.i, CASE WHEN o.t - r.t >= 0.05::DOUBLE THEN o.t ELSE r.t END, CASE WHEN o.t - r.t >= 0.05::DOUBLE THEN o.c ELSE r.c END,
+    CASE WHEN o.t - r.t < 0.05::DOUBLE THEN r.rate WHEN r.c = 0 OR r.rate = 0 THEN (o.c - r.c) / (o.t - r.t) ELSE 0.9::DOUBLE * r.rate + 0.1::DOUBLE * ((o.c - r.c) / (o.t - r.t)) END,
+    CASE WHEN o.t - r.t >= 0.05::DOUBLE THEN r.n_used + 1 ELSE r.n_used END
+  FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT user_id, arg_max(rate, i) AS rate, arg_max(n_used, i) AS n_used FROM r GROUP BY user_id)""")
 def ewma_rate(s, d):
     counted = read(s, d, "events").select("user_id", "ts", F.expr(_COUNTER).alias("bytes"))
     return report.ewma_rate(counted, "user_id", "ts", "bytes")
 
 
-@query("ofiles", "SELECT file_id, least(100.0::DOUBLE, greatest(0.0::DOUBLE, 100.0::DOUBLE * (file_size // 3) / file_size)) AS percent, CASE WHEN file_size - file_size // 3 > 0 THEN floor((file_size - file_size // 3)::DOUBLE / (1000 + file_id % 7)::DOUBLE)::BIGINT END AS eta_s FROM ofiles WHERE file_size > 0")
+@query("ofiles", "SELECT file_id, CASE WHEN total = 0 THEN 0.0 ELSE least(100.0::DOUBLE, greatest(0.0::DOUBLE, 100.0::DOUBLE * done / total)) END AS percent, CASE WHEN total - done > 0 THEN floor((total - done)::DOUBLE / (1000 + file_id % 7)::DOUBLE)::BIGINT END AS eta_s FROM (SELECT file_id, file_size // 3 AS done, CASE WHEN file_id % 5 = 0 THEN 0 ELSE file_size END AS total FROM ofiles)")
 def eta(s, d):
-    rows = FX.order_files(s, d).where("file_size > 0").select("file_id", F.expr("file_size div 3").alias("done"), F.col("file_size").alias("total"), (1000 + F.col("file_id") % 7).cast("double").alias("rate"))
+    total = F.when(F.col("file_id") % 5 == 0, 0).otherwise(F.col("file_size")).cast("long")
+    rows = FX.order_files(s, d).select("file_id", F.expr("file_size div 3").alias("done"), total.alias("total"), (1000 + F.col("file_id") % 7).cast("double").alias("rate"))
     return report.eta(rows).select("file_id", "percent", "eta_s")
 
 
@@ -447,12 +471,22 @@ def _arrival_stream(s: SparkSession, d: str) -> DataFrame:
 
 @query("arr", "SELECT file_id FROM arr GROUP BY file_id HAVING count(DISTINCT chunk_index) >= 1 + file_id % 4")
 def stream_completion(s, d):
-    return streams.run_to_table(streams.completion(_arrival_stream(s, d).withColumn("needed", (1 + F.col("file_id") % 4).cast("int")))).select("file_id")
+    return streams.run_to_table(streams.completion(_arrival_stream(s, d).withColumn("needed", (1 + F.col("file_id") % 4).cast("int"))), "update").select("file_id").distinct()
 
 
 @query("arr", "SELECT DISTINCT file_id, chunk_index FROM arr")
 def stream_dedupe(s, d):
-    return streams.run_to_table(streams.dedupe(_arrival_stream(s, d))).select("file_id", "chunk_index")
+    return streams.run_to_table(streams.dedupe(_arrival_stream(s, d), delay="3650 days")).select("file_id", "chunk_index")
+
+
+@query("src", "SELECT file_id, CASE WHEN file_id % 7 <> 0 OR strlen(text) = 0 THEN 'done' ELSE 'retry' END AS went_to FROM src")
+def stream_split_verified(s, d):
+    files = M.from_documents(streams.read_stream(s, f"{d}/documents.parquet"))
+    sent = files.select("file_id", F.when(F.col("file_id") % 7 == 0, F.expr("substr(text, 2)")).otherwise(F.col("text")).alias("data"), F.md5("text").alias("digest"))
+    base = f"{shared_folder(s)}/split-{uuid.uuid4().hex}"
+    streams.split_verified(sent, f"{base}/done", f"{base}/retry", f"{base}/checkpoint")
+    went = [s.read.parquet(f"{base}/{t}").select("file_id", F.lit(t).alias("went_to")) for t in ("done", "retry")]
+    return went[0].unionByName(went[1])
 
 
 @query("src", "SELECT file_id, file_id % 7 <> 0 OR strlen(text) = 0 AS ok FROM src")
@@ -475,3 +509,74 @@ def stream_group_parts(s, d):
     events = streams.read_stream(s, f"{d}/events.parquet").select(F.col("user_id").alias("session_id"), "ts")
     rows = streams.run_to_table(streams.group_parts(events, 30), "update")
     return D.first_by(rows, ["session_id"], [F.col("batch_id").desc()]).select("session_id", "n")
+
+
+#: First and last sight, and what the watermark knows at the end of the table.
+_LAST = "(SELECT max(epoch_us(ts)) FROM parts)"
+
+
+@query("parts", f"SELECT * FROM (SELECT session_id, max(expected)::BIGINT AS expected, CASE WHEN max(epoch_us(ts)) FILTER (n = expected) - min(epoch_us(ts)) <= 129600000000 THEN 'complete' WHEN max(epoch_us(ts)) - min(epoch_us(ts)) > 129600000000 OR min(epoch_us(ts)) + 129600000000 < {_LAST} - 3600000000 THEN 'expired' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM parts) GROUP BY session_id) WHERE status IS NOT NULL")
+def stream_timed_groups(s, d):
+    events = streams.read_stream(s, f"{d}/events.parquet").select(F.col("user_id").alias("session_id"), (3 + F.col("user_id") % 4).alias("expected"), "ts")
+    return streams.run_to_table(streams.timed_groups(events, 129_600, "1 hour"))
+
+
+@query("parts", f"SELECT session_id, epoch_us(min(ts))::BIGINT AS first_seen, epoch_us(max(ts))::BIGINT AS last_seen FROM (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS stay FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, event_id) < 43200000000 THEN 0 ELSE 1 END AS new FROM parts)) GROUP BY session_id, stay HAVING max(epoch_us(ts)) + 43200000000 <= {_LAST} - 3600000000")
+def stream_idle_sessions(s, d):
+    events = streams.read_stream(s, f"{d}/events.parquet").select(F.col("user_id").alias("session_id"), "ts")
+    rows = streams.run_to_table(streams.idle_sessions(events, 12 * 3600, "1 hour"))
+    return rows.select("session_id", F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("last_seen").alias("last_seen"))
+
+
+@query("parts", "SELECT session_id, round(list_reduce(list(bytes / 3600.0::DOUBLE ORDER BY start), lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 4) AS rate FROM (SELECT session_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, sum(value) AS bytes FROM parts GROUP BY ALL) GROUP BY session_id")
+def stream_smoothed(s, d):
+    """Sums of whole hours in one stream, their smoothed rates in a second one that reads the first one's table."""
+    events = streams.read_stream(s, f"{d}/events.parquet").select(F.col("user_id").alias("session_id"), "ts", "value")
+    sums = streams.run_to_table(streams.throughput(events, "1 hour", "3650 days"), "update")
+    path = f"{shared_folder(s)}/sums-{uuid.uuid4().hex}"
+    D.first_by(sums, ["session_id", "start"], [F.col("batch_id").desc()]).drop("batch_id").write.parquet(path)
+    rates = streams.run_to_table(streams.smoothed(streams.read_stream(s, path), 3600.0))
+    return D.first_by(rates, ["session_id"], [F.col("start").desc()]).select("session_id", F.round("rate", 4).alias("rate"))
+
+
+@query("ofiles", "SELECT rel_path, file_size, mtime_ns FROM ofiles")
+def saved_manifest(s, d):
+    path = f"{shared_folder(s)}/manifest-{uuid.uuid4().hex}"
+    M.save_manifest(FX.order_files(s, d), "one", path)
+    return M.load_manifest(s, "one", path).select("rel_path", "file_size", "mtime_ns")
+
+
+@query(None, "SELECT DISTINCT source AS root, true AS kept, 32 AS length FROM documents")
+def source_identity(s, d):
+    """An id for each source; a second call gives the same ones."""
+    roots, path = read(s, d, "documents").select(F.col("source").alias("root")).distinct(), f"{shared_folder(s)}/ids-{uuid.uuid4().hex}"
+    first = M.source_identity(s, roots, path)
+    again = M.source_identity(s, roots, path).withColumnRenamed("source_id", "again")
+    return first.join(again, "root").select("root", (F.col("source_id") == F.col("again")).alias("kept"), F.length("source_id").alias("length"))
+
+
+@query("spans done", "SELECT chunk_id FROM done")
+def progress_table(s, d):
+    """Progress saved under a layout's token, and read again; under another number of chunks there is none."""
+    spans, path = _spans(s, d), f"{shared_folder(s)}/progress-{uuid.uuid4().hex}"
+    total = spans.agg(F.max("chunk_id")).first()[0] + 1
+    resume.save_progress(_done(spans), "t", total, path)
+    return resume.load_progress(s, "t", total, path).unionByName(resume.load_progress(s, "t", total + 1, path))
+
+
+def _folder(s: SparkSession) -> str:
+    return f"{shared_folder(s).removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+
+
+@query("src", "SELECT file_id, CASE file_id % 50 WHEN 7 THEN 'unsafe' WHEN 8 THEN 'mismatch' ELSE 'written' END AS status FROM src")
+def materialize(s, d):
+    files = FX.transfers(s, d)
+    return verify.materialize(chunks.chunk_digests(files, BLOCK, data=True), files, _folder(s)).select("file_id", "status")
+
+
+@query("src", "SELECT rel_path, file_size, mtime_ns, md5(text) AS content_hash FROM src")
+def scan_tree(s, d):
+    """The source written as files below a folder, and listed from there."""
+    files, root = FX.source(s, d), _folder(s)
+    verify.materialize(chunks.chunk_digests(files, BLOCK, data=True), files, root)
+    return M.scan_tree(s, root, content=True).select("rel_path", "file_size", "mtime_ns", "content_hash")

@@ -58,6 +58,20 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), (3 + F.col("user_id") % 4).alias("expected"), "ts", "event_id", "value")
 
 
+def source_with_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source with every 25th file of no length."""
+    docs = read(spark, sf_dir, "documents")
+    return from_documents(docs.withColumn("text", F.when(F.col("doc_id") % 25 == 7, "").otherwise(F.col("text"))))
+
+
+def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source as it is sent: every 50th path leads out of the folder, every other 50th digest is wrong."""
+    kind = F.col("file_id") % 50
+    path = F.when(kind == 7, F.concat(F.lit("../"), "rel_path")).otherwise(F.col("rel_path"))
+    digest = F.when(kind == 8, F.md5("rel_path")).otherwise(F.md5("text"))
+    return source(spark, sf_dir).select("file_id", path.alias("rel_path"), "mtime_ns", digest.alias("digest"), "text")
+
+
 #: The same in SQL, as common table expressions.
 SQL = {
     "src": """SELECT doc_id + 1 AS file_id, concat(source, '/', lang, '/', lpad(doc_id::VARCHAR, 8, '0'), '.txt') AS rel_path, strlen(text)::BIGINT AS file_size,
@@ -73,7 +87,10 @@ SQL = {
     "exts": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'a/x.JPG' WHEN 1 THEN 'a/x.tar.gz' WHEN 2 THEN 'v1.zip/x' WHEN 3 THEN 'a/x' WHEN 4 THEN 'a/x.txt' ELSE 'a/.pdf' END AS rel_path FROM part",
     "arr": "SELECT l_orderkey AS file_id, l_linenumber AS chunk_index, l_shipdate AS ts FROM lineitem",
     "parts": "SELECT user_id AS session_id, 3 + user_id % 4 AS expected, ts, event_id, value FROM events",
+    "esrc": "SELECT file_id, doc_id % 25 = 7 OR file_size = 0 AS empty FROM src",
+    "counted": "SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, (sum(value::DECIMAL(18,6)) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE AS c FROM events",
     "lay": "SELECT *, (sum(file_size) OVER (ORDER BY rel_path) - file_size)::BIGINT AS virtual_offset, row_number() OVER (ORDER BY rel_path) AS place FROM ofiles",
+    "lanes": "SELECT (((place - 1) % 7) + 1)::INT AS lane, file_id, file_size, place, row_number() OVER (PARTITION BY (place - 1) % 7 ORDER BY place) AS i FROM lay",
     "spans": """SELECT c AS chunk_id, file_id, (greatest(virtual_offset, c * 1048576) - c * 1048576)::BIGINT AS chunk_rel, (greatest(virtual_offset, c * 1048576) - virtual_offset)::BIGINT AS file_offset,
       (least(virtual_offset + file_size, (c + 1) * 1048576) - greatest(virtual_offset, c * 1048576))::BIGINT AS length, file_size
       FROM lay, unnest(range(virtual_offset // 1048576, (virtual_offset + file_size - 1) // 1048576 + 1)) u(c) WHERE file_size > 0""",
@@ -93,10 +110,10 @@ SQL = {
     "ddig": "SELECT file_id, chunk_index, octet_length(data)::BIGINT AS raw_len, md5(data) AS digest FROM dblk",
     "delta": "SELECT s.*, coalesce(s.digest <> d.digest, true) AS needed FROM sdig s LEFT JOIN ddig d USING (file_id, chunk_index)",
 }
-_USES = {"dst0": ["src"], "dst": ["src", "dst0"], "tidx": ["src"], "lay": ["ofiles"], "spans": ["ofiles", "lay"], "done": ["ofiles", "lay", "spans"], "w": ["src", "dst0", "dst"], "plan": ["src", "dst0", "dst", "tidx"], "sblk": ["src"], "dblk": ["src", "dst0"], "sdig": ["src", "sblk"], "ddig": ["src", "dst0", "dblk"], "delta": ["src", "dst0", "sblk", "dblk", "sdig", "ddig"]}
+_USES = {"esrc": ["src"], "lanes": ["ofiles", "lay"], "dst0": ["src"], "dst": ["src", "dst0"], "tidx": ["src"], "lay": ["ofiles"], "spans": ["ofiles", "lay"], "done": ["ofiles", "lay", "spans"], "w": ["src", "dst0", "dst"], "plan": ["src", "dst0", "dst", "tidx"], "sblk": ["src"], "dblk": ["src", "dst0"], "sdig": ["src", "sblk"], "ddig": ["src", "dst0", "dblk"], "delta": ["src", "dst0", "sblk", "dblk", "sdig", "ddig"]}
 
 
 def with_tables(names: str, select: str) -> str:
     """A statement over the named fixtures and those that they are made of."""
     wanted = {x for n in names.split() for x in [*_USES.get(n, []), n]}
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n]})" for n in SQL if n in wanted) + f"\n{select}"
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n == 'lanes' else ''}({SQL[n]})" for n in SQL if n in wanted) + f"\n{select}"

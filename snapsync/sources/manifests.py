@@ -3,30 +3,73 @@
 from __future__ import annotations
 
 import hashlib
+import os
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from snapsync.functions import expressions as X
-from snapsync.functions.tables import folded, running
+from snapsync.functions.tables import folded, running, written
 
 CONTROL_DIR = ".snapsync"
 MOST_ROWS, LONGEST_PATH = 10_000_000, 4096
 
 
+def _listing(uri: str):
+    """What folders (dir) hold: path, is_dir, size, mtime_ns; folders behind links are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(uri)
+        local = isinstance(store, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch["dir"].to_pylist():
+                held = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+                held = [x for x in held if x.type == fs.FileType.File or (x.type == fs.FileType.Directory and not (local and os.path.islink(x.path)))]
+                for low in range(0, len(held), 10_000):
+                    part = held[low : low + 10_000]
+                    columns = [[x.path for x in part], [x.type == fs.FileType.Directory for x in part], [x.size or 0 for x in part], [x.mtime_ns for x in part]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.int64()))], ["path", "is_dir", "file_size", "mtime_ns"])
+
+    return run
+
+
+def _contents(uri: str):
+    """Rows of files with their content, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for i, path in enumerate(batch["path"].to_pylist()):
+                with store.open_input_stream(path) as f:
+                    data = f.read()
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, 1) for c in ("path", "file_size", "mtime_ns")), pa.array([data], pa.binary())], ["path", "file_size", "mtime_ns", "content"])
+
+    return run
+
+
 def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """rel_path, file_size, mtime_ns of the regular files below a folder; with content also content_hash and content.
 
-    Without content the reader prunes that column: files are listed, not read. The reader leaves out files of no
-    length and hidden ones; that empty files are missing is an open defect.
+    Tasks list folders, one level of the tree after the other; files of no length and hidden ones are files like
+    others. root: a path in a folder that all executors share, or the address of a store that pyarrow opens.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
-    prefix = F.lit(root.rstrip("/") + "/")
-    plain = F.regexp_replace(F.col("path"), "^[a-z]+:/*/", "/")
-    rel = F.substring(plain, F.length(F.regexp_replace(prefix, "^[a-z]+:/*/", "/")) + 1, F.length(plain))
-    found = files.select(rel.alias("rel_path"), F.col("length").alias("file_size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), *([F.md5("content").alias("content_hash"), "content"] if content else []))
-    return exclude_control_dir(found)
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    base = fs.FileSystem.from_uri(uri)[1].rstrip("/")
+    folders, found = spark.createDataFrame([(base,)], "dir string"), None
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while not folders.isEmpty():
+        held = written(folders.repartition(parallel, "dir").mapInArrow(_listing(uri), "path string, is_dir boolean, file_size long, mtime_ns long"))
+        files = held.where("NOT is_dir").drop("is_dir")
+        found = files if found is None else found.unionByName(files)
+        folders = held.where("is_dir").select(F.col("path").alias("dir"))
+    if content:
+        found = found.repartition(parallel, "path").mapInArrow(_contents(uri), "path string, file_size long, mtime_ns long, content binary").withColumn("content_hash", F.md5("content"))
+    rel = F.substring("path", F.lit(len(base) + 2), F.length("path"))
+    return exclude_control_dir(found.select(rel.alias("rel_path"), "file_size", "mtime_ns", *(["content_hash", "content"] if content else [])))
 
 
 def exclude_control_dir(manifest: DataFrame, name: str = CONTROL_DIR) -> DataFrame:
@@ -85,11 +128,9 @@ def id_tokens(rows: DataFrame, key: str, number: str) -> DataFrame:
 
 def save_manifest(manifest: DataFrame, source_id: str, path: str) -> None:
     """Save under a source id, with the token; the source's former rows go."""
-    spark = manifest.sparkSession
     row = token(manifest)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     out = manifest.crossJoin(F.broadcast(row.select("token"))).withColumn("source_id", F.lit(source_id))
-    out.write.mode("overwrite").partitionBy("source_id").option("compression", "zstd").parquet(path)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").option("compression", "zstd").parquet(path)
 
 
 def load_manifest(spark: SparkSession, source_id: str, path: str) -> DataFrame | None:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapsync.functions.tables import shared_folder
+from snapsync.functions.tables import shared_folder, written
 from snapsync.plans import decisions as D
 
 
@@ -55,25 +55,32 @@ def wants(manifests: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def completion(arrivals: DataFrame) -> DataFrame:
-    """file_id, n_chunks of each file, once, when its needed number of different chunks is in; arrivals: file_id,
-    chunk_index, needed. State is the set of chunks of the files that are not complete."""
+    """file_id, n_chunks of each file whose needed number of different chunks is in; arrivals: file_id, chunk_index,
+    needed. Update mode: a file comes again with each later arrival; once() tells of each file one time. State is the
+    set of a file's chunks, kept by Spark's own aggregation."""
+    found = arrivals.groupBy("file_id").agg(F.size(F.collect_set("chunk_index")).cast("long").alias("n_chunks"), F.max("needed").alias("needed"))
+    return found.where(F.col("n_chunks") >= F.col("needed")).select("file_id", "n_chunks")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (seen, told) = state.get if state.exists else ([], False)
-        have, needed = set(seen), None
-        for batch in batches:
-            have.update(int(i) for i in batch["chunk_index"])
-            needed = int(batch["needed"].iloc[0])
-        if not told and needed is not None and len(have) >= needed:
-            state.update(([], True))
-            yield pd.DataFrame({"file_id": [key[0]], "n_chunks": [len(have)]})
-        else:
-            state.update(([] if told else sorted(have), told))
 
-    return arrivals.groupBy("file_id").applyInPandasWithState(step, "file_id long, n_chunks long", "seen array<int>, told boolean", "append", "NoTimeout")
+def once(told: str, key: str, callback: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """A sink that hands callback the rows of a batch whose key no earlier batch had; told: a folder that keeps the keys.
+
+    A batch that is run again hands over the same rows again.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        spark.createDataFrame([], batch.select(key).schema).write.mode("overwrite").parquet(f"{told}/batch=-1")
+        before = spark.read.schema(batch.select(key).schema.add("batch", "long")).parquet(told).where(F.col("batch") < batch_id).select(key)
+        new = batch.join(before, key, "left_anti")
+        kept = f"{told}/batch={batch_id}"
+        new.select(key).write.mode("overwrite").parquet(kept)
+        callback(batch.join(spark.read.schema(batch.select(key).schema).parquet(kept), key, "left_semi"))
+
+    return save
 
 
-def dedupe(arrivals: DataFrame, ts: str = "ts", delay: str = "3650 days") -> DataFrame:
+def dedupe(arrivals: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
     """Arrivals with repeated (file_id, chunk_index) dropped, within the watermark's delay."""
     timed = arrivals.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     return timed.dropDuplicatesWithinWatermark(["file_id", "chunk_index"])
@@ -84,6 +91,17 @@ def verified(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("ok", F.md5("data") == F.col("digest"))
 
 
+def split_verified(blocks: DataFrame, done: str, retry: str, checkpoint: str) -> None:
+    """Blocks (data, digest) of a stream, as they are now, into two tables: good ones to done, the others to retry."""
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        rows = written(verified(batch))
+        for path, which in ((done, F.col("ok")), (retry, ~F.coalesce("ok", F.lit(False)))):
+            rows.where(which).drop("ok").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    blocks.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def throughput(counters: DataFrame, interval: str, delay: str = "1 day") -> DataFrame:
     """session_id, start, bytes: sums of value in each interval of ts."""
     timed = counters.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
@@ -96,6 +114,63 @@ def group_parts(parts: DataFrame, timeout_s: int, delay: str = "3650 days") -> D
     return timed.groupBy("session_id").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"))
 
 
+def smoothed(sums: DataFrame, seconds: float, keep: float = 0.9) -> DataFrame:
+    """session_id, start, rate after each interval of a stream of sums (session_id, start, bytes): the first rate is
+    taken as it is, later ones weigh 1 - keep. State is one number for a session; sums come in order of time, those of
+    one batch in any."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("start")
+        rate, out = state.get[0] if state.exists else None, []
+        for value in rows["bytes"] / seconds:
+            rate = value if rate is None else keep * rate + (1 - keep) * value
+            out.append(rate)
+        state.update((rate,))
+        yield pd.DataFrame({"session_id": key[0], "start": rows["start"], "rate": out})
+
+    kind = sums.schema["session_id"].dataType.simpleString()
+    return sums.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, start timestamp, rate double", "rate double", "append", "NoTimeout")
+
+
+def timed_groups(parts: DataFrame, timeout_s: int, delay: str) -> DataFrame:
+    """session_id, expected, status of each group of parts (session_id, expected, ts), once.
+
+    complete: as many as expected are in within the timeout after the first; expired: the timeout is over, as a later
+    part or the watermark tells. A group is forgotten when its timeout is over.
+    """
+    timed = parts.select("session_id", F.col("expected").cast("long").alias("expected"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    micros = timeout_s * 1_000_000
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        first, n, expected, told = state.get if state.exists else (None, 0, 0, False)
+        status = None
+        if state.hasTimedOut:
+            status = None if told else "expired"
+            state.remove()
+        else:
+            rows = pd.concat(list(batches))
+            expected = int(rows["expected"].max())
+            for at in sorted(rows["ts"].astype("datetime64[us]").astype("int64")):
+                first, n = at if first is None else first, n + 1
+                if not told and status is None and (n == expected or at - first > micros):
+                    status = "complete" if at - first <= micros else "expired"
+            state.update((first, n, expected, told or status is not None))
+            state.setTimeoutTimestamp(max(first // 1000 + timeout_s * 1000, state.getCurrentWatermarkMs()) + 1)
+        if status is not None:
+            yield pd.DataFrame({"session_id": [key[0]], "expected": [expected], "status": [status]})
+
+    kind = parts.schema["session_id"].dataType.simpleString()
+    return timed.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, expected long, status string", "first long, n long, expected long, told boolean", "append", "EventTimeTimeout")
+
+
+def idle_sessions(events: DataFrame, idle_s: int, delay: str) -> DataFrame:
+    """session_id, first_seen, last_seen of each stay of a session, when it has been idle for so many seconds."""
+    timed = events.select("session_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    stays = timed.groupBy("session_id", F.session_window("ts", f"{idle_s} seconds").alias("stay")).agg(F.max("ts").alias("last_seen"))
+    return stays.select("session_id", F.col("stay.start").alias("first_seen"), "last_seen")
+
+
 def on_file_done(arrivals: DataFrame, callback: Callable[[DataFrame], None], checkpoint: str):
-    """Start a query that hands each batch of newly complete files to callback."""
-    return completion(arrivals).writeStream.foreachBatch(lambda batch, _: callback(batch)).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start a query that hands each batch of newly complete files to callback, each file once."""
+    sink = once(f"{checkpoint}/told", "file_id", callback)
+    return completion(arrivals).writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

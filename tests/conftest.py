@@ -1,3 +1,4 @@
+import datetime
 import glob
 import os
 import sys
@@ -39,6 +40,8 @@ def same_rows(spark, duck):
     def shown(x):
         if x is None or x != x:
             return None
+        if isinstance(x, datetime.date):  # dates and timestamps alike
+            return datetime.datetime(x.year, x.month, x.day, *((x.hour, x.minute, x.second, x.microsecond) if isinstance(x, datetime.datetime) else ())).isoformat()
         return round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
     def compare(df, sql):

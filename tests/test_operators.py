@@ -144,11 +144,47 @@ def test_tree_round_trip(spark, tmp_path):
     assert seen == want
 
 
-@pytest.mark.xfail(reason="Spark's binaryFile reader leaves out files of no length; scan_tree has no other listing yet")
-def test_tree_has_empty_files(spark, tmp_path):
+def test_tree_has_empty_and_hidden_files(spark, tmp_path):
     (tmp_path / "full").write_bytes(b"x")
     (tmp_path / "empty").write_bytes(b"")
-    assert {r.rel_path for r in M.scan_tree(spark, str(tmp_path)).collect()} == {"full", "empty"}
+    (tmp_path / ".hidden").mkdir()
+    (tmp_path / ".hidden" / "_file").write_bytes(b"yy")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    rows = {r.rel_path: r for r in M.scan_tree(spark, str(tmp_path), content=True).collect()}
+    assert {k: (r.file_size, bytes(r.content)) for k, r in rows.items()} == {"full": (1, b"x"), "empty": (0, b""), ".hidden/_file": (2, b"yy")}
+    assert rows["empty"].content_hash == "d41d8cd98f00b204e9800998ecf8427e"
+    assert {r.rel_path for r in M.scan_tree(spark, str(tmp_path)).collect()} == set(rows)
+
+
+def test_unsafe_paths_are_neither_planned_nor_written(spark, tmp_path):
+    root = tmp_path / "root"
+    (tmp_path / "away").mkdir()
+    root.mkdir()
+    (root / "link").symlink_to(tmp_path / "away")
+    paths = {1: "ok/a", 2: str(tmp_path / "abs.txt"), 3: "../../up.txt", 4: "link/b", 5: "bad", 6: "ok/empty", 7: "."}
+    files = spark.createDataFrame([(i, p, "abc" if i != 6 else "", 1_700_000_000_123_456_789) for i, p in paths.items()], "file_id long, rel_path string, text string, mtime_ns long")
+    digests = files.withColumn("digest", F.when(F.col("file_id") == 5, "0").otherwise(F.md5("text")))
+    got = {r.file_id: r.status for r in verify.materialize(chunks.chunk_digests(files, 2, data=True), digests, str(root)).collect()}
+    assert got == {1: "written", 2: "unsafe", 3: "unsafe", 4: "unsafe", 5: "mismatch", 6: "written", 7: "unsafe"}
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file()) == ["root/ok/a", "root/ok/empty"]
+    assert (root / "ok/a").stat().st_mtime_ns == 1_700_000_000_123_456_789
+    plan = D.sync_plan(files.withColumns({"file_size": F.length("text").cast("long"), "content_hash": F.md5("text")}), FX.target(spark, SF), FX.transfer_index(spark, SF))
+    assert {r.file_id for r in plan.collect()} == {1, 4, 5, 6, 7}
+
+
+def test_apply_then_diff_gives_no_wants(spark, tmp_path):
+    docs = FX.source_with_empty(spark, SF)
+    verify.materialize(chunks.chunk_digests(docs, 256, data=True), docs.withColumn("digest", F.md5("text")), str(tmp_path / "t"))
+    there = M.scan_tree(spark, str(tmp_path / "t"), content=True)
+    assert there.count() == docs.count()
+    assert D.want_files(docs, there).where("reason IS NOT NULL").count() == 0
+
+
+def test_four_attempts(spark):
+    seen = []
+    work = spark.createDataFrame([(1,), (2,)], "id long")
+    done, left = resume.retry_failed(work, lambda rows, n: seen.append(n) or rows.withColumn("ok", (F.col("id") == 1) & (F.lit(n) == 3)), "id")
+    assert seen == [0, 1, 2, 3] and [r.id for r in done.collect()] == [1] and [r.id for r in left.collect()] == [2]
 
 
 def test_saved_manifest_and_identity(spark, tmp_path):
