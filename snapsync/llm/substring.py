@@ -230,7 +230,8 @@ def dedup_substrings(docs: DataFrame, span: int = 50) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     summary = written(docs.mapInArrow(_summaries(span), f"doc_id {kind}, text_key long, n_words long, words_sha binary, anchors array<long>").withColumn("row", F.monotonically_increasing_id()))
     # Whole copies of an earlier document go entirely; they need no look at their edges.
-    copied = summary.where((F.col("n_words") >= span) & F.col("doc_id").isNotNull()).groupBy("words_sha").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    # Written, so that both sides of the join are dealt out anew and Spark can split a text that very many rows hold.
+    copied = written(summary.where((F.col("n_words") >= span) & F.col("doc_id").isNotNull()).groupBy("words_sha").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc"))
     marked = written(summary.join(copied, "words_sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False))).drop("first_doc"))
     anchors = marked.where(~F.col("copy") & F.col("doc_id").isNotNull()).select("row", F.explode("anchors").alias("anchor"))
     repeated = written(anchors.groupBy("anchor").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("anchor"))

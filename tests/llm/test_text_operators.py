@@ -432,14 +432,3 @@ def test_paths_compact_by_doubling(spark):
     df = spark.createDataFrame(runs, "run long, n long, tail long, head long")
     got = {r.run: (r.path, r.offset) for r in substring.compact(df, spark.createDataFrame([(400,)], "node long")).collect()}
     assert got == {i: (0, 5 * i) for i in range(10)} | {i: (i, 0) for i in (20, 21, 22, 30, 31, 32)}
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    df = table(spark, SF, "documents")
-    columns, before = df.columns, df.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        df = stage(spark, df, SF)
-        assert df.columns == columns, name
-    assert 0 < corpus_pipeline.run(spark, SF).where("round_trip").count() <= 2 * before
