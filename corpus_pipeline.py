@@ -1,6 +1,11 @@
 """A corpus pipeline of text operators: quality rules, near-duplicates, personal data, mixing, encoding.
 
 Each stage takes what its predecessor kept, as columns of documents; the last gives the ids of the pieces.
+
+Results for odd input: the first stage drops null, blank and very short texts; further columns of any name go through
+all stages but the last, which gives doc_id, ids, n_ids and round_trip; rows with a null id are judged, cleaned, mixed
+and encoded like others and never count as near-duplicates; of rows that share id and text one stays; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -46,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source mixing", mix),
     ("encoding", encode),
 ]
-#: The near-duplicate and encoding stages have no SQL form; the stages are tested against plain Python.
+#: The near-duplicate and encoding stages have no SQL form; each stage is tested against plain Python over whole rows.
 ORACLE_SQL = None
 
 
