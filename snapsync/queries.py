@@ -220,7 +220,7 @@ def skip_and_want_bytes(s, d):
     return D.want_files(FX.source(s, d), FX.target(s, d)).agg(part(F.col("reason").isNull()).alias("bytes_skipped"), part(F.col("reason").isNotNull()).alias("bytes_wanted"), F.sum("file_size").alias("bytes_total"))
 
 
-@query("ofiles", "SELECT md5(string_agg(d, '' ORDER BY bucket)) AS token, sum(n)::BIGINT AS n_files FROM (SELECT bucket, md5(string_agg(r, '' ORDER BY rel_path)) AS d, count(*) AS n FROM (SELECT rel_path, substr(md5(rel_path), 1, 3) AS bucket, md5(concat_ws(chr(0), rel_path, mtime_ns::VARCHAR, file_size::VARCHAR)) AS r FROM ofiles) GROUP BY bucket)")
+@query("ofiles", "SELECT md5(string_agg(d, '' ORDER BY b)) AS token, sum(n)::BIGINT AS n_files FROM (SELECT substr(b, 1, 3) AS b, md5(string_agg(d, '' ORDER BY b)) AS d, sum(n) AS n FROM (SELECT substr(md5(rel_path), 1, 6) AS b, md5(string_agg(md5(concat_ws(chr(0), rel_path, mtime_ns::VARCHAR, file_size::VARCHAR)), '' ORDER BY rel_path)) AS d, count(*) AS n FROM ofiles GROUP BY 1) GROUP BY 1)")
 def tree_token(s, d):
     return M.token(FX.order_files(s, d))
 

@@ -94,15 +94,23 @@ def assign_file_id(manifest: DataFrame) -> DataFrame:
     return running(manifest.drop("file_id").withColumn("__one", F.lit(1)), "rel_path", "__one", "__before", "file_id").drop("__one", "__before")
 
 
-def token(manifest: DataFrame, prefix: int = 3) -> DataFrame:
+#: Hexadecimal digits of a path's hash that buckets go by: at 10**10 files some hundred rows fall in one of the first
+#: level, and 4,096 buckets in one of the next.
+LEVELS = (6, 3)
+
+
+def token(manifest: DataFrame) -> DataFrame:
     """One row: token, n_files. Equal trees have equal tokens, in whatever order rows come.
 
-    Row digests are put in path order within buckets by path hash, and the buckets' digests in bucket order.
+    Row digests are put in path order within buckets by path hash, the buckets' digests in bucket order within larger
+    buckets, and so on; no array holds more than a bucket.
     """
-    rows = manifest.select("rel_path", X.row_digest(F.col("rel_path"), F.col("mtime_ns"), F.col("file_size")).alias("d"), F.substring(F.md5("rel_path"), 1, prefix).alias("bucket"))
     listed = lambda key, value: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ""))
-    buckets = rows.groupBy("bucket").agg(listed("rel_path", "d").alias("d"), F.count(F.lit(1)).alias("n"))
-    return buckets.agg(listed("bucket", "d").alias("token"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
+    rows = manifest.select(F.col("rel_path").alias("key"), X.row_digest(F.col("rel_path"), F.col("mtime_ns"), F.col("file_size")).alias("d"), F.md5("rel_path").alias("hash"), F.lit(1).cast("long").alias("n"))
+    for digits in LEVELS:
+        bucket = F.substring("hash", 1, digits).alias("bucket")
+        rows = rows.groupBy(bucket).agg(listed("key", "d").alias("d"), F.sum("n").alias("n")).select(F.col("bucket").alias("key"), "d", F.col("bucket").alias("hash"), "n")
+    return rows.agg(listed("key", "d").alias("token"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
 
 
 class _Listed:
