@@ -152,7 +152,10 @@ def load_manifest(spark: SparkSession, source_id: str, path: str) -> DataFrame |
 
 
 def source_identity(spark: SparkSession, roots: DataFrame, path: str) -> DataFrame:
-    """root, source_id: roots without an id get one, which is kept."""
+    """root, source_id: roots without an id get one, which is kept.
+
+    Two runs at once may both give a root an id; from then on the one that was given first holds for all.
+    """
     try:
         known = spark.read.parquet(path)
         new = roots.select("root").distinct().join(known, "root", "left_anti")
@@ -160,5 +163,6 @@ def source_identity(spark: SparkSession, roots: DataFrame, path: str) -> DataFra
         if "PATH_NOT_FOUND" not in str(error):
             raise
         new = roots.select("root").distinct()
-    new.withColumn("source_id", F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))).write.mode("append").parquet(path)
-    return roots.select("root").distinct().join(spark.read.parquet(path), "root")
+    new.select("root", F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")).alias("source_id"), F.current_timestamp().alias("given_at")).write.mode("append").parquet(path)
+    first = spark.read.parquet(path).groupBy("root").agg(F.min(F.struct("given_at", "source_id")).alias("first")).select("root", "first.source_id")
+    return roots.select("root").distinct().join(first, "root")

@@ -115,6 +115,20 @@ def test_empty_files_are_verified(spark, tmp_path):
     assert len(status) == docs.count() and status[2] == "ok"
 
 
+def test_compression_profile_equals_plain_python(spark):
+    blocks = chunks.chunk_digests(FX.source(spark, SF), Q.BLOCK, data=True).collect()
+    sent = sum(r.raw_len if r.file_id % 4 == 0 else min(r.raw_len, len(zlib.compress(bytes(r.data), 1))) for r in blocks)
+    got = Q.QUERIES["compression_profile"](spark, SF).first()
+    assert (got.n_blocks, got.raw_bytes, got.sent_bytes) == (len(blocks), sum(r.raw_len for r in blocks), sent)
+
+
+def test_the_first_id_of_a_root_holds(spark, tmp_path):
+    rows = [("a", "later", "2024-01-02"), ("a", "first", "2024-01-01"), ("b", "only", "2024-01-03")]
+    spark.createDataFrame(rows, "root string, source_id string, given_at string").withColumn("given_at", F.col("given_at").cast("timestamp")).write.parquet(str(tmp_path / "ids"))
+    roots = spark.createDataFrame([("a",), ("b",)], "root string")
+    assert {r.root: r.source_id for r in M.source_identity(spark, roots, str(tmp_path / "ids")).collect()} == {"a": "first", "b": "only"}
+
+
 def test_ewma(spark):
     rows = [(1, f"2024-01-01 00:00:0{i}", b) for i, b in enumerate([10.0, 20.0, 40.0, 45.0])]
     samples = spark.createDataFrame(rows, "k long, ts string, bytes double").withColumn("ts", F.col("ts").cast("timestamp"))
