@@ -319,9 +319,11 @@ def join_similar(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 1
     while True:
         met = written(leaves(classes.select("rep", "sketch"), 0, runs, threshold[0] / threshold[1]))
         links = _links(classes.drop("low", "high"), docs, met, n, threshold)
-        if measured(links) >= recall or 2 * runs >= MOST_RUNS:
+        if measured(links) >= recall:
             break
         runs *= 2
+        if runs > MOST_RUNS:
+            raise RuntimeError("the recall that is asked for isn't reached")
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     # Numbers of components are least numbers of classes: labels go by class first, then by the least id in them.
     roots = written(components(links.select("a", "b")))
