@@ -235,7 +235,7 @@ def chunk_digests(s, d):
     return _blocks(s, d, "source")
 
 
-@query("sblk", "SELECT file_id, chunk_index, octet_length(data)::BIGINT AS raw_len, md5(data) AS digest, (1 + list_sum(b)) % 65521 + 65536 * ((len(b) + list_sum(list_transform(b, lambda x, i: (len(b) - i + 1) * x))) % 65521) AS weak FROM (SELECT *, list_transform(range(1, octet_length(data) + 1), lambda i: ('0x' || hex(array_slice(data, i, i)))::BIGINT) AS b FROM sblk)")
+@query("sblk", "SELECT file_id, chunk_index, octet_length(data)::BIGINT AS raw_len, md5(data) AS digest, ((1 + list_sum(b)) % 65521 + 65536 * ((len(b) + list_sum(list_transform(b, lambda x, i: (len(b) - i + 1) * x))) % 65521))::BIGINT AS weak FROM (SELECT *, list_transform(range(1, octet_length(data) + 1), lambda i: ('0x' || hex(array_slice(data, i, i)))::BIGINT) AS b FROM sblk)")
 def weak_checksums(s, d):
     return _blocks(s, d, "source", weak=True)
 
