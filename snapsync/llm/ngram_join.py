@@ -351,3 +351,21 @@ def keep_first(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8, 10)
         return kept
     linking = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
     return kept.where(linking).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(~linking))
+
+
+#: The rows of join_similar(documents) without text_key, by all pairs that share an n-gram; doc_id is unique.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, s FROM (
+  SELECT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) u(i) WHERE len(w) >= 5
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT a, b, c = x.n AND c = y.n AS same FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n, min(b) FILTER (same) AS m FROM pairs GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(links.m, d.doc_id)) AS class_id, least(d.doc_id, coalesce(low.m, d.doc_id)) AS component_id, coalesce(links.n, 0)::BIGINT AS n_links,
+  least(d.doc_id, coalesce(low.m, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN links ON links.a = d.doc_id LEFT JOIN low ON low.a = d.doc_id
+"""

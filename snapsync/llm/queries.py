@@ -60,7 +60,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup_substrings(table(spark, sf_dir, "documents"), span=50)
+    return substring.dedup_substrings(table(spark, sf_dir, "documents"), span=50).drop("n_spans")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -75,4 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": quality_rules.SQL, "op8_embedding_near_dedup": cover_tree.SQL, "op9_source_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard_join": ngram_join.SQL,
+    "op4_quality_rules": quality_rules.SQL,
+    "op8_embedding_near_dedup": cover_tree.SQL,
+    "op9_source_mixing": mixing.SQL,
+    "op10_substring_dedup": substring.SQL,
+}

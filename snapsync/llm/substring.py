@@ -263,3 +263,17 @@ def dedup_substrings(docs: DataFrame, span: int = 50) -> DataFrame:
         F.lower(F.hex(whole(nothing).otherwise(F.coalesce("kept_sha", "words_sha")))).alias("kept_sha256"),
         whole(F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
     )
+
+
+#: The rows of dedup_substrings(documents) without n_spans, by all windows.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) u(i) WHERE len(w) >= 50 AND doc_id IS NOT NULL),
+least AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
+gone AS (SELECT DISTINCT r, i + j AS k FROM win JOIN least USING (h), range(0, 50) s(j) WHERE low < doc_id),
+words AS (SELECT r, i, w[i] AS x FROM d, unnest(range(1, len(w) + 1)) u(i)),
+kept AS (SELECT words.r, string_agg(x, ' ' ORDER BY i) AS t FROM words LEFT JOIN gone ON words.r = gone.r AND words.i = gone.k WHERE gone.k IS NULL GROUP BY words.r),
+counts AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(counts.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+"""

@@ -111,7 +111,8 @@ def roots_of(nodes, links):
     return {i: find(i) for i in nodes}
 
 
-def test_ngram_join_equals_brute_force(spark):
+def test_ngram_join_equals_brute_force(spark, same_rows):
+    same_rows(queries.op3_ngram_jaccard_join(spark, SF), ngram_join.SQL)
     rng = random.Random(5)
     base = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
     hot = [f"w{i}" for i in range(150)]
@@ -395,7 +396,8 @@ def test_mixing_equals_sql(spark, same_rows, docs):
     assert mixing.mix_sources(docs, weights={"nobody": 1.0}).count() == 0 == mixing.mix_sources(docs, weights={}).count()
 
 
-def test_substrings_equal_brute_force(spark):
+def test_substrings_equal_brute_force(spark, same_rows):
+    same_rows(queries.op10_substring_dedup(spark, SF), substring.SQL)
     rng = random.Random(6)
     base = rows_of(table(spark, SF, "documents"))
     passage = " ".join(f"p{i}" for i in range(70))
