@@ -36,6 +36,8 @@ MARK = "▁"
 KEPT = 1_000_000
 #: Streams that go forward together, and the length from which a stream goes alone.
 TOGETHER, ALONE = 20_000, 512
+#: Code points of a part of a long text.
+PART = 1 << 20
 
 
 _IN_TEXT = Rolling(0xA24BAED4963EE407)
@@ -263,8 +265,18 @@ class Codec:
         counts[used] = np.bincount(np.searchsorted(row_starts, starts, side="right") - 1, weights=sizes, minlength=len(used))
         return ids, counts
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_column(pa.array([text], pa.string()))[0]
+    def encode(self, text: str, part: int = PART) -> np.ndarray:
+        """Ids of one text; a long one goes in parts, cut before word marks."""
+        ids, at = [], 0
+        while not self.vocabulary.whole and len(text) - at > 2 * part:
+            cut = at + part
+            while 0 < (cut := text.find(" ", cut)) < len(text) - 1 and text[cut - 1] == " ":
+                cut += 1
+            if not 0 < cut < len(text) - 1:
+                break
+            ids.append(self.encode_column(pa.array([text[at:cut]], pa.string()))[0])
+            at = cut + 1  # the mark before each part stands for this space
+        return np.concatenate([*ids, self.encode_column(pa.array([text[at:]], pa.string()))[0]])
 
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         own = self.vocabulary
@@ -301,7 +313,11 @@ def encode_texts(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for low, high in slices(batch["text"]):
                 part = batch.slice(low, high - low)
-                ids, counts = own.encode_column(part["text"])
+                if high - low == 1:
+                    ids = own.encode(part["text"][0].as_py())
+                    counts = np.array([len(ids)], np.int64)
+                else:
+                    ids, counts = own.encode_column(part["text"])
                 offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(counts)]).astype(np.int32)
                 right = own.round_trips(part["text"], ids, counts)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(counts), pa.array(right)], ["doc_id", "ids", "n_ids", "round_trip"])

@@ -336,6 +336,9 @@ def test_pieces_round_trip_and_best_path(docs):
     for _, t in rows_of(docs)[::5]:
         assert codec.encode(t).tolist() == (best(pieces.MARK + t.replace(" ", pieces.MARK)) if t else [])
     assert codec.vocabulary.commits > 100
+    long = "  ".join(t for _, t in rows_of(docs)[:40]) + "   " + "x" * 300 + " "
+    assert all(np.array_equal(codec.encode(long, part), codec.encode(long)) for part in (7, 50, 1000))
+    assert codec.encode("a b c d ", 1).tolist() == codec.encode("a b c d ").tolist()
     marked = docs.limit(1).withColumn("text", F.lit("a▁b c"))
     assert [(r.round_trip, r.text) for r in pieces.encode_texts(marked, path).join(pieces.decode_ids(pieces.encode_texts(marked, path), path), "doc_id").collect()] == [(False, "a b c")]
 
