@@ -94,6 +94,8 @@ def materialize(blocks: DataFrame, paths: DataFrame, root: str) -> DataFrame:
     its digest is right it gets its time and appears, else it is thrown away (mismatch). Paths that are unsafe, or lead
     out of the folder through a link, are not written (unsafe). A file is one task's work, a block at a time.
     """
+    if "://" in root:
+        raise ValueError(f"files are written to a folder that all executors see, not to {root}")
     known = {"digest": "string", "mtime_ns": "long"}
     rows = paths.select("file_id", "rel_path", *((F.col(c) if c in paths.columns else F.lit(None)).cast(t).alias(c) for c, t in known.items())).withColumn("rejected", X.unsafe_reason(F.col("rel_path")))
     good = rows.where("rejected IS NULL AND rel_path IS NOT NULL").drop("rejected")

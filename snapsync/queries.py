@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -567,7 +568,7 @@ def progress_table(s, d):
 
 
 def _folder(s: SparkSession) -> str:
-    return f"{shared_folder(s).removeprefix('file:')}/tree-{uuid.uuid4().hex}"
+    return f"{re.sub('^file:/+', '/', shared_folder(s))}/tree-{uuid.uuid4().hex}"
 
 
 @query("src", "SELECT file_id, CASE file_id % 50 WHEN 7 THEN 'unsafe' WHEN 8 THEN 'mismatch' ELSE 'written' END AS status FROM src")
