@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapsync.llm import classifier, cover_tree, mixing, ngram_join, pieces, pii, prefix_trie, quality_rules, secrets, substring, token_counts
+from snapsync.llm import classifier, cover_tree, mixing, ngram_join, pieces, pii, prefix_trie, quality_rules, secrets, substring, token_alignment, token_counts
 from snapsync.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -63,6 +63,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(table(spark, sf_dir, "documents"), span=50).drop("n_spans")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.placed(table(spark, sf_dir, "conversations"))))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_source_mixing": op9_source_mixing,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_alignment": op11_token_alignment,
     "op12_prefix_trie": op12_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
