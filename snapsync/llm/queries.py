@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapsync.llm import classifier, cover_tree, mixing, ngram_join, pieces, pii, prefix_trie, quality_rules, secrets, substring, token_alignment, token_counts
+from snapsync.llm import class_lm, classifier, cover_tree, mixing, ngram_join, pieces, pii, prefix_trie, quality_rules, secrets, substring, token_alignment, token_counts
 from snapsync.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -71,6 +71,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(prefix_trie.placed(table(spark, sf_dir, "conversations"))))
 
 
+def op13_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_token_alignment": op11_token_alignment,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_class_lm": op13_class_lm,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_ngram_jaccard_join": ngram_join.SQL,
