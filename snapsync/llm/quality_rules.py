@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 
 from snapsync.llm.common import free_names, words_of, written
 
-#: Words of a list, and the code points that a word on it has at most.
-COMMON, LONGEST = 100, 8
+#: Words of a list.
+COMMON = 100
 #: Character classes that are counted, with the pattern of what is not in them. White space is another, and the rest.
 CLASSES = (("upper", r"\P{Lu}+"), ("digit", r"\P{Nd}+"), ("symbol", r"[^#*$%&|<>]+"), ("mark", r"[^.,;:!?'\"()-]+"))
 #: Limit of the class distance, and the code points below which it isn't asked.
@@ -72,12 +72,12 @@ def _covered(windows: Column, size: int) -> Column:
 
 
 def _counted(words: Column) -> Column:
-    """word, n of the different words of an array, in small letters, but for long ones."""
-    short = F.sort_array(F.filter(F.transform(words, F.lower), lambda w: F.length(w) <= LONGEST))
+    """word, n of the different words of an array, in small letters."""
+    small = F.sort_array(F.transform(words, F.lower))
     starts = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
     pairs = lambda w, s: F.transform(s, lambda x, j: F.struct(F.get(w, x).alias("word"), (F.coalesce(F.get(s, j + 1), F.size(w)) - x).alias("n")))
     none = F.array().cast("array<struct<word:string,n:int>>")
-    return _let(short, lambda w: F.when(F.size(w) > 0, _let(starts(w), lambda s: pairs(w, s))).otherwise(none))
+    return _let(small, lambda w: F.when(F.size(w) > 0, _let(starts(w), lambda s: pairs(w, s))).otherwise(none))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ cov AS (SELECT r, count(DISTINCT i + j) AS n FROM rep, range(0, 5) s(j) GROUP BY
 f AS (SELECT w.r, doc_id, lang, fold, length(t) AS n_chars, len(words) AS n_words, length(t) - h[1] AS word_chars, h[4] AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
              list_append(h, length(t) - list_sum(h)) AS classes, (len(words) < 10 OR 100 * coalesce(cov.n, 0) > 20 * len(words)) AS base_failed
       FROM w LEFT JOIN cov ON w.r = cov.r),
-counted AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(list_transform(words, lambda x: lower(x))) AS word FROM w) WHERE length(word) <= {LONGEST} GROUP BY r, word),
+counted AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(list_transform(words, lambda x: lower(x))) AS word FROM w) GROUP BY r, word),
 sums AS (SELECT lang, 1 - fold AS fold, sum(n_words) AS all_words, sum(n_chars) AS all_chars, [{sums}] AS c FROM f WHERE NOT base_failed GROUP BY ALL HAVING count(*) >= {LEAST_DOCS}),
 held AS (SELECT lang, 1 - fold AS fold, word, count(*) AS in_docs, sum(n) AS n FROM counted JOIN f USING (r) WHERE NOT base_failed GROUP BY ALL),
 lists AS (SELECT lang, fold, word, n / all_words AS q FROM (SELECT *, row_number() OVER (PARTITION BY lang, fold ORDER BY in_docs DESC, word) AS place FROM held) JOIN sums USING (lang, fold) WHERE place <= {COMMON}),
