@@ -124,9 +124,13 @@ def _merged(spans: Column) -> Column:
 def entropy_spans(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """keys, start, end of the joined secret windows of each candidate (keys, kind, start, match, most)."""
     own = [*keys, "kind", "start"]
-    # Each block of a run brings the window before it along, but for that window's first character.
-    blocks = candidates.withColumn("block", F.explode(F.expr(f"sequence(0, (length(match) - 1) div {BLOCK})"))).withColumn("lead", F.expr(f"least(cast(block as int) * {BLOCK}, {WINDOW - 1})"))
-    blocks = blocks.withColumn("piece", F.expr(f"substring(match, cast(block as int) * {BLOCK} + 1 - lead, {BLOCK} + lead)")).drop("match").repartition(*own, "block")
+    # A run is cut once, from its beginning to its end; each block brings the window before it along, but for that
+    # window's first character, and no row holds more than that.
+    cut = F.regexp_extract_all("match", F.lit(f".{{1,{BLOCK}}}"), F.lit(0))
+    lead = lambda pieces, i: F.when(i > 0, F.right(F.get(pieces, i - 1), F.lit(WINDOW - 1))).otherwise("")
+    led = _let(cut, lambda pieces: F.transform(pieces, lambda p, i: F.struct(lead(pieces, i).alias("lead"), p.alias("own"))))
+    blocks = candidates.select(*own, "most", F.posexplode(led).alias("block", "cut"))
+    blocks = blocks.select(*own, "most", "block", F.length("cut.lead").alias("lead"), F.concat("cut.lead", "cut.own").alias("piece")).repartition(*own, "block")
     base = F.col("start") + (F.col("block") * BLOCK - F.col("lead")).cast("int")
     windows = F.transform(_secret_ends(F.col("piece"), F.col("most")), lambda i: F.struct((base + i - WINDOW + 1).cast("int").alias("start"), (base + i + 1).cast("int").alias("end")))
     found = blocks.select(*own, _merged(windows).alias("spans")).where(F.size("spans") > 0)
