@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from snapsync.llm import mixing, ngram_join, pieces, pii, quality_rules
-from snapsync.llm.common import table, written
+from snapsync.llm.common import free_names, table, written
 from snapsync.llm.queries import PII_KEY, tokenizer
 
 
@@ -36,7 +36,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their sources' target weights, in random order."""
-    return mixing.mix_sources(docs, temperature=0.5, seed="mix").select(*docs.columns)
+    copy, order = free_names(docs, "copy", "order_key")
+    return mixing.mix_sources(docs, temperature=0.5, seed="mix", copy_col=copy, order_col=order).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
