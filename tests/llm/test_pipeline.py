@@ -38,7 +38,7 @@ def test_stages_equal_plain_python(spark, tmp_path):
 
     given = table(spark, SF, "documents")
     odd = spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], given.schema)
-    df = written(given.unionByName(odd).withColumns({c: F.lit("mine") for c in ("row", "rep", "kept_id", "mentions", "cdf", "ids")}))
+    df = written(given.unionByName(odd).withColumns({c: F.lit("mine") for c in ("row", "rep", "kept_id", "mentions", "cdf", "ids", "copy", "order_key")}))
     columns = df.columns
     stages = dict(corpus_pipeline.STAGES)
     df.write.parquet(str(tmp_path / "docs"))
