@@ -474,7 +474,18 @@ def _arrival_stream(s: SparkSession, d: str) -> DataFrame:
 
 @query("arr", "SELECT file_id FROM arr GROUP BY file_id HAVING count(DISTINCT chunk_index) >= 1 + file_id % 4")
 def stream_completion(s, d):
-    return streams.run_to_table(streams.completion(_arrival_stream(s, d).withColumn("needed", (1 + F.col("file_id") % 4).cast("int"))), "update").select("file_id").distinct()
+    return streams.run_to_table(streams.completion(_arrival_stream(s, d).withColumn("needed", 1 + F.col("file_id") % 4)), idle_batches=False).select("file_id")
+
+
+@query("src", "SELECT file_id, runs FROM src, (VALUES ('same'), ('changed')) t(runs)")
+def stream_resume_run(s, d):
+    """Two runs under the token of the tree give each file once; under the token of a changed tree all come again."""
+    folder = f"{shared_folder(s)}/runs-{uuid.uuid4().hex}"
+    tree = FX.order_files(s, d)
+    same, changed = (M.token(x).first().token for x in (tree, tree.withColumn("mtime_ns", F.col("mtime_ns") + 1)))
+    run = lambda token: streams.resumed(M.from_documents(streams.read_stream(s, f"{d}/documents.parquet")).select("file_id"), folder, token)
+    run(same)
+    return run(same).withColumn("runs", F.lit("same")).unionByName(run(changed).withColumn("runs", F.lit("changed")))
 
 
 @query("arr", "SELECT DISTINCT file_id, chunk_index FROM arr")
@@ -531,14 +542,12 @@ def stream_idle_sessions(s, d):
     return rows.select("session_id", F.unix_micros("first_seen").alias("first_seen"), F.unix_micros("last_seen").alias("last_seen"))
 
 
-@query("parts", "SELECT session_id, round(list_reduce(list(bytes / 3600.0::DOUBLE ORDER BY start), lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x), 4) AS rate FROM (SELECT session_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, sum(value) AS bytes FROM parts GROUP BY ALL) GROUP BY session_id")
+@query("parts", f"""SELECT session_id, round(list_reduce(list(bytes / 3600.0::DOUBLE ORDER BY start), lambda a, x: CASE WHEN a = 0 THEN x ELSE 0.9::DOUBLE * a + 0.1::DOUBLE * x END), 4) AS rate FROM (
+SELECT session_id, start, coalesce(bytes, 0) AS bytes FROM (SELECT session_id, unnest(generate_series(min(start), max(start), INTERVAL 1 HOUR)) AS start FROM hours GROUP BY session_id) LEFT JOIN hours USING (session_id, start)) GROUP BY session_id""".replace("hours", f"(SELECT * FROM (SELECT session_id, time_bucket(INTERVAL 1 HOUR, ts) AS start, sum(value) AS bytes FROM parts GROUP BY 1, 2) WHERE epoch_us(start) + 3600000000 <= {_LAST} // 1000 * 1000 - 3600000000)"))
 def stream_smoothed(s, d):
-    """Sums of whole hours in one stream, their smoothed rates in a second one that reads the first one's table."""
+    """The smoothed rate of each session after the last hour that the watermark has closed."""
     events = streams.read_stream(s, f"{d}/events.parquet").select(F.col("user_id").alias("session_id"), "ts", "value")
-    sums = streams.run_to_table(streams.throughput(events, "1 hour", "3650 days"), "update")
-    path = f"{shared_folder(s)}/sums-{uuid.uuid4().hex}"
-    D.first_by(sums, ["session_id", "start"], [F.col("batch_id").desc()]).drop("batch_id").write.parquet(path)
-    rates = streams.run_to_table(streams.smoothed(streams.read_stream(s, path), 3600.0))
+    rates = streams.run_to_table(streams.smoothed(events, 3600, delay="1 hour"))
     return D.first_by(rates, ["session_id"], [F.col("start").desc()]).select("session_id", F.round("rate", 4).alias("rate"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from snapsync.functions.tables import shared_folder, written
 from snapsync.plans import decisions as D
+from snapsync.streaming.state import Completion, Smoothing, rocksdb
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -30,11 +31,11 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append", path: str | None = None, checkpoint: str | None = None, idle_batches: bool = True) -> DataFrame:
     """All that a stream gives for what is there now, as a table in the shared folder.
 
     With the same path and checkpoint, a later run goes on where this one ended. A table that is kept in update mode
-    holds every update; the last one of a key has the largest batch_id.
+    holds every update; the last one of a key has the largest batch_id. idle_batches: see state.rocksdb().
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -44,40 +45,38 @@ def run_to_table(stream: DataFrame, mode: str = "append", path: str | None = Non
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with rocksdb(spark, idle_batches):
+        query = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
     rows = spark.read.schema(schema.add("batch_id", "long")).option("recursiveFileLookup", "true").parquet(path)
     return rows if mode == "update" else rows.drop("batch_id")
 
 
+def resumed(stream: DataFrame, folder: str, token: str, mode: str = "append") -> DataFrame:
+    """run_to_table() with table and checkpoint in folder under the token of what is worked on.
+
+    A later run with the same token goes on where the last one ended, and gives the table of all runs. Under another
+    token the work starts over, beside what the former one left.
+    """
+    return run_to_table(stream, mode, f"{folder}/{token}/table", f"{folder}/{token}/checkpoint")
+
+
 def wants(manifests: DataFrame, target: DataFrame) -> DataFrame:
     """Decide for each manifest row while rows still come; target is a table."""
     return D.want_files(manifests, target)
 
 
-def completion(arrivals: DataFrame) -> DataFrame:
-    """file_id, n_chunks of each file whose needed number of different chunks is in; arrivals: file_id, chunk_index,
-    needed. Update mode: a file comes again with each later arrival; once() tells of each file one time. State is the
-    set of a file's chunks, kept by Spark's own aggregation."""
-    found = arrivals.groupBy("file_id").agg(F.size(F.collect_set("chunk_index")).cast("long").alias("n_chunks"), F.max("needed").alias("needed"))
-    return found.where(F.col("n_chunks") >= F.col("needed")).select("file_id", "n_chunks")
+def completion(arrivals: DataFrame, remember: str = "7 days") -> DataFrame:
+    """file_id, n_chunks of each file, once, when its needed number of different chunks is in (append mode).
 
-
-def once(told: str, key: str, callback: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A sink that hands callback the rows of a batch whose key no earlier batch had; told: a folder that keeps the keys.
-
-    A batch that is run again hands over the same rows again.
+    arrivals: file_id, chunk_index (from 0), needed. State is a bitmap of a file's chunks until it is complete, then a
+    flag; what is remembered of a file goes when nothing has arrived for it for so long (it would start over then).
+    Run it without idle batches.
     """
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        spark.createDataFrame([], batch.select(key).schema).write.mode("overwrite").parquet(f"{told}/batch=-1")
-        before = spark.read.schema(batch.select(key).schema.add("batch", "long")).parquet(told).where(F.col("batch") < batch_id).select(key)
-        new = batch.join(before, key, "left_anti")
-        kept = f"{told}/batch={batch_id}"
-        new.select(key).write.mode("overwrite").parquet(kept)
-        callback(batch.join(spark.read.schema(batch.select(key).schema).parquet(kept), key, "left_semi"))
-
-    return save
+    kind = arrivals.schema["file_id"].dataType.simpleString()
+    rows = arrivals.select("file_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("needed").cast("long").alias("needed"))
+    ttl = int(pd.Timedelta(remember).total_seconds() * 1000)
+    return rows.groupBy("file_id").transformWithState(Completion("file_id", ttl), f"file_id {kind}, n_chunks long", "append", "processingTime")
 
 
 def dedupe(arrivals: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
@@ -114,22 +113,16 @@ def group_parts(parts: DataFrame, timeout_s: int, delay: str = "3650 days") -> D
     return timed.groupBy("session_id").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"))
 
 
-def smoothed(sums: DataFrame, seconds: float, keep: float = 0.9) -> DataFrame:
-    """session_id, start, rate after each interval of a stream of sums (session_id, start, bytes): the first rate is
-    taken as it is, later ones weigh 1 - keep. State is one number for a session; sums come in order of time, those of
-    one batch in any."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("start")
-        rate, out = state.get[0] if state.exists else None, []
-        for value in rows["bytes"] / seconds:
-            rate = value if rate is None else keep * rate + (1 - keep) * value
-            out.append(rate)
-        state.update((rate,))
-        yield pd.DataFrame({"session_id": key[0], "start": rows["start"], "rate": out})
+def smoothed(counters: DataFrame, seconds: int, keep: float = 0.9, delay: str = "1 day") -> DataFrame:
+    """session_id, start, rate after each interval of so many seconds that the watermark has closed, in one live query.
 
+    counters: session_id, ts, value. An interval's sum is closed when the watermark (delay behind the latest ts) has
+    passed it; then it goes into the session's smoothed rate, by report.ewma_rate's rule: a rate of 0 starts over with
+    the next one, others weigh keep. Intervals without rows count as 0. Rows later than the watermark are left out.
+    """
+    sums = throughput(counters, f"{seconds} seconds", delay)
     kind = sums.schema["session_id"].dataType.simpleString()
-    return sums.groupBy("session_id").applyInPandasWithState(step, f"session_id {kind}, start timestamp, rate double", "rate double", "append", "NoTimeout")
+    return sums.groupBy("session_id").transformWithStateInPandas(Smoothing("session_id", float(seconds), keep), f"session_id {kind}, start timestamp, rate double", "append", "none")
 
 
 def timed_groups(parts: DataFrame, timeout_s: int, delay: str) -> DataFrame:
@@ -170,7 +163,11 @@ def idle_sessions(events: DataFrame, idle_s: int, delay: str) -> DataFrame:
     return stays.select("session_id", F.col("stay.start").alias("first_seen"), "last_seen")
 
 
-def on_file_done(arrivals: DataFrame, callback: Callable[[DataFrame], None], checkpoint: str):
-    """Start a query that hands each batch of newly complete files to callback, each file once."""
-    sink = once(f"{checkpoint}/told", "file_id", callback)
-    return completion(arrivals).writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def on_file_done(arrivals: DataFrame, callback: Callable[[DataFrame], None], checkpoint: str, remember: str = "7 days"):
+    """Start a query that hands each batch of newly complete files to callback, each file once.
+
+    What was told stands in the query's own state, a flag a file, so a batch costs what it holds. A batch that is run
+    again after a failure hands over the same rows again.
+    """
+    with rocksdb(arrivals.sparkSession, idle_batches=False):
+        return completion(arrivals, remember).writeStream.foreachBatch(lambda batch, _: callback(batch)).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
