@@ -18,7 +18,7 @@ from snapsync.functions.tables import written
 def assemble(blocks: DataFrame) -> DataFrame:
     """file_id, content from blocks (file_id, chunk_index, data) in any order; for files that fit a cell."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "data")))
-    joined = F.aggregate(parts, F.lit("").cast("binary"), lambda s, x: F.concat(s, x["data"]))
+    joined = F.unhex(F.array_join(F.transform(parts, lambda x: F.hex(x["data"])), ""))
     return blocks.dropDuplicates(["file_id", "chunk_index"]).groupBy("file_id").agg(joined.alias("content"))
 
 
@@ -33,6 +33,44 @@ def verify_files(expected: DataFrame, assembled: DataFrame) -> DataFrame:
     return expected.join(got, "file_id", "left").withColumn("got", F.coalesce("got", F.when(empty, nothing))).select("file_id", F.when(F.col("got").isNull(), "missing").when(F.col("got") == F.col("digest"), "ok").otherwise("mismatch").alias("status"))
 
 
+#: Digests that a node of a file's digest tree stands for, and the tree's height: files of up to FAN**HEIGHT blocks.
+FAN, HEIGHT = 1024, 3
+
+
+def file_digests(blocks: DataFrame, fan: int = FAN) -> DataFrame:
+    """file_id, tree, n_blocks, n_bytes, whole from block digests (file_id, chunk_index, raw_len, digest).
+
+    tree: the root of a tree of fixed height over a file's blocks, each node the digest of its children's in order. No
+    row holds more than fan digests, so a file of any size is digested where its blocks are, over many tasks. whole: the
+    blocks are those from 0 on without a gap. Repeated blocks count once; of different ones in one place the least
+    digest counts, and the file isn't whole.
+    """
+    at = ["file_id", "chunk_index"]
+    rows = blocks.groupBy(*at).agg(F.min("digest").alias("digest"), F.max("digest").alias("other"), F.max("raw_len").alias("bytes"))
+    rows = rows.select("file_id", F.col("chunk_index").cast("long").alias("place"), "digest", F.lit(1).cast("long").alias("n"), "bytes", (F.col("digest") == F.col("other")).alias("one"), F.col("chunk_index").cast("long").alias("last"), F.col("chunk_index").cast("long").alias("first"))
+    for _ in range(HEIGHT):
+        children = F.array_sort(F.collect_list(F.struct("place", "digest")))
+        rows = rows.groupBy("file_id", F.floor(F.col("place") / fan).alias("up")).agg(
+            F.md5(F.array_join(F.transform(children, lambda x: x["digest"]), "")).alias("digest"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.bool_and("one").alias("one"), F.max("last").alias("last"), F.min("first").alias("first")
+        ).withColumnRenamed("up", "place")
+    # A file beyond the tree's height has more than one root, which no expected digest equals.
+    roots = rows.groupBy("file_id").agg(F.when(F.count(F.lit(1)) == 1, F.min("digest")).alias("tree"), F.sum("n").alias("n_blocks"), F.sum("bytes").alias("n_bytes"), F.bool_and("one").alias("one"), F.max("last").alias("last"), F.min("first").alias("first"))
+    return roots.select("file_id", "tree", "n_blocks", "n_bytes", (F.col("one") & (F.col("first") == 0) & (F.col("last") + 1 == F.col("n_blocks"))).alias("whole"))
+
+
+def verify_blocks(expected: DataFrame, blocks: DataFrame, fan: int = FAN) -> DataFrame:
+    """file_id, status of expected files (file_id, tree, file_size; both may be unknown) against the blocks that are there.
+
+    ok; mismatch: another tree or size; incomplete: blocks are missing in between or stand twice in a place; missing: no
+    block of a file that has any. No file is put together for it. Files of no length have no blocks and are ok.
+    """
+    got = file_digests(blocks, fan).select("file_id", F.col("tree").alias("got"), "n_bytes", "whole")
+    rows = expected.select("file_id", "tree", "file_size").join(got, "file_id", "left")
+    right = F.coalesce(F.col("tree") == F.col("got"), F.col("tree").isNull()) & F.coalesce(F.col("file_size") == F.col("n_bytes"), F.col("file_size").isNull())
+    status = F.when(F.col("whole").isNull(), F.when(F.col("file_size") == 0, "ok").otherwise("missing")).when(~F.col("whole"), "incomplete").when(right, "ok").otherwise("mismatch")
+    return rows.select("file_id", status.alias("status"))
+
+
 def run_status(parts: DataFrame) -> DataFrame:
     """One row: all_ok, errors over parts (ok)."""
     return parts.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("all_ok"), F.count_if(~F.col("ok")).alias("errors"))
@@ -51,12 +89,17 @@ def _writer(root: str):
                 return row | {"status": "unsafe", "out": None}
             os.makedirs(folder, exist_ok=True)
             part = f"{target}.{uuid.uuid4().hex}.part"
-            return row | {"status": "written", "target": target, "part": part, "out": open(part, "wb"), "seen": hashlib.md5(usedforsecurity=False)}  # noqa: SIM115
+            if row["chunk_index"] is None and row["digest"] is None and row["file_size"] != 0:
+                return row | {"status": "missing", "out": None}
+            return row | {"status": "written", "next": 0, "bytes": 0, "target": target, "part": part, "out": open(part, "wb"), "seen": hashlib.md5(usedforsecurity=False)}  # noqa: SIM115
 
         def end(file: dict) -> pa.RecordBatch:
             if file["out"] is not None:
                 file["out"].close()
-                if file["digest"] is not None and file["seen"].hexdigest() != file["digest"]:
+                wrong = file["file_size"] is not None and file["bytes"] != file["file_size"]
+                if file["status"] == "incomplete":
+                    os.remove(file["part"])
+                elif wrong or file["digest"] is not None and file["seen"].hexdigest() != file["digest"]:
                     os.remove(file["part"])
                     file["status"] = "mismatch"
                 else:
@@ -73,7 +116,11 @@ def _writer(root: str):
                         if held is not None:
                             yield end(held)
                         held = begin(row)
-                    if held["out"] is not None and row["data"] is not None:
+                    if held["out"] is not None and row["chunk_index"] is not None:
+                        if row["chunk_index"] != held["next"] or row["data"] is None:
+                            held["status"] = "incomplete"
+                        row["data"] = row["data"] or b""
+                        held["next"], held["bytes"] = row["chunk_index"] + 1, held["bytes"] + len(row["data"])
                         held["out"].write(row["data"])
                         held["seen"].update(row["data"])
             if held is not None:
@@ -90,16 +137,23 @@ def _writer(root: str):
 def materialize(blocks: DataFrame, paths: DataFrame, root: str) -> DataFrame:
     """Write blocks as files below a folder that all executors share: file_id, rel_path, status of each file.
 
-    paths: file_id, rel_path, and where they are known digest and mtime_ns. A file is put together beside its place; if
-    its digest is right it gets its time and appears, else it is thrown away (mismatch). Paths that are unsafe, or lead
-    out of the folder through a link, are not written (unsafe). A file is one task's work, a block at a time.
+    paths: file_id, rel_path, and where they are known digest, file_size and mtime_ns. A file is put together beside its
+    place; if it is right it gets its time and appears, else it is thrown away: mismatch for another digest or size,
+    incomplete for blocks that don't run on from 0, missing for a file without any of which neither size nor digest
+    says that it is empty. Of several ids with one path the least is written, the others are repeated. Paths that are
+    unsafe, or lead out of the folder through a link, are not written (unsafe). A file is one task's work, a block at a
+    time.
     """
     if "://" in root:
         raise ValueError(f"files are written to a folder that all executors see, not to {root}")
-    known = {"digest": "string", "mtime_ns": "long"}
+    known = {"digest": "string", "file_size": "long", "mtime_ns": "long"}
     rows = paths.select("file_id", "rel_path", *((F.col(c) if c in paths.columns else F.lit(None)).cast(t).alias(c) for c, t in known.items())).withColumn("rejected", X.unsafe_reason(F.col("rel_path")))
-    good = rows.where("rejected IS NULL AND rel_path IS NOT NULL").drop("rejected")
+    safe = rows.where("rejected IS NULL AND rel_path IS NOT NULL").drop("rejected").withColumn("place", F.regexp_replace(F.regexp_replace("rel_path", r"(^|/)(\./)+", "$1"), "/+", "/"))
+    taken = safe.groupBy("place").agg(F.min("file_id").alias("owner"))
+    safe = written(safe.join(taken, "place").drop("place"))
+    good = safe.where("file_id = owner").drop("owner").dropDuplicates(["file_id"])
     data = good.join(blocks.dropDuplicates(["file_id", "chunk_index"]).select("file_id", "chunk_index", F.col("data").cast("binary").alias("data")), "file_id", "left")
     kind = paths.schema["file_id"].dataType.simpleString()
-    done = data.repartition("file_id").sortWithinPartitions("file_id", "chunk_index").select("file_id", "rel_path", "digest", "mtime_ns", "data").mapInArrow(_writer(root), f"file_id {kind}, rel_path string, status string")
-    return written(done.unionByName(rows.where("rejected IS NOT NULL OR rel_path IS NULL").select("file_id", "rel_path", F.lit("unsafe").alias("status"))))
+    done = data.repartition("file_id").sortWithinPartitions("file_id", "chunk_index").select("file_id", "rel_path", "digest", "file_size", "mtime_ns", "chunk_index", "data").mapInArrow(_writer(root), f"file_id {kind}, rel_path string, status string")
+    others = rows.where("rejected IS NOT NULL OR rel_path IS NULL").withColumn("status", F.lit("unsafe")).unionByName(safe.where("file_id <> owner").withColumn("status", F.lit("repeated")), allowMissingColumns=True)
+    return written(done.unionByName(others.select("file_id", "rel_path", "status")))

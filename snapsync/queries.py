@@ -264,6 +264,28 @@ def verify_files(s, d):
     return verify.verify_files(expected, verify.assemble(got))
 
 
+def _tree_sql(blocks: str) -> str:
+    """Digest trees of eight children a node and height 3."""
+    for level in range(3):
+        place, digest = ("chunk_index", "digest") if level == 0 else ("up", "d")
+        blocks = f"SELECT file_id, {place} // 8 AS up, md5(string_agg({digest}, '' ORDER BY {place})) AS d{', count(*) AS n, sum(raw_len)::BIGINT AS b' if level == 0 else ', sum(n)::BIGINT AS n, sum(b)::BIGINT AS b'} FROM ({blocks}) GROUP BY ALL"
+    return f"SELECT file_id, d AS tree, n AS n_blocks, b AS n_bytes, true AS whole FROM ({blocks})"
+
+
+@query("sdig", _tree_sql("SELECT * FROM sdig"))
+def file_digest_tree(s, d):
+    return verify.file_digests(_blocks(s, d, "source"), fan=8)
+
+
+@query("src", "SELECT file_id, CASE WHEN strlen(text) = 0 THEN 'ok' WHEN file_id % 7 = 0 THEN 'missing' WHEN file_id % 7 = 1 AND strlen(text) > 2048 THEN 'incomplete' WHEN file_id % 7 = 1 AND strlen(text) > 1024 THEN 'mismatch' WHEN file_id % 7 = 2 THEN 'mismatch' ELSE 'ok' END AS status FROM src")
+def verify_by_blocks(s, d):
+    """Trees of digests as they are sent against those of blocks that came: none, without the second, or another first."""
+    sent = _blocks(s, d, "source")
+    expected = FX.source(s, d).select("file_id", "file_size").join(verify.file_digests(sent, fan=8).select("file_id", "tree"), "file_id", "left")
+    came = sent.where("file_id % 7 <> 0 AND NOT (file_id % 7 = 1 AND chunk_index = 1)")
+    return verify.verify_blocks(expected, came.withColumn("digest", F.when(F.expr("file_id % 7 = 2 AND chunk_index = 0"), F.md5("digest")).otherwise(F.col("digest"))), fan=8)
+
+
 @query("spans done", "SELECT count(d.chunk_id) AS chunks_done, count(*) - count(d.chunk_id) AS chunks_left, sum(CASE WHEN d.chunk_id IS NOT NULL THEN raw ELSE 0 END)::BIGINT AS bytes_done, 100.0::DOUBLE * sum(CASE WHEN d.chunk_id IS NOT NULL THEN raw ELSE 0 END)::BIGINT / sum(raw)::BIGINT AS percent FROM (SELECT chunk_id, sum(length)::BIGINT AS raw FROM spans GROUP BY chunk_id) c LEFT JOIN done d USING (chunk_id)")
 def progress_summary(s, d):
     spans = _spans(s, d)

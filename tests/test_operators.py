@@ -218,3 +218,28 @@ def test_on_file_done_is_told_once(spark, tmp_path):
     arrivals = streams.read_stream(spark, f"{SF}/lineitem.parquet").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("chunk_index"), F.lit(1).alias("needed"))
     streams.on_file_done(arrivals, lambda batch: got.extend(r.file_id for r in batch.collect()), str(tmp_path / "c")).awaitTermination()
     assert len(got) == len(set(got)) == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().count()
+
+
+def test_materialize_refuses_gaps_repeated_paths_and_wrong_sizes(spark, tmp_path):
+    files = [(1, "gap", None), (2, "late", None), (3, "a/b", None), (4, "a//b", None), (5, "none", None), (6, "empty", 0), (7, "short", 9), (8, "fine", 4), (9, "./a/b", None)]
+    blocks = [(1, 0), (1, 2), (2, 1), (3, 0), (4, 0), (7, 0), (8, 0), (8, 1), (8, 1), (9, 0)]
+    paths = spark.createDataFrame(files, "file_id long, rel_path string, file_size long")
+    data = spark.createDataFrame([(f, i, bytes([48 + f, 48 + i])) for f, i in blocks], "file_id long, chunk_index int, data binary")
+    got = {r.file_id: r.status for r in verify.materialize(data, paths, str(tmp_path / "tree")).collect()}
+    assert got == {1: "incomplete", 2: "incomplete", 3: "written", 4: "repeated", 5: "missing", 6: "written", 7: "mismatch", 8: "written", 9: "repeated"}
+    held = {str(p.relative_to(tmp_path / "tree")): p.read_bytes() for p in (tmp_path / "tree").rglob("*") if p.is_file()}
+    assert held == {"a/b": b"30", "empty": b"", "fine": b"8081"}
+
+
+def test_digest_trees_tell_gaps_and_repeats(spark):
+    rows = [(1, i, 2, f"d{i}") for i in range(20)] + [(2, 0, 2, "d0"), (2, 2, 2, "d2"), (3, 0, 2, "d0"), (3, 0, 2, "x"), (4, 0, 2, "d0"), (4, 0, 2, "d0"), (5, 1, 2, "d1")]
+    blocks = spark.createDataFrame(rows, "file_id long, chunk_index int, raw_len long, digest string")
+    got = {r.file_id: r for r in verify.file_digests(blocks.repartition(4), fan=3).collect()}
+    assert {k: (r.whole, r.n_blocks, r.n_bytes) for k, r in got.items()} == {1: (True, 20, 40), 2: (False, 2, 4), 3: (False, 1, 2), 4: (True, 1, 2), 5: (False, 1, 2)}
+    assert got[1].tree == verify.file_digests(blocks.where("file_id = 1"), fan=3).first().tree and len({r.tree for r in got.values()}) == 4
+    # 28 blocks are beyond three levels of three.
+    high = spark.createDataFrame([(1, i, 2, "d") for i in range(28)], blocks.schema)
+    assert verify.file_digests(high, fan=3).first().tree is None
+    expected = spark.createDataFrame([(1, got[1].tree, 40), (2, got[2].tree, 4), (4, "other", 2), (6, None, 5), (7, None, 0), (5, None, None)], "file_id long, tree string, file_size long")
+    status = {r.file_id: r.status for r in verify.verify_blocks(expected, blocks, fan=3).collect()}
+    assert status == {1: "ok", 2: "incomplete", 4: "mismatch", 6: "missing", 7: "ok", 5: "incomplete"}
