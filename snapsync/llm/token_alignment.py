@@ -18,6 +18,7 @@ zeros and an empty groups_sha256; rows are documents of their own, whatever thei
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 from array import array
@@ -36,10 +37,15 @@ from snapsync.llm.token_counts import _WS, _byte_letters
 #: Rows of pair counts that are broadcast at most.
 BROADCAST = 2_000_000
 #: Stretches and windows that a worker remembers before it starts afresh; longer stretches aren't remembered.
-KEPT, LONGEST = 200_000, 200
+KEPT, LONGEST = 250_000, 200
 #: Between a character that is no space and a single space that a character other than white space follows.
 _CUT = regex.compile(rf"(?<! )(?= [^{_WS}])")
 
+#: Where a space is no such place, but for spaces at the ends of a text.
+_ODD = regex.compile(rf" [{_WS}]")
+#: No id; stands between the packed ids of A and B that name a window.
+_BETWEEN = array("i", [-1]).tobytes()
+
 
 class Kept(dict):
     """A memory of so many entries: when it is full, only what is asked for again stays."""
@@ -84,31 +90,42 @@ class Pair:
         self.flat_b, self.start_b, self.size_b, self.space_b = self._table(self.bytes_b)
         self.lengths_a, self.lengths_b = self.size_a.tolist(), self.size_b.tolist()
         self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.ids_a, self.ids_b, self.windows = Kept(), Kept(), Kept()
+        self.stretches, self.windows = Kept(), Kept()
 
     @staticmethod
     def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(x) for x in tokens], np.int64)
         return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes, sizes, np.array([x[:1] == b" " for x in tokens], bool)
 
+    @staticmethod
+    def _stretches(text: str) -> list[str]:
+        """A text cut at _CUT, without the space that each stretch (and the text) is led by."""
+        if text[:1] == " " or text[-1:] == " " or _ODD.search(text):
+            return [s[1:] for s in _CUT.split(" " + text) if s]
+        return text.split(" ")
+
     def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """All ids of each text, A and B, as packed 32-bit numbers."""
-        cut = [[s for s in _CUT.split(" " + t) if s] for t in texts]
-        self.ids_a.make_room()
-        self.ids_b.make_room()
-        new = [s for s in set(chain.from_iterable(cut)).difference(self.ids_a) if s not in self.ids_a.before]
-        # Stretches begin with the space before a text or word; B adds that space itself.
-        self.ids_a.update(zip(new, (array("i", e.ids).tobytes() for e in self.a.encode_batch(new, add_special_tokens=False))))
-        self.ids_b.update(zip(new, (array("i", ids).tobytes() for ids in self.b.encode([s[1:] for s in new], num_threads=1))))
-        out = [(b"".join(map(self.ids_a.__getitem__, parts)), b"".join(map(self.ids_b.__getitem__, parts))) for parts in cut]
+        cut = [self._stretches(t) for t in texts]
+        self.stretches.make_room()
+        held = self.stretches
+        new = [s for s in set(chain.from_iterable(cut)).difference(held) if s not in held.before]
+        # A is given the space before a stretch; B adds it itself.
+        a = self.a.encode_batch_fast([" " + s for s in new], add_special_tokens=False)
+        b = self.b.encode(new, num_threads=1)
+        held.update((s, (array("i", x.ids).tobytes(), array("i", y).tobytes())) for s, x, y in zip(new, a, b))
+        out = []
+        for parts in cut:
+            ids = list(map(held.__getitem__, parts))
+            out.append((b"".join([x[0] for x in ids]), b"".join([x[1] for x in ids])))
         for s in new:
             if len(s) > LONGEST:
-                del self.ids_a[s], self.ids_b[s]
+                del held[s]
         return out
 
-    def _align(self, key: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
+    def _align(self, packed_a: bytes, packed_b: bytes) -> tuple[bytes, bytes]:
         """Groups of a window as text, and its links as packed numbers a * size of B + b."""
-        a, b = array("i", key[0]), array("i", key[1])
+        a, b = array("i", packed_a), array("i", packed_b)
         count_b, len_a, len_b, name = len(self.bytes_b), self.lengths_a, self.lengths_b, self.names
         groups, links, i, j, from_a, from_b, x, y, n = [], [], 0, 0, 0, 0, len_a[a[0]], len_b[b[0]], len(a)
         while True:
@@ -147,10 +164,10 @@ class Pair:
             n_groups, cut_a, cut_b = self._anchors(a, b)
             held, known, get = [], self.windows, self.windows.get
             for i, j, k, m in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b):
-                key = (packed_a[i:j], packed_b[k:m])
+                key = packed_a[i:j] + _BETWEEN + packed_b[k:m]
                 window = get(key)
                 if window is None:
-                    window = known[key] = known.before.get(key) or self._align(key)
+                    window = known[key] = known.before.get(key) or self._align(packed_a[i:j], packed_b[k:m])
                 held.append(window)
             pairs, times = np.unique(np.frombuffer(b"".join([x[1] for x in held]), np.int64), return_counts=True)
             yield len(a), len(b), n_groups, int(times.sum()), hashlib.sha256(b";".join([x[0] for x in held])).hexdigest(), pairs, times
@@ -184,12 +201,14 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(path_a, path_b)
+        gc.disable()  # what is remembered has no cycles, and would be gone through again and again
         for batch in batches:
             for low, high in slices(batch["text"], 4 << 20):
                 part = batch.slice(low, high - low)
                 columns = list(zip(*pair.documents(part["text"].to_pylist())))
                 arrays = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in c])]).astype(np.int32), np.concatenate(c).astype(np.int64)) for c in columns[5:]]
                 yield pa.RecordBatch.from_arrays([part["row"], part["doc_id"], *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()), *arrays], ["row", "doc_id", *counts, "groups_sha256", "pairs", "times"])
+        gc.enable()
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
     kind = docs.schema["doc_id"].dataType.simpleString()
