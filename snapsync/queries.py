@@ -205,6 +205,18 @@ def token_hit(s, d):
     return D.token_hit(tokens.drop("last"), cached)
 
 
+@query("w", "SELECT w.file_id, w.reason, reused FROM w JOIN (SELECT source, max(doc_id) % 2 = 0 AS reused FROM documents GROUP BY source) h ON h.source = split_part(w.rel_path, '/', 1)")
+def reused_manifest(s, d):
+    """Wants of sources of which every other is unchanged since its manifest was saved; the others are read anew."""
+    files = FX.source(s, d).drop("text").withColumn("source_id", F.split("rel_path", "/")[0])
+    trees, path = (f"{shared_folder(s)}/{n}-{uuid.uuid4().hex}" for n in ("trees", "saved"))
+    files.write.partitionBy("source_id").parquet(trees)
+    tokens = M.id_tokens(files, "source_id", "doc_id")
+    M.save_trees(files, tokens.withColumn("token", F.when(F.col("last") % 2 == 0, F.col("token")).otherwise("old")), path)
+    now = M.reused_trees(s, tokens, path, lambda wanted: s.read.parquet(trees).where(wanted))
+    return D.want_files(now, FX.target(s, d)).select("file_id", "reason", "reused")
+
+
 @query("ofiles", "SELECT count(*) AS files, sum(file_size)::BIGINT AS bytes FROM ofiles")
 def tree_totals(s, d):
     return FX.order_files(s, d).agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -151,6 +151,37 @@ def load_manifest(spark: SparkSession, source_id: str, path: str) -> DataFrame |
     return rows
 
 
+#: Sources that are named in a filter at most; more are joined.
+NAMED = 10_000
+
+
+def save_trees(manifest: DataFrame, tokens: DataFrame, path: str) -> None:
+    """Save the manifest (source_id and others) of many sources, and their tokens (source_id, token), below path."""
+    for rows, kind in ((manifest, "rows"), (tokens.select("token", "source_id"), "tokens")):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").option("compression", "zstd").parquet(f"{path}/{kind}")
+
+
+def reused_trees(spark: SparkSession, tokens: DataFrame, path: str, scan: Callable[[Column], DataFrame]) -> DataFrame:
+    """The manifest of the sources of tokens (source_id, token), with reused: of a source whose token is the saved one,
+    the saved rows, without a look at the source; of all others what scan gives.
+
+    scan takes a condition on source_id and gives the manifest of those sources, with the saved manifest's columns. Up
+    to NAMED sources are named in it and in the filter of the saved rows, so storage by source is pruned before it is
+    listed; more are joined, and pruned as the join runs.
+    """
+    saved = spark.read.parquet(f"{path}/tokens").select("source_id", F.col("token").alias("saved_token"))
+    states = written(tokens.select("source_id", "token").join(saved, "source_id", "left").select("source_id", F.coalesce(F.col("token") == F.col("saved_token"), F.lit(False)).alias("hit")))
+    known = spark.read.parquet(f"{path}/rows")
+    listed = states.limit(NAMED + 1).collect()
+    if len(listed) > NAMED:
+        hits, others = (states.where(c).select("source_id") for c in ("hit", "NOT hit"))
+        parts = [known.join(hits, "source_id", "left_semi"), scan(F.lit(True)).join(others, "source_id", "left_semi")]
+    else:
+        named = lambda hit: F.col("source_id").isin([r.source_id for r in listed if r.hit == hit])
+        parts = [known.where(named(True)), scan(named(False))]
+    return parts[0].withColumn("reused", F.lit(True)).unionByName(parts[1].withColumn("reused", F.lit(False)))
+
+
 def source_identity(spark: SparkSession, roots: DataFrame, path: str) -> DataFrame:
     """root, source_id: roots without an id get one, which is kept.
 

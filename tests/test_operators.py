@@ -1,6 +1,7 @@
 """Invariants of the snapshot operators on small inputs."""
 
 import random
+import re
 import zlib
 
 import pytest
@@ -243,3 +244,20 @@ def test_digest_trees_tell_gaps_and_repeats(spark):
     expected = spark.createDataFrame([(1, got[1].tree, 40), (2, got[2].tree, 4), (4, "other", 2), (6, None, 5), (7, None, 0), (5, None, None)], "file_id long, tree string, file_size long")
     status = {r.file_id: r.status for r in verify.verify_blocks(expected, blocks, fan=3).collect()}
     assert status == {1: "ok", 2: "incomplete", 4: "mismatch", 6: "missing", 7: "ok", 5: "incomplete"}
+
+
+@pytest.mark.parametrize("named", [0, 100])
+def test_saved_trees_replace_scans_of_unchanged_sources(spark, tmp_path, monkeypatch, named):
+    monkeypatch.setattr(M, "NAMED", named)
+    rows = spark.createDataFrame([(s, f"{s}/{i}", i) for s in "abc" for i in range(3)], "source_id string, rel_path string, file_size long")
+    saved = spark.createDataFrame([("a", "1"), ("b", "1")], "source_id string, token string")
+    M.save_trees(rows.where("source_id <> 'c'"), saved, str(tmp_path / "saved"))
+    now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "1")], "source_id string, token string")
+    asked = []
+    changed = rows.withColumn("file_size", F.col("file_size") + 10)
+    got = M.reused_trees(spark, now, str(tmp_path / "saved"), lambda wanted: asked.append(str(wanted)) or changed.where(wanted))
+    assert sorted((r.rel_path, r.file_size, r.reused) for r in got.collect()) == sorted((f"{s}/{i}", i + 10 * (s != "a"), s == "a") for s in "abc" for i in range(3))
+    if named:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "b" in asked[0] and "c" in asked[0] and "'a'" not in asked[0]
+        assert re.search(r"PartitionFilters: \[[^]]*source_id#\d+ = a\)", plan)
