@@ -16,7 +16,7 @@ from snapsync.functions import expressions as X
 from snapsync.functions.tables import folded, running, written
 
 CONTROL_DIR = ".snapsync"
-MOST_ROWS, LONGEST_PATH = 10_000_000, 4096
+LONGEST_PATH = 4096
 
 
 def _listing(uri: str):
@@ -38,21 +38,26 @@ def _listing(uri: str):
 
 
 def _contents(uri: str):
-    """Rows of files with their content, one at a time."""
+    """Rows of files with their content, one at a time; error instead for one that can't be read or is gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(uri)
         for batch in batches:
             for i, path in enumerate(batch["path"].to_pylist()):
-                with store.open_input_stream(path) as f:
-                    data = f.read()
-                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, 1) for c in ("path", "file_size", "mtime_ns")), pa.array([data], pa.binary())], ["path", "file_size", "mtime_ns", "content"])
+                data = error = None
+                try:
+                    with store.open_input_stream(path) as f:
+                        data = f.read()
+                except OSError as e:
+                    error = type(e).__name__
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, 1) for c in ("path", "file_size", "mtime_ns")), pa.array([data], pa.binary()), pa.array([error], pa.string())], ["path", "file_size", "mtime_ns", "content", "error"])
 
     return run
 
 
 def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """rel_path, file_size, mtime_ns of the regular files below a folder; with content also content_hash and content.
+    """rel_path, file_size, mtime_ns of the regular files below a folder; with content also content_hash, content
+    and error: a file that can't be read, or is gone since it was listed, is a row with an error and no content.
 
     Tasks list folders, one level of the tree after the other; files of no length and hidden ones are files like
     others. root: a path in a folder that all executors share, or the address of a store that pyarrow opens.
@@ -67,9 +72,9 @@ def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFram
         found = files if found is None else found.unionByName(files)
         folders = held.where("is_dir").select(F.col("path").alias("dir"))
     if content:
-        found = found.repartition(parallel, "path").mapInArrow(_contents(uri), "path string, file_size long, mtime_ns long, content binary").withColumn("content_hash", F.md5("content"))
+        found = found.repartition(parallel, "path").mapInArrow(_contents(uri), "path string, file_size long, mtime_ns long, content binary, error string").withColumn("content_hash", F.md5("content"))
     rel = F.substring("path", F.lit(len(base) + 2), F.length("path"))
-    return exclude_control_dir(found.select(rel.alias("rel_path"), "file_size", "mtime_ns", *(["content_hash", "content"] if content else [])))
+    return exclude_control_dir(found.select(rel.alias("rel_path"), "file_size", "mtime_ns", *(["content_hash", "content", "error"] if content else [])))
 
 
 def exclude_control_dir(manifest: DataFrame, name: str = CONTROL_DIR) -> DataFrame:
@@ -141,12 +146,12 @@ def save_manifest(manifest: DataFrame, source_id: str, path: str) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").option("compression", "zstd").parquet(path)
 
 
-def load_manifest(spark: SparkSession, source_id: str, path: str) -> DataFrame | None:
-    """A saved manifest; none if it is missing, too large, or not what was saved."""
+def load_manifest(spark: SparkSession, source_id: str, path: str, most_rows: int | None = None) -> DataFrame | None:
+    """A saved manifest; none if it is missing, not what was saved, or of more rows than are allowed, if so many are."""
     found = spark.read.parquet(path).where(F.col("source_id") == source_id)
     rows = found.drop("token", "source_id")
     seen = found.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("rel_path")).alias("longest"), F.first("token").alias("token")).first()
-    if not seen.n or seen.n > MOST_ROWS or seen.longest > LONGEST_PATH or token(rows).first().token != seen.token:
+    if not seen.n or (most_rows is not None and seen.n > most_rows) or seen.longest > LONGEST_PATH or token(rows).first().token != seen.token:
         return None
     return rows
 

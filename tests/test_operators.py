@@ -261,3 +261,20 @@ def test_saved_trees_replace_scans_of_unchanged_sources(spark, tmp_path, monkeyp
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "b" in asked[0] and "c" in asked[0] and "'a'" not in asked[0]
         assert re.search(r"PartitionFilters: \[[^]]*source_id#\d+ = a\)", plan)
+
+
+def test_files_that_cannot_be_read_are_rows_with_an_error(spark, tmp_path, monkeypatch):
+    """A file is listed, and gone or closed to readers when its content is asked for."""
+    for name in ("here", "gone", "folder/there"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    listed = M.written
+    monkeypatch.setattr(M, "written", lambda df: [listed(df), (tmp_path / "gone").unlink(missing_ok=True)][0])
+    got = {r.rel_path: (r.content, r.error) for r in M.scan_tree(spark, str(tmp_path), content=True).collect()}
+    assert got == {"here": (b"here", None), "folder/there": (b"folder/there", None), "gone": (None, "FileNotFoundError")}
+
+
+def test_a_saved_manifest_of_any_size_loads_unless_told_otherwise(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{i}", 1, 1) for i in range(5)], "rel_path string, mtime_ns long, file_size long")
+    M.save_manifest(rows, "s", str(tmp_path / "m"))
+    assert M.load_manifest(spark, "s", str(tmp_path / "m")).count() == 5 and M.load_manifest(spark, "s", str(tmp_path / "m"), most_rows=4) is None
