@@ -60,7 +60,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.dedup_substrings(table(spark, sf_dir, "documents"), span=50).drop("n_spans")
+    return substring.dedup_substrings(table(spark, sf_dir, "documents"), span=50).drop("n_stretches")
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

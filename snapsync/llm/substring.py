@@ -1,14 +1,16 @@
 """Substring dedup over a de Bruijn graph of word k-mers.
 
 Every run of `span` consecutive words of a document is an edge from the node of its first span-1 words to the node of
-its last span-1 words; the two together name all of its words. Edges that two rows hold are repeated. Nodes of the
-repeated edges that more than one edge enters or leaves are branching. Repeated edges that follow each other in their
-source, the row with the least id that has them, without a branching node between are a run; runs that meet at a node
-without a branch compact to paths, by joins that double their reach (`compact`).
+its last span-1 words; the two together name all of its words. Edges that rows of two ids hold are repeated. An edge
+goes on to the next without a branch if each of its occurrences is followed by that one, and each occurrence of that
+one is preceded by it; the ends of texts count as something else. Edges that go on so compact to paths: neighbours in
+their source, the row with the least id that has them, become runs, and runs compact by joins that double their reach
+(`compact`).
 
-A document loses each word that lies under an edge of a document with a smaller id. Its stretches along a run are
-verified: the words at the source's place must be the same, by the SHA-256 of both; what isn't the same stays. Verified
-stretches that go on along one path are one repeated span.
+A row that holds the first edge of a path holds all of it, and all edges of a path have one source. So rows are joined
+with the first edges of paths only; a path's length says which words it covers in a row, and the SHA-256 of its words
+at the source, taken once for a path, must be that of the words in each place of the row where it begins. A document
+loses each word that lies under such a place of a path whose source has a smaller id; what isn't the same stays.
 
 Not all edges are shuffled. Each edge has an anchor, the least hash among its k-mers of a third of its length; equal
 edges have equal anchors, and neighbouring edges mostly share theirs. Only anchors are counted over the corpus (about
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,7 +37,7 @@ from snapsync.llm.common import Words, mix64, slices, written
 
 _NONE = np.uint64(2**64 - 1)
 #: Places of a source that one window of runs takes; a longer source is cut, and its runs meet again as paths.
-STRETCH = 1 << 16
+STRETCH = 1 << 10
 
 
 def _anchors(words: Words, hashes: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
@@ -87,21 +89,30 @@ def _summaries(span: int):
 
 
 def _occurrences(span: int):
-    """The edges of a row whose anchors are repeated, each once, at its first place."""
+    """The edges of a row whose anchors are repeated, each once for what precedes and follows it, at its first place.
+
+    before: the tail of the edge that precedes, after: the head of the one that follows; null where the text ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _parts(batches):
             at, tail, head, anchor = _edges(words, span)
             bounds, anchors = _row_ranges(words.row[at], words.rows), part["anchors"]
+            before, after = np.roll(tail, 1), np.roll(head, -1)
+            first, last = np.zeros(len(at), bool), np.zeros(len(at), bool)
+            first[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+            last[bounds[1:][bounds[:-1] < bounds[1:]] - 1] = True
+            around = _name(_name(tail, head).view(np.int64), _name(np.where(first, 0, before), np.where(last, 0, after)).view(np.int64)) + first + 2 * last
             found = [np.zeros(0, np.int64)]
             for i in range(words.rows):
                 a, b = bounds[i], bounds[i + 1]
                 hit = np.flatnonzero(np.isin(anchor[a:b], anchors[i].values.to_numpy())) + a
-                found.append(hit[np.sort(np.unique(_name(tail[hit], head[hit]), return_index=True)[1])])
+                found.append(hit[np.sort(np.unique(around[hit], return_index=True)[1])])
             hit = np.concatenate(found)
             row = words.row[at[hit]]
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part["row"].take(take), part["doc_id"].take(take), pa.array((at[hit] - words.first_word[row]).astype(np.int32)), pa.array(tail[hit]), pa.array(head[hit])], ["row", "doc_id", "place", "tail", "head"])
+            columns = [part["row"].take(take), part["doc_id"].take(take), pa.array((at[hit] - words.first_word[row]).astype(np.int32)), pa.array(tail[hit]), pa.array(head[hit]), pa.array(before[hit], mask=first[hit]), pa.array(after[hit], mask=last[hit])]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "place", "tail", "head", "before", "after"])
 
     return run
 
@@ -112,34 +123,49 @@ def _name(tail: np.ndarray, head: np.ndarray) -> np.ndarray:
 
 
 def repeated_edges(occurrences: DataFrame) -> DataFrame:
-    """tail, head, doc_id, row, place of each edge that two rows hold, in the row with the least id that has it."""
-    edges = occurrences.groupBy("tail", "head").agg(F.min(F.struct("doc_id", "row", "place")).alias("source"), F.count(F.lit(1)).alias("n_rows"))
-    return edges.where("n_rows > 1").select("tail", "head", "source.*")
+    """tail, head, doc_id, row, place, before, after of each edge that rows of two ids hold, in the row with the least.
+
+    before, after: those of all its occurrences; null if they differ or a text ends there.
+    """
+    only = lambda c: F.when((F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)), F.min(c)).alias(c)
+    edges = occurrences.groupBy("tail", "head").agg(F.min(F.struct("doc_id", "row", "place")).alias("source"), F.max("doc_id").alias("last_doc"), only("before"), only("after"))
+    return edges.where("source.doc_id < last_doc").select("tail", "head", "source.*", "before", "after")
 
 
-def branching_nodes(edges: DataFrame) -> DataFrame:
-    """node: those that more than one edge enters or more than one leaves."""
-    ends = edges.select(F.col("tail").alias("node"), F.lit(0).alias("enters"), F.lit(1).alias("leaves")).unionByName(edges.select(F.col("head").alias("node"), F.lit(1).alias("enters"), F.lit(0).alias("leaves")))
-    return ends.groupBy("node").agg(F.sum("enters").alias("enters"), F.sum("leaves").alias("leaves")).where("enters > 1 OR leaves > 1").select("node")
+def _around(*nodes) -> Column:
+    """Three nodes, or null if one of them is."""
+    known = [F.col(n) if isinstance(n, str) else n for n in nodes]
+    there = known[0].isNotNull() & known[1].isNotNull() & known[2].isNotNull()
+    return F.when(there, F.struct(*(n.alias(x) for n, x in zip(known, "abc"))))
 
 
-def source_runs(edges: DataFrame, branching: DataFrame) -> DataFrame:
-    """edges with first: the place where the edge's run in its source begins."""
-    flagged = edges.join(branching.select(F.col("node").alias("tail"), F.lit(True).alias("branches")), "tail", "left")
+def source_runs(edges: DataFrame) -> DataFrame:
+    """run, n, doc_id, row, place, tail, head, enters, leaves: edges that go on without a branch in a piece of a source.
+
+    place, tail, head: of its first edge. enters: the nodes before, at and after its beginning, leaves: those at its end;
+    null where it branches. The run that it goes on to enters as it leaves.
+    """
+    rows = edges.withColumn("enters", _around("before", "tail", "head")).withColumn("leaves", _around("tail", "head", "after"))
     order = Window.partitionBy("row", F.floor(F.col("place") / STRETCH)).orderBy("place")
-    goes_on = (F.lag("place").over(order) == F.col("place") - 1) & F.col("branches").isNull()
+    goes_on = (F.lag("place").over(order) == F.col("place") - 1) & (F.lag("leaves").over(order) == F.col("enters"))
     starts = F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.col("place"))
-    return flagged.select("tail", "head", "doc_id", "row", "place", F.max(starts).over(order).alias("first"))
+    rows = rows.withColumn("first", F.max(starts).over(order))
+    at = lambda c, end: end(c, "place").alias(c)
+    runs = rows.groupBy("doc_id", "row", F.col("first").alias("at")).agg(F.count(F.lit(1)).alias("n"), at("tail", F.min_by), at("head", F.min_by), at("enters", F.min_by), at("leaves", F.max_by))
+    return runs.withColumnRenamed("at", "place").withColumn("run", F.monotonically_increasing_id())
 
 
-def compact(runs: DataFrame, branching: DataFrame) -> DataFrame:
+def compact(runs: DataFrame, branching: DataFrame | None = None) -> DataFrame:
     """run, path, offset of each row of runs (run, n, tail, head): the path's first run, and the edges before this one.
 
-    A run's predecessor ends in the node where it begins, if that node doesn't branch. In each round a run asks the one
-    that it points to where that points, so reach doubles. Runs in a ring never get to an end; each is its own path.
+    A run's predecessor ends in what it begins with (null: nothing), if that isn't branching (node). In each round a run
+    asks the one that it points to where that points, so reach doubles. Runs in a ring never get to an end; each is its
+    own path.
     """
     ends = runs.select(F.col("run").alias("before"), F.col("n").alias("offset"), F.col("head").alias("tail"))
-    links = runs.select("run", "tail").join(ends, "tail").join(branching.select(F.col("node").alias("tail")), "tail", "left_anti")
+    links = runs.select("run", "tail").join(ends, "tail")
+    if branching is not None:
+        links = links.join(branching.select(F.col("node").alias("tail")), "tail", "left_anti")
     state = written(runs.select("run").join(links.select("run", "before", "offset"), "run", "left").select("run", F.coalesce("before", "run").alias("path"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset")))
     total, reach = state.count(), 1
     while True:
@@ -154,21 +180,17 @@ def compact(runs: DataFrame, branching: DataFrame) -> DataFrame:
             return moved.select("run", F.when(ring, F.col("run")).otherwise(F.col("next")).alias("path"), F.when(ring, F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"))
 
 
-def repeated_stretches(occurrences: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """row, first, edges, source_row, source_place, path, shift: stretches of a row along one run of a smaller document.
+def whole_paths(runs: DataFrame, reach: DataFrame) -> DataFrame:
+    """path, doc_id, row, place, tail, head, edges: where each path begins in its source, its first edge and length."""
+    begins = lambda c: F.min_by(c, "offset").alias(c)
+    return runs.join(reach, "run").groupBy("path").agg(*(begins(c) for c in ("doc_id", "row", "place", "tail", "head")), F.sum("n").cast("int").alias("edges"))
 
-    A stretch is one if its places run along the source's without a gap; else each edge is its own. shift: the place in
-    the row less the place on the path. edges: those of source_runs with their run; paths: of compact().
-    """
-    known = edges.join(paths, "run").select("tail", "head", F.col("doc_id").alias("source_doc"), F.col("row").alias("source_row"), F.col("place").alias("source_place"), "path", (F.col("place") - F.col("first") + F.col("offset")).alias("along"))
+
+def met_paths(occurrences: DataFrame, paths: DataFrame) -> DataFrame:
+    """row, path of each path of a smaller document that a row holds."""
+    first = paths.select("tail", "head", "path", F.col("doc_id").alias("source_doc"))
     # Both sides are dealt out anew for this join, so Spark can split hot edges.
-    met = occurrences.join(known, ["tail", "head"]).where("doc_id > source_doc")
-    met = met.select("row", "place", "source_row", "path", (F.col("place") - F.col("source_place")).alias("away"), (F.col("place") - F.col("along")).alias("shift"))
-    groups = met.groupBy("row", "source_row", "path", "away", "shift").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.collect_list("place").alias("places"))
-    whole = F.col("high") - F.col("low") + 1 == F.size("places")
-    single = F.transform("places", lambda x: F.struct(x.alias("first"), F.lit(1).alias("edges")))
-    ranges = groups.select("row", "source_row", "path", "away", "shift", F.inline(F.when(whole, F.array(F.struct(F.col("low").alias("first"), F.size("places").alias("edges")))).otherwise(single)))
-    return ranges.select("row", "first", "edges", "source_row", (F.col("first") - F.col("away")).alias("source_place"), "path", "shift")
+    return occurrences.join(first, ["tail", "head"]).where("doc_id > source_doc").select("row", "path").distinct()
 
 
 def _words_digest(words: list[bytes], first: int, edges: int, span: int) -> bytes:
@@ -176,55 +198,52 @@ def _words_digest(words: list[bytes], first: int, edges: int, span: int) -> byte
 
 
 def _source_digests(span: int):
-    """The digest of the words at each asked stretch of a source."""
+    """The digest of the words of each path at its source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text, asked in zip(batch["row"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["asked"].to_pylist()):
+            for text, paths in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["paths"].to_pylist()):
                 words = text.split()
-                yield pa.RecordBatch.from_pylist([{"source_row": row, "source_place": a["source_place"], "edges": a["edges"], "sha": _words_digest(words, a["source_place"], a["edges"], span)} for a in asked], schema=_DIGESTS)
+                yield pa.RecordBatch.from_pylist([{"path": x["path"], "sha": _words_digest(words, x["place"], x["edges"], span)} for x in paths], schema=_DIGESTS)
 
     return run
 
 
-_DIGESTS = pa.schema([("source_row", pa.int64()), ("source_place", pa.int32()), ("edges", pa.int32()), ("sha", pa.binary())])
+_DIGESTS = pa.schema([("path", pa.int64()), ("sha", pa.binary())])
 
 
 def _removals(span: int):
-    """Words under verified stretches go; stretches that go on along their path are counted as one span."""
+    """Words under the paths of smaller documents go, wherever such a path begins and its words are the source's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, words in _parts(batches):
             at, tail, head, _ = _edges(words, span)
-            bounds, names = _row_ranges(words.row[at], words.rows), _name(tail, head)
+            bounds = _row_ranges(words.row[at], words.rows)
             removed, spans, kept = [], [], []
-            for i, (text, asked) in enumerate(zip(part["text"].cast(pa.binary()).to_pylist(), part["spans"].to_pylist())):
-                own, tokens = names[bounds[i] : bounds[i + 1]], text.split()
-                asked = [x for x in asked if _words_digest(tokens, x["first"], x["edges"], span) == x["sha"]]
-                covered = np.zeros(len(own), bool)
-                ends: dict[tuple[int, int], int] = {}
-                n = 0
-                for x in sorted(asked, key=lambda x: x["first"]):
-                    covered[x["first"] : x["first"] + x["edges"]] = True
-                    n += ends.get((x["path"], x["shift"])) != x["first"]
-                    ends[x["path"], x["shift"]] = x["first"] + x["edges"]
-                under = np.flatnonzero(np.isin(own, own[covered]))  # the same edge elsewhere in this text too
+            for i, (text, paths) in enumerate(zip(part["text"].cast(pa.binary()).to_pylist(), part["paths"].to_pylist())):
+                tails, heads, tokens = tail[bounds[i] : bounds[i + 1]], head[bounds[i] : bounds[i + 1]], text.split()
+                order = np.argsort(tails, kind="stable")
+                asked = np.array([x["tail"] for x in paths], np.int64)
+                low, high = (np.searchsorted(tails[order], asked, side) for side in ("left", "right"))
                 cover = np.zeros(len(tokens) + 1, np.int64)
-                np.add.at(cover, under, 1)
-                np.add.at(cover, under + span, -1)
+                for x, a, b in zip(paths, low.tolist(), high.tolist()):
+                    for place in order[a:b].tolist():
+                        if heads[place] == x["head"] and _words_digest(tokens, place, x["edges"], span) == x["sha"]:
+                            cover[place] += 1
+                            cover[place + x["edges"] + span - 1] -= 1
                 keep = np.cumsum(cover)[:-1] == 0
                 removed.append(int(len(keep) - keep.sum()))
-                spans.append(n)
+                spans.append(int((~keep & np.concatenate([[True], keep[:-1]])).sum()))
                 kept.append(hashlib.sha256(b" ".join([w for w, k in zip(tokens, keep.tolist()) if k])).digest())
-            yield pa.RecordBatch.from_arrays([part["row"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_removed", "n_spans", "kept_sha"])
+            yield pa.RecordBatch.from_arrays([part["row"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["row", "n_removed", "n_stretches", "kept_sha"])
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, span: int = 50) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, n_spans of each row of docs (columns doc_id, text); span: 2 or more.
+    """doc_id, n_words, n_removed, kept_sha256, n_stretches of each row of docs (columns doc_id, text); span: 2 or more.
 
-    n_spans: repeated spans that the row lost; a whole copy of an earlier document is one.
+    n_stretches: stretches of words that the row lost; a whole copy of an earlier document is one.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -240,19 +259,15 @@ def dedup_substrings(docs: DataFrame, span: int = 50) -> DataFrame:
     # The same text under the same id is looked at once.
     texts = docs.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("row", "doc_id", "text_key", "text", "anchors")
     texts = written(texts)
-    occurrences = written(texts.select("row", "doc_id", "text", "anchors").mapInArrow(_occurrences(span), f"row long, doc_id {kind}, place int, tail long, head long"))
-    edges = written(repeated_edges(occurrences))
-    branching = written(branching_nodes(edges))
-    edges = written(source_runs(edges, branching))
-    runs = written(edges.groupBy("row", "first").agg(F.count(F.lit(1)).alias("n"), F.min_by("tail", "place").alias("tail"), F.max_by("head", "place").alias("head")).withColumn("run", F.monotonically_increasing_id()))
-    paths = compact(runs.select("run", "n", "tail", "head"), branching)
-    edges = edges.join(runs.select("row", "first", "run"), ["row", "first"])
-    stretches = written(repeated_stretches(occurrences, edges, paths))
-    asked = stretches.select("source_row", "source_place", "edges").distinct().groupBy(F.col("source_row").alias("row")).agg(F.collect_list(F.struct("source_place", "edges")).alias("asked"))
-    digests = texts.select("row", "text").join(asked, "row").mapInArrow(_source_digests(span), "source_row long, source_place int, edges int, sha binary")
-    spans = stretches.join(digests, ["source_row", "source_place", "edges"]).groupBy("row").agg(F.collect_list(F.struct("first", "edges", "sha", "path", "shift")).alias("spans"))
+    occurrences = written(texts.select("row", "doc_id", "text", "anchors").mapInArrow(_occurrences(span), f"row long, doc_id {kind}, place int, tail long, head long, before long, after long"))
+    runs = written(source_runs(written(repeated_edges(occurrences))))
+    paths = written(whole_paths(runs, compact(runs.select("run", "n", F.col("enters").alias("tail"), F.col("leaves").alias("head")))))
+    asked = paths.groupBy("row").agg(F.collect_list(F.struct("path", "place", "edges")).alias("paths"))
+    digests = texts.select("row", "text").join(asked, "row").select("text", "paths").mapInArrow(_source_digests(span), "path long, sha binary")
+    known = paths.select("path", "tail", "head", "edges").join(digests, "path")
+    met = met_paths(occurrences, paths).join(known, "path").groupBy("row").agg(F.collect_list(F.struct("tail", "head", "edges", "sha")).alias("paths"))
     # Both joins with texts deal out the same columns by the same key, so Spark shuffles the texts once.
-    changed = texts.select("row", "text").join(spans, "row").mapInArrow(_removals(span), "row long, n_removed long, n_spans long, kept_sha binary")
+    changed = texts.select("row", "text").join(met, "row").mapInArrow(_removals(span), "row long, n_removed long, n_stretches long, kept_sha binary")
     changed = changed.join(texts.select("row", "doc_id", "text_key"), "row").drop("row")
     nothing = F.lit(hashlib.sha256(b"").digest())
     whole = lambda c: F.when(F.col("copy"), c)
@@ -261,11 +276,11 @@ def dedup_substrings(docs: DataFrame, span: int = 50) -> DataFrame:
         "n_words",
         whole(F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.lower(F.hex(whole(nothing).otherwise(F.coalesce("kept_sha", "words_sha")))).alias("kept_sha256"),
-        whole(F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        whole(F.lit(1)).otherwise(F.coalesce("n_stretches", F.lit(0))).cast("long").alias("n_stretches"),
     )
 
 
-#: The rows of dedup_substrings(documents) without n_spans, by all windows.
+#: The rows of dedup_substrings(documents) without n_stretches, by all windows.
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) u(i) WHERE len(w) >= 50 AND doc_id IS NOT NULL),

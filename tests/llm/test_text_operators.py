@@ -437,13 +437,35 @@ def test_substrings_equal_brute_force(spark, same_rows):
         want[(i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest())] += 1
     got = substring.dedup_substrings(df).collect()
     assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
-    spans = {r.doc_id: r.n_spans for r in got}
-    assert spans[5003] == 2 and spans[5000] == 0 and spans[3019] == spans[5002] == 1  # the source changes twice; one branch is on the way
+    stretches = {r.doc_id: r.n_stretches for r in got}
+    assert stretches[5003] == stretches[3019] == stretches[5002] == 1 and stretches[5000] == 0
     assert substring.dedup_substrings(df.where("false")).count() == 0
     names = substring.dedup_substrings(df.where("doc_id >= 3000").withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))).collect()
     assert sorted((r.doc_id, r.n_removed) for r in names) == sorted((f"id{i}", n) for i, _, n, _ in want.elements() if i and i >= 3000)
 
 
+def test_paths_decide_what_goes(spark, monkeypatch):
+    """A row is joined with first edges of paths only: without their true lengths other words go."""
+    monkeypatch.setattr(substring, "STRETCH", 16)
+    way = [f"r{i}" for i in range(300)]
+    df = spark.createDataFrame([(1, " ".join(way)), (2, " ".join(["x", *way, "y"])), (3, " ".join([*way[40:160], "z", *way[40:160]]))], "doc_id long, text string")
+    removed = lambda: {r.doc_id: r.n_removed for r in substring.dedup_substrings(df).collect()}
+    assert removed() == {1: 0, 2: 300, 3: 240}
+    whole = substring.whole_paths
+    seen = []
+
+    def looked(runs, reach):
+        seen.append(sorted((r.row, r.place, r.edges) for r in whole(runs, reach).collect()))
+        return whole(runs, reach)
+
+    monkeypatch.setattr(substring, "whole_paths", looked)
+    removed()
+    assert [(place, edges) for _, place, edges in seen[0]] == [(0, 40), (40, 71), (111, 140)]
+    alone = lambda runs: runs.select("run", F.col("run").alias("path"), F.lit(0).cast("long").alias("offset")).where("path = 0")
+    monkeypatch.setattr(substring, "compact", alone)
+    assert removed() != {1: 0, 2: 300, 3: 240}
+
+
 def test_paths_compact_by_doubling(spark):
     # run -> run by nodes: 0-1-2-...-9 in a line, 20-21-22 in a ring, 30 and 31 both lead to a branching node
     runs = [(i, 5, i, i + 1) for i in range(10)] + [(20, 1, 200, 201), (21, 1, 201, 202), (22, 1, 202, 200)] + [(30, 2, 300, 400), (31, 2, 301, 400), (32, 2, 400, 401)]
