@@ -14,6 +14,7 @@ from snapsync.functions.tables import read, shared_folder
 from snapsync.operators import bundles, chunks, layout, report, resume, verify
 from snapsync.plans import decisions as D
 from snapsync.sources import fixtures as FX
+from snapsync.sources import kept_trees as K
 from snapsync.sources import manifests as M
 from snapsync.streaming import streams
 
@@ -238,6 +239,27 @@ def tree_token(s, d):
     return M.token(FX.order_files(s, d))
 
 
+@query("ofiles", ORACLE_SQL["tree_token"].split("\n")[-1])
+def kept_tree_token(s, d):
+    """The token of a tree that was saved with rows missing, wrong and too many, and brought up to date."""
+    files, path = FX.order_files(s, d), f"{shared_folder(s)}/kept-{uuid.uuid4().hex}"
+    number = F.col("file_id")
+    K.save_tree(files.where(number % 700 != 3).withColumn("rel_path", F.when(number % 1100 == 5, F.concat("rel_path", F.lit("x"))).otherwise(F.col("rel_path"))), path)
+    right = files.where((number % 700 == 3) | (number % 1100 == 5)).withColumn("gone", F.lit(False))
+    wrong = files.where(number % 1100 == 5).withColumn("rel_path", F.concat("rel_path", F.lit("x"))).withColumn("gone", F.lit(True))
+    K.update_tree(s, path, right.unionByName(wrong))
+    return K.kept_token(s, path)
+
+
+@query("src dst", "SELECT rel_path, CASE WHEN o.file_size IS NULL THEN 'added' WHEN n.file_size IS NULL THEN 'removed' ELSE 'changed' END AS change, o.file_size AS old_size, o.mtime_ns AS old_mtime_ns, n.file_size AS file_size, n.mtime_ns AS mtime_ns FROM dst o FULL JOIN src n USING (rel_path) WHERE o.file_size IS DISTINCT FROM n.file_size OR o.mtime_ns IS DISTINCT FROM n.mtime_ns")
+def tree_changes(s, d):
+    """What differs between the source and its copy, by two saved trees."""
+    before, after = (f"{shared_folder(s)}/kept-{uuid.uuid4().hex}" for _ in range(2))
+    K.save_tree(FX.target(s, d), before)
+    K.save_tree(FX.source(s, d), after)
+    return K.tree_changes(s, before, after)
+
+
 @query("src", "SELECT file_id, md5(text) AS digest FROM src")
 def file_digest(s, d):
     return FX.source(s, d).select("file_id", F.md5("text").alias("digest"))

@@ -104,13 +104,17 @@ def assign_file_id(manifest: DataFrame) -> DataFrame:
 LEVELS = (6, 3)
 
 
+def listed(key: str, value: str) -> Column:
+    """The digest of a group's values that aren't null, in the order of the key."""
+    return F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ""))
+
+
 def token(manifest: DataFrame) -> DataFrame:
     """One row: token, n_files. Equal trees have equal tokens, in whatever order rows come.
 
     Row digests are put in path order within buckets by path hash, the buckets' digests in bucket order within larger
     buckets, and so on; no array holds more than a bucket.
     """
-    listed = lambda key, value: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ""))
     rows = manifest.select(F.col("rel_path").alias("key"), X.row_digest(F.col("rel_path"), F.col("mtime_ns"), F.col("file_size")).alias("d"), F.md5("rel_path").alias("hash"), F.lit(1).cast("long").alias("n"))
     for digits in LEVELS:
         bucket = F.substring("hash", 1, digits).alias("bucket")

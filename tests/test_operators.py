@@ -1,7 +1,10 @@
 """Invariants of the snapshot operators on small inputs."""
 
+import hashlib
+import pathlib
 import random
 import re
+import shutil
 import zlib
 
 import pytest
@@ -12,6 +15,7 @@ from snapsync.functions import expressions as X
 from snapsync.operators import bundles, chunks, layout, report, resume, verify
 from snapsync.plans import decisions as D
 from snapsync.sources import fixtures as FX
+from snapsync.sources import kept_trees as K
 from snapsync.sources import manifests as M
 from snapsync.streaming import streams
 from tests.conftest import SF
@@ -278,3 +282,39 @@ def test_a_saved_manifest_of_any_size_loads_unless_told_otherwise(spark, tmp_pat
     rows = spark.createDataFrame([(f"{i}", 1, 1) for i in range(5)], "rel_path string, mtime_ns long, file_size long")
     M.save_manifest(rows, "s", str(tmp_path / "m"))
     assert M.load_manifest(spark, "s", str(tmp_path / "m")).count() == 5 and M.load_manifest(spark, "s", str(tmp_path / "m"), most_rows=4) is None
+
+
+def test_kept_trees_read_and_write_few_folders(spark, tmp_path):
+    files = spark.range(3000).select(F.concat(F.lit("f/"), "id").alias("rel_path"), F.col("id").alias("file_size"), F.lit(1).alias("mtime_ns"), F.lit("mine").alias("bucket"))
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    K.save_tree(files, one)
+    shutil.copytree(one, two)
+    assert K.kept_token(spark, one).first() == M.token(files).first() and K.tree_changes(spark, one, two).count() == 0
+    changes = spark.createDataFrame([("f/7", 0, 1, True), ("f/8", 99, 1, False), ("new", 5, 2, None), ("f/9", 9, 1, False), (None, 1, 1, False)], "rel_path string, file_size long, mtime_ns long, gone boolean")
+    stamps = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "two" / "rows").glob("folder=*/*.parquet")}
+    before = stamps()
+    K.update_tree(spark, two, changes)
+    assert len(before.keys() - stamps().keys()) <= 4  # folders of the changed paths
+    now = files.where("file_size <> 7").withColumn("file_size", F.when(F.col("file_size") == 8, 99).otherwise(F.col("file_size"))).drop("bucket").unionByName(spark.createDataFrame([("new", 5, 2)], "rel_path string, file_size long, mtime_ns int"))
+    assert K.kept_token(spark, two).first() == M.token(now).first() and K.kept_rows(spark, two).exceptAll(now).count() == 0
+    # Folders of the same rows are not opened: the answer is the same when they are gone.
+    used = {hashlib.md5(p.encode()).hexdigest()[:2] for p in ("f/7", "f/8", "new", "f/9")}
+    for side in (one, two):
+        for kind in ("rows", "buckets"):
+            for folder in pathlib.Path(side, kind).glob("folder=*"):
+                if folder.name[-2:] not in used:
+                    shutil.rmtree(folder)
+    assert sorted((r.rel_path, r.change, r.old_size, r.file_size) for r in K.tree_changes(spark, one, two).collect()) == [("f/7", "removed", 7, None), ("f/8", "changed", 8, 99), ("new", "added", None, 5)]
+    K.update_tree(spark, two, changes)  # again: nothing more changes
+    assert K.kept_token(spark, two).first().token == M.token(now).first().token
+
+
+def test_kept_trees_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "rel_path string, file_size long, mtime_ns long")
+    K.save_tree(none, str(tmp_path / "none"))
+    K.save_tree(spark.createDataFrame([("a", 1, 1)], none.schema), str(tmp_path / "some"))
+    assert K.kept_token(spark, str(tmp_path / "none")).first() == M.token(none).first()
+    assert [r.change for r in K.tree_changes(spark, str(tmp_path / "some"), str(tmp_path / "none")).collect()] == ["removed"]
+    K.update_tree(spark, str(tmp_path / "some"), spark.createDataFrame([("a", 1, 1, True)], "rel_path string, file_size long, mtime_ns long, gone boolean"))
+    assert K.tree_changes(spark, str(tmp_path / "some"), str(tmp_path / "none")).count() == 0
+    assert K.kept_token(spark, str(tmp_path / "some")).first() == M.token(none).first()
