@@ -1,6 +1,7 @@
 """Invariants of the snapshot operators on small inputs."""
 
 import hashlib
+import math
 import pathlib
 import random
 import re
@@ -141,6 +142,56 @@ def test_ewma(spark):
     assert abs(rate - (0.9 * (0.9 * 10 + 0.1 * 20) + 0.1 * 5)) < 1e-9
 
 
+def smoothed_one_by_one(samples):
+    last_t, last_c, rate, n = None, None, 0.0, 0
+    for t, c in sorted((x for x in samples if x[0] is not None), key=lambda x: (x[0], x[1] is None, x[1])):
+        t /= 1e6
+        if last_t is None:
+            last_t, last_c = t, c
+        elif t - last_t >= 0.05:
+            inst = None if c is None or last_c is None else (c - last_c) / (t - last_t)
+            rate = inst if last_c == 0 or rate == 0 else None if inst is None or rate is None else 0.9 * rate + 0.1 * inst
+            last_t, last_c, n = t, c, n + 1
+    return rate, n
+
+
+@pytest.mark.parametrize("block, few", [(16, 0), (50, 7), (1 << 16, 1 << 12)])
+def test_rates_of_a_cut_key_equal_one_pass(spark, block, few):
+    """Dense and sparse samples, repeated times, counters that stand still, start over or are unknown, odd keys."""
+    rng, samples = random.Random(5), {None: [(None, 1.0)], "c": [(1_700_000_000_000_000, None)], "d": []}
+    for k, n in (("a", 3000), ("b", 300), ("e", 40), ("f", 1)):
+        t, c, samples[k] = 1_700_000_000_000_000, 0.0, []
+        for i in range(n):
+            t += rng.choice([0, 1, 900, 7_000, 49_999, 50_000, 50_001, 400_000])
+            c = 0.0 if i and rng.random() < 0.004 else c + rng.choice([0, 0, 5, 80])
+            samples[k].append((t, None if rng.random() < 0.003 else c))
+    samples["d"] = [(t, 0.0) for t, _ in samples["b"]] + [(None, 3.0)]
+    rows = [(k, t, c) for k, xs in samples.items() for t, c in xs]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, us long, c double").select("k", F.timestamp_micros("us").alias("ts"), "c").repartition(3)
+    got = {r.k: (r.rate, r.n_used) for r in report.ewma_rate(df, "k", "ts", "c", block, few).collect()}
+    want = {k: smoothed_one_by_one(xs) for k, xs in samples.items()}
+    assert {k: n for k, (_, n) in got.items()} == {k: n for k, (_, n) in want.items()}
+    assert {k: r is None for k, (r, _) in got.items()} == {k: r is None for k, (r, _) in want.items()}
+    assert all(r is None or math.isclose(r, want[k][0], rel_tol=1e-9, abs_tol=1e-12) for k, (r, _) in got.items())
+    assert report.ewma_rate(df.where("false"), "k", "ts", "c").count() == 0
+
+
+def test_blocks_of_a_hot_key_are_few_rows(spark):
+    """One key's 20,000 samples over four tasks: what meets in the last task is a row a block, with few entries."""
+    df = spark.range(20_000).select(F.lit(1).alias("k"), F.timestamp_micros(F.col("id") * 20_000).alias("ts"), F.col("id").cast("double").alias("c"))
+    seen = []
+    real = report.folded
+    report.folded = lambda rows, *a: seen.append(rows.cache()) or real(seen[-1], *a)
+    try:
+        rate, n = report.ewma_rate(df, "k", "ts", "c", 500, 100).select("rate", "n_used").first()
+    finally:
+        report.folded = real
+    assert n == 6666 and math.isclose(rate, 50.0, rel_tol=1e-9)
+    sizes = seen[0].select(F.size("ts").alias("n"), F.col("steps").isNotNull().alias("jumps")).collect()
+    assert len(sizes) <= 48 and max(x.n for x in sizes if x.jumps) <= 4 and max(x.n for x in sizes) <= 100
+
+
 def test_empty_tables(spark):
     files = FX.order_files(spark, SF).where("false")
     assert layout.virtual_layout(files).count() == 0
