@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql.types import StringType
 
 from snapsync.functions import expressions as X
 from snapsync.functions.tables import folded, running, written
+from snapsync.sources.paths import Path
 
 CONTROL_DIR = ".snapsync"
 LONGEST_PATH = 4096
@@ -191,18 +193,40 @@ def reused_trees(spark: SparkSession, tokens: DataFrame, path: str, scan: Callab
     return parts[0].withColumn("reused", F.lit(True)).unionByName(parts[1].withColumn("reused", F.lit(False)))
 
 
+#: Folder of the claims below a table of identities: versions that are handed out once, and what they stand for.
+CLAIMS = "_claims"
+
+
+def _claimed(folder: Path, version: int, name: str) -> bool:
+    """Whether the file folder/version, which holds name, is ours: only one of those who try at once gets it.
+
+    The file is written aside and then put in its place, whole, if there is none: by a link where the folder is a local
+    or mounted one, else by the store's rename, which must refuse an existing target, as HDFS does.
+    """
+    target, aside = folder.child(f"{version:012d}"), folder.child(f".{name}")
+    aside.write(name)
+    return aside.move_if_free(target)
+
+
 def source_identity(spark: SparkSession, roots: DataFrame, path: str) -> DataFrame:
-    """root, source_id: roots without an id get one, which is kept.
+    """root, source_id: roots without an id get one, which is kept. A null root gets none.
 
-    Two runs at once may both give a root an id; from then on the one that was given first holds for all.
+    Runs at once agree, then and later: new ids are written aside and published as the next version of the table, which
+    one run only can claim; those that lose read the winner's ids and try again with what still has none. Rows (root,
+    source_id, given_at) directly in path count as the first version; of several of a root the first given holds.
     """
-    try:
-        known = spark.read.parquet(path)
-        new = roots.select("root").distinct().join(known, "root", "left_anti")
-    except Exception as error:  # the table doesn't exist yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        new = roots.select("root").distinct()
-    new.select("root", F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")).alias("source_id"), F.current_timestamp().alias("given_at")).write.mode("append").parquet(path)
-    first = spark.read.parquet(path).groupBy("root").agg(F.min(F.struct("given_at", "source_id")).alias("first")).select("root", "first.source_id")
-    return roots.select("root").distinct().join(first, "root")
+    folder = Path(spark, path).child(CLAIMS)
+    schema = "root string, source_id string, given_at timestamp"
+    wanted = written(roots.select(F.col("root").cast("string").alias("root")).where("root IS NOT NULL").distinct())
+    while True:
+        versions = folder.names()
+        parts = [path] if Path(spark, path).names() else []
+        parts += [f"{path}/{CLAIMS}/ids-{folder.child(v).read()}" for v in versions]
+        known = spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+        first = known.groupBy("root").agg(F.min(F.struct("given_at", "source_id")).alias("first")).select("root", "first.source_id")
+        new = wanted.join(first, "root", "left_anti")
+        if new.isEmpty():
+            return wanted.join(first, "root")
+        name = uuid.uuid4().hex
+        new.select("root", F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")).alias("source_id"), F.current_timestamp().alias("given_at")).write.parquet(f"{path}/{CLAIMS}/ids-{name}")
+        _claimed(folder, int(versions[-1]) + 1 if versions else 0, name)

@@ -7,6 +7,7 @@ import random
 import re
 import shutil
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,33 @@ def test_the_first_id_of_a_root_holds(spark, tmp_path):
     assert {r.root: r.source_id for r in M.source_identity(spark, roots, str(tmp_path / "ids")).collect()} == {"a": "first", "b": "only"}
 
 
+def test_runs_at_once_give_a_root_one_id(spark, tmp_path):
+    """Eight runs over overlapping roots, all at once; what each was told is what holds later."""
+    path, names = str(tmp_path / "ids"), [[f"r{i}" for i in range(k, k + 4)] for k in range(8)]
+    ids = lambda roots: {r.root: r.source_id for r in M.source_identity(spark, spark.createDataFrame([(x,) for x in roots], "root string"), path).collect()}
+    with ThreadPoolExecutor(8) as pool:
+        told = list(pool.map(ids, names))
+    later = ids([f"r{i}" for i in range(11)] + [None])
+    assert all(given == {x: later[x] for x in roots} for given, roots in zip(told, names))
+    assert len(later) == len(set(later.values())) == 11
+
+
+def test_a_run_that_loses_its_claim_reads_the_winners_ids(spark, tmp_path, monkeypatch):
+    path, real, rivals = str(tmp_path / "ids"), M._claimed, []
+    ids = lambda *roots: {r.root: r.source_id for r in M.source_identity(spark, spark.createDataFrame([(x,) for x in roots], "root string"), path).collect()}
+
+    def claimed(*args):
+        monkeypatch.setattr(M, "_claimed", real)
+        rivals.append(ids("b", "c"))
+        won = real(*args)
+        assert not won
+        return won
+
+    monkeypatch.setattr(M, "_claimed", claimed)
+    ours = ids("a", "b")
+    assert ours["b"] == rivals[0]["b"] and ids("a", "b", "c") == ours | rivals[0]
+
+
 def test_ewma(spark):
     rows = [(1, f"2024-01-01 00:00:0{i}", b) for i, b in enumerate([10.0, 20.0, 40.0, 45.0])]
     samples = spark.createDataFrame(rows, "k long, ts string, bytes double").withColumn("ts", F.col("ts").cast("timestamp"))
