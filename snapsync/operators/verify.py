@@ -76,6 +76,24 @@ def run_status(parts: DataFrame) -> DataFrame:
     return parts.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("all_ok"), F.count_if(~F.col("ok")).alias("errors"))
 
 
+def target_below(top: str, rel_path: str) -> str | None:
+    """The place of a file below the real path of a folder; none if it is not below it, or a link leads out of it."""
+    target = os.path.normpath(os.path.join(top, rel_path))
+    folder = os.path.realpath(os.path.dirname(target))
+    return None if target == top or os.path.commonpath([top, target]) != top or os.path.commonpath([top, folder]) != top else target
+
+
+def destinations(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files to write (file_id, rel_path, digest, file_size, mtime_ns), and file_id, rel_path, status of all others."""
+    known = {"digest": "string", "file_size": "long", "mtime_ns": "long"}
+    rows = paths.select("file_id", "rel_path", *((F.col(c) if c in paths.columns else F.lit(None)).cast(t).alias(c) for c, t in known.items())).withColumn("rejected", X.unsafe_reason(F.col("rel_path")))
+    safe = rows.where("rejected IS NULL AND rel_path IS NOT NULL").drop("rejected").withColumn("place", F.regexp_replace(F.regexp_replace("rel_path", r"(^|/)(\./)+", "$1"), "/+", "/"))
+    taken = safe.groupBy("place").agg(F.min("file_id").alias("owner"))
+    safe = written(safe.join(taken, "place").drop("place"))
+    others = rows.where("rejected IS NOT NULL OR rel_path IS NULL").withColumn("status", F.lit("unsafe")).unionByName(safe.where("file_id <> owner").withColumn("status", F.lit("repeated")), allowMissingColumns=True)
+    return safe.where("file_id = owner").drop("owner").dropDuplicates(["file_id"]), others.select("file_id", "rel_path", "status")
+
+
 def _writer(root: str):
     """Files from rows sorted by file and chunk; a file appears when it is whole and right."""
 
@@ -83,11 +101,10 @@ def _writer(root: str):
         held, top = None, os.path.realpath(root)
 
         def begin(row: dict) -> dict:
-            target = os.path.normpath(os.path.join(top, row["rel_path"]))
-            folder = os.path.realpath(os.path.dirname(target))
-            if target == top or os.path.commonpath([top, target]) != top or os.path.commonpath([top, folder]) != top:
+            target = target_below(top, row["rel_path"])
+            if target is None:
                 return row | {"status": "unsafe", "out": None}
-            os.makedirs(folder, exist_ok=True)
+            os.makedirs(os.path.dirname(target), exist_ok=True)
             part = f"{target}.{uuid.uuid4().hex}.part"
             if row["chunk_index"] is None and row["digest"] is None and row["file_size"] != 0:
                 return row | {"status": "missing", "out": None}
@@ -146,14 +163,8 @@ def materialize(blocks: DataFrame, paths: DataFrame, root: str) -> DataFrame:
     """
     if "://" in root:
         raise ValueError(f"files are written to a folder that all executors see, not to {root}")
-    known = {"digest": "string", "file_size": "long", "mtime_ns": "long"}
-    rows = paths.select("file_id", "rel_path", *((F.col(c) if c in paths.columns else F.lit(None)).cast(t).alias(c) for c, t in known.items())).withColumn("rejected", X.unsafe_reason(F.col("rel_path")))
-    safe = rows.where("rejected IS NULL AND rel_path IS NOT NULL").drop("rejected").withColumn("place", F.regexp_replace(F.regexp_replace("rel_path", r"(^|/)(\./)+", "$1"), "/+", "/"))
-    taken = safe.groupBy("place").agg(F.min("file_id").alias("owner"))
-    safe = written(safe.join(taken, "place").drop("place"))
-    good = safe.where("file_id = owner").drop("owner").dropDuplicates(["file_id"])
+    good, others = destinations(paths)
     data = good.join(blocks.dropDuplicates(["file_id", "chunk_index"]).select("file_id", "chunk_index", F.col("data").cast("binary").alias("data")), "file_id", "left")
     kind = paths.schema["file_id"].dataType.simpleString()
     done = data.repartition("file_id").sortWithinPartitions("file_id", "chunk_index").select("file_id", "rel_path", "digest", "file_size", "mtime_ns", "chunk_index", "data").mapInArrow(_writer(root), f"file_id {kind}, rel_path string, status string")
-    others = rows.where("rejected IS NOT NULL OR rel_path IS NULL").withColumn("status", F.lit("unsafe")).unionByName(safe.where("file_id <> owner").withColumn("status", F.lit("repeated")), allowMissingColumns=True)
-    return written(done.unionByName(others.select("file_id", "rel_path", "status")))
+    return written(done.unionByName(others))

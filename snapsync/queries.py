@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from snapsync.functions import expressions as X
 from snapsync.functions.tables import read, shared_folder
-from snapsync.operators import bundles, chunks, layout, report, resume, verify
+from snapsync.operators import bundles, chunks, layout, parts, report, resume, verify
 from snapsync.plans import decisions as D
 from snapsync.sources import fixtures as FX
 from snapsync.sources import kept_trees as K
@@ -648,3 +648,18 @@ def scan_tree(s, d):
     files, root = FX.source(s, d), _folder(s)
     verify.materialize(chunks.chunk_digests(files, BLOCK, data=True), files, root)
     return M.scan_tree(s, root, content=True).select("rel_path", "file_size", "mtime_ns", "content_hash")
+
+
+@query("src", "SELECT file_id, CASE file_id % 50 WHEN 7 THEN 'unsafe' WHEN 8 THEN 'mismatch' ELSE 'written' END AS status FROM src")
+def materialize_in_parts(s, d):
+    """Files written by a task for every two blocks."""
+    files = FX.transfers(s, d)
+    return parts.materialize_in_parts(chunks.chunk_digests(files, BLOCK, data=True), files, _folder(s), BLOCK, 2).select("file_id", "status")
+
+
+@query("src sdig", "SELECT rel_path, chunk_index::BIGINT AS chunk_index, raw_len, digest, NULL::VARCHAR AS error FROM sdig JOIN src USING (file_id)")
+def scan_ranges(s, d):
+    """The source written in parts below a folder, and read from there in ranges of a block."""
+    files, root = FX.source(s, d), _folder(s)
+    parts.materialize_in_parts(chunks.chunk_digests(files, BLOCK, data=True), files.select("file_id", "rel_path"), root, BLOCK, 2)
+    return M.scan_ranges(s, root, BLOCK).select("rel_path", "chunk_index", "raw_len", "digest", "error")

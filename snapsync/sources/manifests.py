@@ -79,6 +79,44 @@ def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFram
     return exclude_control_dir(found.select(rel.alias("rel_path"), "file_size", "mtime_ns", *(["content_hash", "content", "error"] if content else [])))
 
 
+def _ranges(uri: str, base: str, range_bytes: int, content: bool):
+    """Ranges of files, each read by itself; error instead for a file that can't be read, is gone or has another size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for i, (path, size, index) in enumerate(zip(*(batch[c].to_pylist() for c in ("rel_path", "file_size", "chunk_index")))):
+                data = error = None
+                try:
+                    with store.open_input_file(f"{base}/{path}") as f:
+                        data = f.read_at(range_bytes, index * range_bytes) if f.size() == size else None
+                    error = "Changed" if data is None or len(data) != min(range_bytes, size - index * range_bytes) else None
+                except OSError as e:
+                    error = type(e).__name__
+                data = None if error else data
+                digest = None if data is None else hashlib.md5(data, usedforsecurity=False).hexdigest()
+                found = [pa.array([None if data is None else len(data)], pa.int64()), pa.array([digest], pa.string()), *([pa.array([data], pa.binary())] if content else []), pa.array([error], pa.string())]
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, 1) for c in batch.schema.names), *found], [*batch.schema.names, "raw_len", "digest", *(["data"] if content else []), "error"])
+
+    return run
+
+
+def scan_ranges(spark: SparkSession, root: str, range_bytes: int = 1 << 26, content: bool = False) -> DataFrame:
+    """rel_path, file_size, mtime_ns, chunk_index, raw_len, digest, error of each range of so many bytes of the files
+    below a folder; with content also data.
+
+    Ranges are dealt out by file and place, so a file of any size is read by many tasks and no cell holds more than a
+    range. A file that can't be read, is gone or has another size than when it was listed gives an error for each range
+    that was met so, and no digest. Files of no length have no ranges. root: as for scan_tree().
+    """
+    uri = root if "://" in root else f"file://{os.path.abspath(root)}"
+    base = fs.FileSystem.from_uri(uri)[1].rstrip("/")
+    files = scan_tree(spark, root).where("file_size > 0")
+    rows = files.withColumn("chunk_index", F.explode(F.expr(f"sequence(0L, (file_size - 1) div {range_bytes})")))
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rel_path", "chunk_index")
+    return dealt.mapInArrow(_ranges(uri, base, range_bytes, content), f"rel_path string, file_size long, mtime_ns long, chunk_index long, raw_len long, digest string, {'data binary, ' if content else ''}error string")
+
+
 def exclude_control_dir(manifest: DataFrame, name: str = CONTROL_DIR) -> DataFrame:
     """Drop what lies below the tool's own folder; a null path stays."""
     return manifest.where(~F.coalesce(F.split("rel_path", "/")[0] == name, F.lit(False)))

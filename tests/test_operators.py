@@ -9,12 +9,13 @@ import shutil
 import zlib
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from snapsync import queries as Q
 from snapsync.functions import expressions as X
-from snapsync.operators import bundles, chunks, layout, report, resume, verify
+from snapsync.operators import bundles, chunks, layout, parts, report, resume, verify
 from snapsync.plans import decisions as D
 from snapsync.sources import fixtures as FX
 from snapsync.sources import kept_trees as K
@@ -315,6 +316,57 @@ def test_materialize_refuses_gaps_repeated_paths_and_wrong_sizes(spark, tmp_path
     assert held == {"a/b": b"30", "empty": b"", "fine": b"8081"}
 
 
+def test_parts_are_written_by_many_tasks_and_checked(spark, tmp_path):
+    """Whole and cut files, gaps inside and between parts, short and long blocks, repeats, sizes and digests that are off."""
+    body = lambda f, n: b"".join(bytes([f, i, 0, 255]) for i in range(n))
+    md5 = lambda x: hashlib.md5(x).hexdigest()
+    full = {f: [(i, body(f, n)[4 * i : 4 * i + 4]) for i in range(n)] for f, n in ((1, 7), (2, 6), (3, 7), (4, 9), (5, 4), (6, 4), (7, 5), (8, 3), (9, 1), (10, 3), (13, 3), (14, 2), (15, 5))}
+    full[1][-1] = (6, b"xy")
+    full[3].pop(3), full[4].pop(-2), full[5].insert(1, full[5][1]), full[6].insert(1, (1, b"zzzz"))
+    full[7][2] = (2, b"abc")
+    full[8][1] = (1, b"abcde")
+    full[13][1] = (1, None)
+    full[99] = [(0, b"none")]
+    paths = [(f, f"d{f % 3}/f{f}", None, None) for f in range(1, 11)] + [(11, "empty", 0, None), (12, "none", None, None), (13, "null", None, None), (14, "../out", None, None), (15, "digest", None, md5(body(15, 5))), (16, "nothing", None, md5(b""))]
+    paths[1], paths[8], paths[9] = (2, "d2/f2", None, md5(b"?")), (9, "d0/f9", 5, None), (10, "d1/f10", 12, md5(body(10, 3)))
+    blocks = spark.createDataFrame([(f, i, x) for f, rows in full.items() for i, x in rows], "file_id long, chunk_index int, data binary").repartition(7)
+    root = tmp_path / "tree"
+    root.mkdir()
+    got = {r.file_id: r.status for r in parts.materialize_in_parts(blocks, spark.createDataFrame(paths, "file_id long, rel_path string, file_size long, digest string"), str(root), 4, 3).collect()}
+    assert got == {1: "written", 2: "mismatch", 3: "incomplete", 4: "incomplete", 5: "written", 6: "incomplete", 7: "incomplete", 8: "incomplete", 9: "mismatch", 10: "written", 11: "written", 12: "missing", 13: "incomplete", 14: "unsafe", 15: "written", 16: "written"}
+    held = {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file()}
+    assert held == {"d1/f1": body(1, 6) + b"xy", "d2/f5": body(5, 4), "d1/f10": body(10, 3), "empty": b"", "digest": body(15, 5), "nothing": b""}
+    none = spark.createDataFrame([], "file_id long, rel_path string")
+    assert parts.materialize_in_parts(blocks.where("false"), none, str(root), 4).count() == 0
+
+
+def test_tasks_that_run_again_find_what_was_moved(spark, tmp_path):
+    """Settling a second time, as after a lost executor, gives the same statuses and leaves the files alone."""
+    staging, names = str(tmp_path / "s"), ["file_id", "part", "n_bytes", "right", "full", "digest"]
+    rows = pa.RecordBatch.from_pylist([{"file_id": 1, "part": i // 2, "chunk_index": i, "data": b"abcd"} for i in range(4)])
+    write = lambda: [b.to_pylist()[0] for b in parts._part_writer(staging, 4, 2, names)([rows])]
+    assert write() == write()
+    file = pa.RecordBatch.from_pylist([{"file_id": 1, "rel_path": "a/b", "digest": hashlib.md5(b"abcd" * 4).hexdigest(), "file_size": 16, "mtime_ns": 5, "n_parts": 2, "n_bytes": 16, "one": "x", "whole": True}])
+    settle = lambda: next(parts._settled(str(tmp_path), staging)([file]))["status"].to_pylist()
+    assert settle() == settle() == ["written"] and (tmp_path / "a/b").read_bytes() == b"abcd" * 4
+
+
+def test_ranges_of_files_and_those_that_changed(spark, tmp_path, monkeypatch):
+    for name, data in (("a", b"0123456789"), ("d/b", b"abc"), ("gone", b"x" * 5), ("cut", b"y" * 8), ("empty", b"")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    listed = M.scan_tree(spark, str(tmp_path)).collect()
+    (tmp_path / "gone").unlink()
+    (tmp_path / "cut").write_bytes(b"y")
+    monkeypatch.setattr(M, "scan_tree", lambda s, root: s.createDataFrame(listed))
+    rows = M.scan_ranges(spark, str(tmp_path), 4, content=True).collect()
+    assert {(r.rel_path, r.chunk_index): (r.raw_len, r.data and bytes(r.data), r.error) for r in rows} == {
+        ("a", 0): (4, b"0123", None), ("a", 1): (4, b"4567", None), ("a", 2): (2, b"89", None), ("d/b", 0): (3, b"abc", None),
+        ("gone", 0): (None, None, "FileNotFoundError"), ("gone", 1): (None, None, "FileNotFoundError"), ("cut", 0): (None, None, "Changed"), ("cut", 1): (None, None, "Changed"),
+    }
+    assert all(r.digest == (None if r.error else hashlib.md5(bytes(r.data)).hexdigest()) for r in rows)
+
+
 def test_digest_trees_tell_gaps_and_repeats(spark):
     rows = [(1, i, 2, f"d{i}") for i in range(20)] + [(2, 0, 2, "d0"), (2, 2, 2, "d2"), (3, 0, 2, "d0"), (3, 0, 2, "x"), (4, 0, 2, "d0"), (4, 0, 2, "d0"), (5, 1, 2, "d1")]
     blocks = spark.createDataFrame(rows, "file_id long, chunk_index int, raw_len long, digest string")
