@@ -81,7 +81,7 @@ def _counted(words: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, lang, fold, the base counts, failed, and the two histograms of each row."""
+    """doc_id, text_key, lang, fold, the base counts, failed, and the two histograms of each row; words only where it hasn't failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
     fold = F.coalesce(F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1), 16, 10).cast("int") % 2, F.lit(0))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.coalesce("lang", F.lit("")).alias("lang"), fold.alias("fold"), text.alias("text"))
@@ -90,14 +90,14 @@ def features(docs: DataFrame) -> DataFrame:
         "doc_id", "text_key", "lang", "fold", F.length("text").alias("n_chars"), words_of(F.col("text")).alias("words"), *(c.alias(n) for (n, _), c in zip(CLASSES, _counts_of_classes(F.col("text")))),
         (F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
     )
-    rows = rows.select("*", F.size("words").alias("n_words"), F.length(F.array_join("words", "")).alias("word_chars"), repeated_window_words(F.col("words")).alias("n_repeat_words"), _counted(F.col("words")).alias("counted")).drop("words")
+    rows = rows.select("*", F.size("words").alias("n_words"), F.length(F.array_join("words", "")).alias("word_chars"), repeated_window_words(F.col("words")).alias("n_repeat_words"))
     classes = F.array(F.col("n_chars") - F.col("word_chars"), *(F.col(n) for n, _ in CLASSES))
     rest = F.col("n_chars") - F.aggregate(classes, F.lit(0), lambda n, x: n + x)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return rows.select("doc_id", "text_key", "lang", "fold", "n_chars", "n_words", "word_chars", F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.concat(classes, F.array(rest)).alias("classes"), "counted", F.monotonically_increasing_id().alias("row"))
+    return rows.select("doc_id", "text_key", "lang", "fold", "n_chars", "n_words", "word_chars", F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.concat(classes, F.array(rest)).alias("classes"), F.when(~failed, _counted(F.col("words"))).alias("counted"), F.monotonically_increasing_id().alias("row"))
 
 
-def references(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def references(rows: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
     """(lang, fold, classes: shares of the classes), (lang, fold, word, q: its share, all_q: that of the whole list).
 
     fold is the one that is judged: the other one of those that the numbers come from.
@@ -107,9 +107,12 @@ def references(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     sums = good.groupBy("lang", "fold").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("all_words"), F.sum("n_chars").alias("all_chars"), *(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n))).where(F.col("n_docs") >= LEAST_DOCS)
     sums = written(sums)
     classes = sums.select("lang", "fold", F.array(*(F.col(f"c{i}") / F.col("all_chars") for i in range(n))).alias("ref_classes"))
-    held = good.select("lang", "fold", F.inline("counted")).groupBy("lang", "fold", "word").agg(F.count(F.lit(1)).alias("in_docs"), F.sum("n").alias("n"))
+    # What is counted for all words is in how many documents they stand; how often, for those of a list alone.
+    held = good.select("lang", "fold", F.explode("counted.word").alias("word")).groupBy("lang", "fold", "word").agg(F.count(F.lit(1)).alias("in_docs"))
     first = F.row_number().over(Window.partitionBy("lang", "fold").orderBy(F.desc("in_docs"), "word"))
-    lists = written(held.withColumn("place", first).where(F.col("place") <= COMMON).join(sums.select("lang", "fold", "all_words"), ["lang", "fold"]).select("lang", "fold", "word", (F.col("n") / F.col("all_words")).alias("q")))
+    top = written(held.withColumn("place", first).where(F.col("place") <= COMMON).select("lang", "fold", "word"))
+    times = good.select("lang", "fold", F.inline("counted")).join(F.broadcast(top) if few else top, ["lang", "fold", "word"]).groupBy("lang", "fold", "word").agg(F.sum("n").alias("n"))
+    lists = written(times.join(sums.select("lang", "fold", "all_words"), ["lang", "fold"]).select("lang", "fold", "word", (F.col("n") / F.col("all_words")).alias("q")))
     return classes, lists.join(lists.groupBy("lang", "fold").agg(F.sum("q").alias("all_q")), ["lang", "fold"])
 
 
@@ -156,7 +159,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     rows = written(features(docs))
     few = rows.select("lang").distinct().limit(FEW_LANGS + 1).count() <= FEW_LANGS
     small = lambda df: F.broadcast(df) if few else df
-    classes, lists = references(rows)
+    classes, lists = references(rows, few)
     judged = word_distances(rows, lists, few)
     size = F.least(F.length(F.bin(F.col("n_words").cast("bigint"))), F.lit(LONGEST_SIZE))
     rows = written(rows.drop("counted").join(judged, "row", "left").withColumn("size", size))
