@@ -6,10 +6,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: Bits of a page of a bitmap.
+#: Bits of a page of a bitmap, a power of two.
 PAGE = 4096
 
 
@@ -34,17 +34,25 @@ def rocksdb(spark: SparkSession, idle_batches: bool = True):
 class Completion(StatefulProcessor):
     """Tells once of each key whose needed number of different chunks is in.
 
-    The chunks seen are a bitmap in pages: the first stands with the count, so most files are one read and one write a
-    batch; others are entries of their own, and only those that a batch touches are read. When a file is told of, its
-    pages go and a flag stays, so that repeats say nothing. What nothing arrives for goes after ttl_ms.
+    Keys go by buckets of their hash, and what is held of a bucket's keys is one value: a batch costs a read and a write
+    for each bucket that it touches, not for each key. The chunks seen of a key are a bitmap in pages: the first stands
+    with the count, others are entries of their own, and only those that a batch touches are read. When a key is told of,
+    its pages go and the time of its last row stays, so that repeats say nothing. A key that no row has come for in ttl_ms
+    is forgotten with the next rows of its bucket, a bucket without rows for so long as a whole.
+
+    Rows are bucket, key, page, bit (-1: no chunk), needed (-1: unknown), none of them null; all keys of the bucket
+    NO_KEY are null.
     """
 
-    def __init__(self, key: str, ttl_ms: int):
-        self.key, self.ttl_ms = key, ttl_ms
+    NO_KEY = -1
+
+    def __init__(self, key: str, kind: str, ttl_ms: int):
+        self.key, self.kind, self.ttl_ms = key, kind, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "n long, told boolean, page binary, paged boolean", self.ttl_ms)
-        self.pages = handle.getMapState("pages", "page long", "bits binary", self.ttl_ms)
+        held = f"told array<{self.kind}>, told_at array<long>, open array<{self.kind}>, n array<long>, first array<binary>, pages array<array<long>>, open_at array<long>"
+        self.held = handle.getValueState("held", held, self.ttl_ms)
+        self.pages = handle.getMapState("pages", f"key {self.kind}, page long", "bits binary")
 
     @staticmethod
     def _marked(bits: bytes | None, places: int) -> tuple[bytes, int]:
@@ -53,31 +61,59 @@ class Completion(StatefulProcessor):
         after = before | places
         return after.to_bytes((after.bit_length() + 7) // 8, "little"), after.bit_count() - before.bit_count()
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, told, first, paged = self.head.get() or (0, False, None, False)
-        if told:
-            return
-        needed, pages = None, {}
-        for _, chunk, wanted in rows:
-            if wanted is not None and (needed is None or wanted > needed):
-                needed = wanted
-            if chunk is not None:
-                pages[chunk // PAGE] = pages.get(chunk // PAGE, 0) | 1 << chunk % PAGE
-        for page, places in pages.items():
-            if page == 0:
-                first, new = self._marked(first, places)
+    def _read(self, now: int) -> tuple[dict, dict]:
+        """Times of the keys told of; count, first page, further pages and time of the open ones, without what is forgotten."""
+        held = self.held.get()
+        if held is None:
+            self.pages.clear()
+            return {}, {}
+        told = {k: at for k, at in zip(held[0], held[1]) if at + self.ttl_ms > now}
+        known = {k: x for k, *x in zip(*held[2:])}
+        for k in [k for k, x in known.items() if x[3] + self.ttl_ms <= now]:
+            self._drop(k, known.pop(k)[2])
+        return told, known
+
+    def _drop(self, key, pages) -> None:
+        for page in pages:
+            self.pages.removeKey((key, page))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, without = timerValues.getCurrentProcessingTimeInMs(), key[0] == self.NO_KEY
+        told, known = self._read(now)
+        seen, needed = {}, {}
+        for part in rows:
+            for k, page, bit, wanted in zip(*(part.iloc[:, i].tolist() for i in range(1, 5))):
+                k = None if without else k
+                if k in told:
+                    told[k] = now
+                    continue
+                places = seen.setdefault(k, {})
+                if bit >= 0:
+                    places[page] = places.get(page, 0) | 1 << bit
+                if wanted > needed.get(k, -1):
+                    needed[k] = wanted
+        done, counts = [], []
+        for k, places in seen.items():
+            n, first, pages, _ = known.pop(k, (0, None, [], None))
+            for page, bits in places.items():
+                if page == 0:
+                    first, new = self._marked(first, bits)
+                else:
+                    after, new = self._marked((self.pages.getValue((k, page)) or (None,))[0], bits)
+                    self.pages.updateValue((k, page), (after,))
+                n += new
+            pages = [*pages, *(places.keys() - {0, *pages})]
+            if n >= needed.get(k, n + 1):
+                self._drop(k, pages)
+                told[k] = now
+                done.append(k)
+                counts.append(n)
             else:
-                bits, new = self._marked((self.pages.getValue((page,)) or (None,))[0], places)
-                self.pages.updateValue((page,), (bits,))
-                paged = True
-            n += new
-        if needed is not None and n >= needed:
-            if paged:
-                self.pages.clear()
-            self.head.update((n, True, None, False))
-            yield Row(**{self.key: key[0], "n_chunks": n})
-        else:
-            self.head.update((n, False, first, paged))
+                known[k] = (n, first, pages, now)
+        columns = list(zip(*known.values())) or [[]] * 4
+        self.held.update((list(told), list(told.values()), list(known), *map(list, columns)))
+        if done:
+            yield pd.DataFrame({self.key: pd.Series(done, dtype=object if without else None), "n_chunks": counts})
 
     def close(self) -> None:
         pass

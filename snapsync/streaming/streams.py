@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from snapsync.functions.tables import shared_folder, written
 from snapsync.plans import decisions as D
-from snapsync.streaming.state import Completion, Smoothing, rocksdb
+from snapsync.streaming.state import PAGE, Completion, Smoothing, rocksdb
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -66,17 +67,25 @@ def wants(manifests: DataFrame, target: DataFrame) -> DataFrame:
     return D.want_files(manifests, target)
 
 
-def completion(arrivals: DataFrame, remember: str = "7 days") -> DataFrame:
+def completion(arrivals: DataFrame, remember: str = "7 days", buckets: int = 1 << 14) -> DataFrame:
     """file_id, n_chunks of each file, once, when its needed number of different chunks is in (append mode).
 
     arrivals: file_id, chunk_index (from 0), needed. State is a bitmap of a file's chunks until it is complete, then a
     flag; what is remembered of a file goes when nothing has arrived for it for so long (it would start over then).
+    Files go by so many buckets, which one value of state holds each; a checkpoint keeps the number it began with.
     Run it without idle batches.
     """
-    kind = arrivals.schema["file_id"].dataType.simpleString()
-    rows = arrivals.select("file_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("needed").cast("long").alias("needed"))
+    kind = arrivals.schema["file_id"].dataType
+    # Numbers with nulls among them would come as floats: null ids have a bucket of their own, and any number.
+    file_id = F.coalesce("file_id", F.lit(0).cast(kind)) if isinstance(kind, IntegralType) else F.col("file_id")
+    bucket = F.when(F.col("file_id").isNull(), Completion.NO_KEY).otherwise(F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int"))
+    chunk, needed = F.col("chunk_index").cast("long"), F.col("needed").cast("long")
+    page = F.coalesce(F.shiftright(chunk, PAGE.bit_length() - 1), F.lit(0).cast("long"))
+    bit = F.coalesce(chunk.bitwiseAND(F.lit(PAGE - 1)).cast("int"), F.lit(-1))
+    wanted = F.when(needed.isNull(), F.lit(-1).cast("long")).otherwise(F.greatest(needed, F.lit(0).cast("long")))
+    rows = arrivals.select(bucket.alias("bucket"), file_id.alias("file_id"), page.alias("page"), bit.alias("bit"), wanted.alias("needed"))
     ttl = int(pd.Timedelta(remember).total_seconds() * 1000)
-    return rows.groupBy("file_id").transformWithState(Completion("file_id", ttl), f"file_id {kind}, n_chunks long", "append", "processingTime")
+    return rows.groupBy("bucket").transformWithStateInPandas(Completion("file_id", kind.simpleString(), ttl), f"file_id {kind.simpleString()}, n_chunks long", "append", "processingTime")
 
 
 def dedupe(arrivals: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:

@@ -1,6 +1,7 @@
 """Streams over several runs: what is told once, what starts over, what a late or missing interval does."""
 
 import datetime
+import time
 
 from pyspark.sql import functions as F
 
@@ -59,3 +60,29 @@ def test_rates_decay_over_gaps_and_start_over_from_zero(spark, tmp_path):
     # A row later than the watermark is left out; the next interval goes on from what the state holds.
     _add(spark, [(1, at(3), 9e9), (1, at(5), 0.0), (9, at(20), 1.0)], schema, path)
     assert run() == first | {(1, 5): round(0.9 * first[1, 4], 9), (3, 6): round(1 / 60, 9)}
+
+
+def test_many_files_share_an_entry_of_state(spark, tmp_path):
+    """State is read and written by buckets of files: two buckets, however many files; ids of other kinds and null ones."""
+    for kind, name in (("bigint", lambda i: (1 << 53) + 1 + i), ("string", lambda i: f"f{i}")):
+        path, out, checkpoint = (str(tmp_path / kind / x) for x in ("in", "out", "c"))
+        schema = f"file_id {kind}, chunk_index long, needed long"
+        run = lambda: sorted(((r.file_id, r.n_chunks) for r in streams.run_to_table(streams.completion(streams.read_stream(spark, path), buckets=2), path=out, checkpoint=checkpoint, idle_batches=False).collect()), key=str)  # noqa: B023, E731
+        _add(spark, [(name(i), 0, 1 + i % 2) for i in range(100)] + [(None, 5000, 2), (None, -1, None)], schema, path)
+        first = [(name(i), 1) for i in range(0, 100, 2)] + [(None, 2)]
+        assert run() == sorted(first, key=str)
+        held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "held").load()
+        assert held.count() == 3
+        _add(spark, [(name(i), c, 2) for i in range(100) for c in (0, 1)] + [(None, 0, 1)], schema, path)
+        assert run() == sorted([*first, *((name(i), 2) for i in range(1, 100, 2))], key=str)
+
+
+def test_what_is_not_heard_of_is_forgotten(spark, tmp_path):
+    """Counts, further pages and told files go after the time; a file that starts over counts from nothing."""
+    path, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "c"))
+    run = lambda: sorted((r.file_id, r.n_chunks) for r in streams.run_to_table(streams.completion(streams.read_stream(spark, path), "1 second", buckets=1), path=out, checkpoint=checkpoint, idle_batches=False).collect())
+    _add(spark, [(1, 0, 3), (1, 9000, 3), (2, 0, 1)], ARRIVALS, path)
+    assert run() == [(2, 1)]
+    time.sleep(1.5)
+    _add(spark, [(1, 1, 3), (1, 9001, 3), (2, 0, 1)], ARRIVALS, path)
+    assert run() == [(2, 1), (2, 1)]
