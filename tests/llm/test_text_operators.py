@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -472,3 +473,19 @@ def test_paths_compact_by_doubling(spark):
     df = spark.createDataFrame(runs, "run long, n long, tail long, head long")
     got = {r.run: (r.path, r.offset) for r in substring.compact(df, spark.createDataFrame([(400,)], "node long")).collect()}
     assert got == {i: (0, 5 * i) for i in range(10)} | {i: (i, 0) for i in (20, 21, 22, 30, 31, 32)}
+
+
+def test_quality_rules_count_words_as_plain_python_does(spark):
+    """Different small-letter words in order with their numbers, classes without small letters, none where the base rules fail."""
+    texts = ["Ab ab AB ΣΑΣ σας Éa éa É ! 1 2 x\n#$ " * 2 + "a b c d e f g h i j k l m n o p q r s t u v w x y z", "ÀB cd" + " é\t7;" * 3 + " x y z u v w", "a a", "", None, " \t "]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in quality_rules.features(rows).collect()}
+    for i, text in enumerate(texts):
+        text, r = text or "", found[i]
+        words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+        kinds = [unicodedata.category(c) for c in text]
+        n = [sum(not re.match("[\x20\x09-\x0d]", c) for c in text), kinds.count("Lu"), kinds.count("Nd"), sum(c in "#*$%&|<>" for c in text), sum(c in ".,;:!?'\"()-" for c in text)]
+        assert (r.n_words, r.word_chars, list(r.classes)[1:5]) == (len(words), n[0], n[1:])
+        counted = collections.Counter(w.lower() for w in words)
+        assert r.small is None and r.times is None if r.base_failed else dict(zip(r.small, r.times)) == counted and r.small == sorted(counted, key=str.encode)
+    assert [found[i].base_failed for i in range(6)] == [False, False, True, True, True, True]
