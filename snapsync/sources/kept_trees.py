@@ -57,7 +57,8 @@ def save_tree(manifest: DataFrame, path: str) -> None:
     spark = manifest.sparkSession
     _save(_placed(manifest.withColumn("gone", F.lit(False))), f"{path}/rows", "static")
     _save(_bucket_digests(_read(spark, path, "rows", _ROWS)), f"{path}/buckets", "static")
-    _top_digests(_read(spark, path, "buckets", _BUCKETS)).coalesce(1).write.mode("overwrite").parquet(f"{path}/tops")
+    # repartition, not coalesce, which would make the sums over all buckets one task.
+    _top_digests(_read(spark, path, "buckets", _BUCKETS)).repartition(1).write.mode("overwrite").parquet(f"{path}/tops")
 
 
 def update_tree(spark: SparkSession, path: str, changes: DataFrame) -> None:

@@ -449,3 +449,19 @@ def test_kept_trees_of_nothing(spark, tmp_path):
     K.update_tree(spark, str(tmp_path / "some"), spark.createDataFrame([("a", 1, 1, True)], "rel_path string, file_size long, mtime_ns long, gone boolean"))
     assert K.tree_changes(spark, str(tmp_path / "some"), str(tmp_path / "none")).count() == 0
     assert K.kept_token(spark, str(tmp_path / "some")).first() == M.token(none).first()
+
+
+def test_tops_of_a_tree_are_summed_by_several_tasks(spark, tmp_path):
+    """The one file of tops is written by one task, which doesn't read all buckets."""
+    rows = spark.range(1000).selectExpr("concat('f', id) AS rel_path", "id AS file_size", "id AS mtime_ns")
+    context, adaptive = spark.sparkContext, "spark.sql.adaptive.enabled"
+    spark.conf.set(adaptive, "false")
+    context.setJobGroup("tops", "tops")
+    try:
+        K.save_tree(rows, str(tmp_path / "tree"))
+        jobs = context.statusTracker().getJobIdsForGroup("tops")
+    finally:
+        spark.conf.unset(adaptive)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = sorted(context.statusTracker().getJobInfo(max(jobs)).stageIds)
+    assert [context.statusTracker().getStageInfo(s).numTasks for s in stages[-2:]] == [4, 1] and len(stages) == 3
