@@ -7,7 +7,7 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +30,9 @@ def _part_writer(staging: str, block_bytes: int, part_blocks: int, names: list[s
 
     def rows(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield tuple(batch.column(c)[i].as_py() for c in range(4))
+            data = batch.column(3)
+            for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+                yield *row, data[i].as_py()
 
     def write(file_id, part: int, blocks) -> dict:
         path = _staged(staging, file_id)
@@ -56,8 +57,9 @@ def _part_writer(staging: str, block_bytes: int, part_blocks: int, names: list[s
         return dict(zip(names, (file_id, part, size, right, n == part_blocks and len(last[1] or b"") == block_bytes, seen.hexdigest())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (file_id, part), blocks in groupby(rows(batches), lambda x: x[:2]):
-            yield pa.RecordBatch.from_pylist([write(file_id, part, blocks)])
+        done = (write(file_id, part, blocks) for (file_id, part), blocks in groupby(rows(batches), lambda x: x[:2]))
+        while some := list(islice(done, 1000)):
+            yield pa.RecordBatch.from_pylist(some)
 
     return run
 
@@ -140,6 +142,8 @@ def materialize_in_parts(blocks: DataFrame, paths: DataFrame, root: str, block_b
     files = parts.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("n_bytes").alias("n_bytes"), F.min("digest").alias("one"), F.bool_and("right").alias("right"), F.max("part").alias("last"), F.min(cut).alias("cut"))
     whole = F.col("right") & (F.col("last") + 1 == F.col("n_parts")) & F.coalesce(F.col("cut") == F.col("last"), F.lit(True))
     known = good.join(files.select("file_id", "n_parts", "n_bytes", "one", whole.alias("whole")), "file_id", "left")
+    # A number of partitions that stays: the rows are few bytes, what is done for each is not.
+    known = known.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file_id")
     done = known.mapInArrow(_settled(root, staging), f"file_id {paths.schema['file_id'].dataType.simpleString()}, rel_path string, status string")
     done = written(done.unionByName(others))
     spark.range(256).mapInArrow(_removed(staging), "id long").count()

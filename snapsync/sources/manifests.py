@@ -6,6 +6,7 @@ import hashlib
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -79,41 +80,77 @@ def scan_tree(spark: SparkSession, root: str, content: bool = False) -> DataFram
     return exclude_control_dir(found.select(rel.alias("rel_path"), "file_size", "mtime_ns", *(["content_hash", "content", "error"] if content else [])))
 
 
+#: What is read at once before rows go on: so many bytes or ranges.
+_HELD_BYTES, _HELD_ROWS = 8 << 20, 1000
+
+
 def _ranges(uri: str, base: str, range_bytes: int, content: bool):
-    """Ranges of files, each read by itself; error instead for a file that can't be read, is gone or has another size."""
+    """Ranges of files, opened once for those that follow each other; error instead for a file that can't be read, is
+    gone or has another size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(uri)
-        for batch in batches:
-            for i, (path, size, index) in enumerate(zip(*(batch[c].to_pylist() for c in ("rel_path", "file_size", "chunk_index")))):
-                data = error = None
+
+        def read(paths: list[str], sizes: list[int], places: list[int]) -> Iterator[tuple]:
+            for path, rows in groupby(zip(paths, sizes, places), lambda x: x[0]):
+                f = error = None
                 try:
-                    with store.open_input_file(f"{base}/{path}") as f:
-                        data = f.read_at(range_bytes, index * range_bytes) if f.size() == size else None
-                    error = "Changed" if data is None or len(data) != min(range_bytes, size - index * range_bytes) else None
+                    f = store.open_input_file(f"{base}/{path}")
+                    held = f.size()
                 except OSError as e:
                     error = type(e).__name__
-                data = None if error else data
-                digest = None if data is None else hashlib.md5(data, usedforsecurity=False).hexdigest()
-                found = [pa.array([None if data is None else len(data)], pa.int64()), pa.array([digest], pa.string()), *([pa.array([data], pa.binary())] if content else []), pa.array([error], pa.string())]
-                yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, 1) for c in batch.schema.names), *found], [*batch.schema.names, "raw_len", "digest", *(["data"] if content else []), "error"])
+                try:
+                    for _, size, index in rows:
+                        data, wrong = None, error
+                        if f is not None and error is None:
+                            try:
+                                data = f.read_at(range_bytes, index * range_bytes) if held == size else None
+                                wrong = "Changed" if data is None or len(data) != min(range_bytes, size - index * range_bytes) else None
+                            except OSError as e:
+                                wrong = type(e).__name__
+                        yield (None, None, None, wrong) if wrong else (len(data), hashlib.md5(data, usedforsecurity=False).hexdigest(), data, None)
+                finally:
+                    if f is not None:
+                        f.close()
+
+        kinds = {"raw_len": pa.int64(), "digest": pa.string(), **({"data": pa.binary()} if content else {}), "error": pa.string()}
+
+        def joined(batch: pa.RecordBatch, first: int, rows: list[tuple]) -> pa.RecordBatch:
+            columns = [[x[i] for x in rows] for i in ((0, 1, 2, 3) if content else (0, 1, 3))]
+            return pa.RecordBatch.from_arrays([*(c.slice(first, len(rows)) for c in batch.columns), *map(pa.array, columns, kinds.values())], [*batch.schema.names, *kinds])
+
+        for batch in batches:
+            first, rows, held = 0, [], 0
+            for n, *row in read(*(batch[c].to_pylist() for c in ("rel_path", "file_size", "chunk_index"))):
+                rows.append((n, *row) if content else (n, row[0], None, row[2]))
+                held += (n or 0) if content else 0
+                if held >= _HELD_BYTES or len(rows) >= _HELD_ROWS:
+                    yield joined(batch, first, rows)
+                    first, rows, held = first + len(rows), [], 0
+            if rows:
+                yield joined(batch, first, rows)
 
     return run
 
 
+#: Bytes of one file that one task reads together, if ranges are shorter.
+_DEALT_BYTES = 1 << 26
+
+
 def scan_ranges(spark: SparkSession, root: str, range_bytes: int = 1 << 26, content: bool = False) -> DataFrame:
     """rel_path, file_size, mtime_ns, chunk_index, raw_len, digest, error of each range of so many bytes of the files
     below a folder; with content also data.
 
-    Ranges are dealt out by file and place, so a file of any size is read by many tasks and no cell holds more than a
-    range. A file that can't be read, is gone or has another size than when it was listed gives an error for each range
+    Ranges are dealt out by file and place, short ones by some megabytes together, so a file of any size is read by many
+    tasks and no cell holds more than a range. A file that can't be read, is gone or has another size than when it was listed gives an error for each range
     that was met so, and no digest. Files of no length have no ranges. root: as for scan_tree().
     """
     uri = root if "://" in root else f"file://{os.path.abspath(root)}"
     base = fs.FileSystem.from_uri(uri)[1].rstrip("/")
     files = scan_tree(spark, root).where("file_size > 0")
     rows = files.withColumn("chunk_index", F.explode(F.expr(f"sequence(0L, (file_size - 1) div {range_bytes})")))
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rel_path", "chunk_index")
+    together = max(1, _DEALT_BYTES // range_bytes)
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rel_path", F.expr(f"chunk_index div {together}")).sortWithinPartitions("rel_path", "chunk_index")
     return dealt.mapInArrow(_ranges(uri, base, range_bytes, content), f"rel_path string, file_size long, mtime_ns long, chunk_index long, raw_len long, digest string, {'data binary, ' if content else ''}error string")
 
 

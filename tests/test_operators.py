@@ -465,3 +465,13 @@ def test_tops_of_a_tree_are_summed_by_several_tasks(spark, tmp_path):
         context.setLocalProperty("spark.jobGroup.id", None)
     stages = sorted(context.statusTracker().getJobInfo(max(jobs)).stageIds)
     assert [context.statusTracker().getStageInfo(s).numTasks for s in stages[-2:]] == [4, 1] and len(stages) == 3
+
+
+def test_ranges_of_a_batch_go_on_together(tmp_path):
+    """Rows of ranges are joined again after reading; a file that is gone has an error for each."""
+    (tmp_path / "a").write_bytes(b"0123456789")
+    names, columns = ["rel_path", "file_size", "mtime_ns", "chunk_index"], [["a", "a", "a", "b", "b"], [10, 10, 10, 8, 8], [0] * 5, [0, 1, 2, 0, 1]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+    found = list(M._ranges(f"file://{tmp_path}", str(tmp_path), 4, True)(iter([batch])))
+    assert len(found) == 1
+    assert [(r["rel_path"], r["chunk_index"], r["raw_len"], r["data"], r["error"]) for r in found[0].to_pylist()] == [("a", 0, 4, b"0123", None), ("a", 1, 4, b"4567", None), ("a", 2, 2, b"89", None), ("b", 0, None, None, "FileNotFoundError"), ("b", 1, None, None, "FileNotFoundError")]
