@@ -477,7 +477,7 @@ def test_paths_compact_by_doubling(spark):
 
 def test_quality_rules_count_words_as_plain_python_does(spark):
     """Different small-letter words in order with their numbers, classes without small letters, none where the base rules fail."""
-    texts = ["Ab ab AB ΣΑΣ σας Éa éa É ! 1 2 x\n#$ " * 2 + "a b c d e f g h i j k l m n o p q r s t u v w x y z", "ÀB cd" + " é\t7;" * 3 + " x y z u v w", "a a", "", None, " \t "]
+    texts = ["Ab ab AB ΣΑΣ σας Éa éa É ! 1 2 x\n#$ a b c d e f g h i j k", "ÀB cd é\t7; q r s t é x y z u v w", "a a", "", None, " \t "]
     rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     found = {r.doc_id: r for r in quality_rules.features(rows).collect()}
     for i, text in enumerate(texts):
